@@ -36,7 +36,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 def table_size(df: DataFrame) -> int:
     """Size in bytes as the optimizer estimates it; very large where it cannot tell."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:

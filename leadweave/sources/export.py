@@ -64,7 +64,8 @@ def nested_leads(leads: DataFrame) -> DataFrame:
     return out
 
 
-CSV_OPTIONS = {"header": True, "escape": '"', "multiLine": True}
+# options to read a CSV export back: quoted empty texts stay empty instead of turning into NULL
+CSV_OPTIONS = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\0"}
 
 
 def write_leads(leads: DataFrame, path: str) -> None:

@@ -73,6 +73,11 @@ def publish(current: DataFrame, path: str) -> None:
     current.repartition("is_cis", "source_domain").sortWithinPartitions("is_cis", "source_domain").write.mode("overwrite").partitionBy("is_cis").parquet(path)
 
 
+def read_published(spark: SparkSession, path: str, schema: T.StructType = STORED) -> DataFrame:
+    """The published table; the schema is given, as a flag in a folder name would be read as text."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def scan_leads(stored: DataFrame, flagged_only: bool = False, ordered: bool = True) -> DataFrame:
     """Stored rows as leads: lists split back, optional flag predicate, ordered by ``created_at, id``."""
     rows = stored.filter("is_cis") if flagged_only else stored
