@@ -5,37 +5,40 @@ from __future__ import annotations
 from html.entities import html5
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from leadweave.functions.lists import Col, col, let
+from leadweave.functions.lists import Col, let_sql, sql_text
 
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;)"
-_MARKUP = ("&", "<", ">", '"', "'")
 
 # Named references ending in ';', taken from the standard library's HTML 5 table.
-_NAMED = "\x02".join(f"{name}\x01{value}" for name, value in html5.items() if name.endswith(";"))
+_NAMED = sql_text("\x02".join(f"{name}\x01{value}" for name, value in html5.items() if name.endswith(";")))
 # HTML 5 reads the code points 0x80-0x9F as windows-1252 bytes.
-_C1 = [bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)]
+_C1 = sql_text("".join(bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)))
 
+_DIGITS = "regexp_extract(r, '^&#[xX]?([0-9a-fA-F]+)', 1)"
+_POINT = f"CASE WHEN length(ltrim('0', {_DIGITS})) <= 7 THEN try_cast(CASE WHEN r RLIKE '^&#[xX]' THEN conv({_DIGITS}, 16, 10) ELSE {_DIGITS} END AS BIGINT) END"
+_NUMERIC = f"""transform(array({_POINT}), n ->
+  CASE WHEN n IS NULL OR n = 0 OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN '\\ufffd'
+       WHEN n BETWEEN 128 AND 159 THEN substring({_C1}, CAST(n - 127 AS INT), 1)
+       ELSE decode(unhex(lpad(hex(n), 8, '0')), 'UTF-32') END)[0]"""
+_VALUE = f"CASE WHEN startswith(r, '&#') THEN {_NUMERIC} ELSE try_element_at(str_to_map({_NAMED}, '\\u0002', '\\u0001'), substring(r, 2)) END"
 
-def _numeric(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+)", 1)
-    base16 = ref.rlike(r"^&#[xX]")
-    short = F.length(F.ltrim(digits, F.lit("0"))) <= 7
-    point = F.when(short, F.when(base16, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
 
-    def char(n: Column) -> Column:
-        bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-        c1 = F.get(F.array(*[F.lit(v) for v in _C1]), (n - 0x80).cast("int"))
-        text = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when(bad, F.lit("�")).when(n.between(0x80, 0x9F), c1).otherwise(text)
-
-    return let(point, char)
+def _decode(skip: str) -> str:
+    # longer spellings first (``&#64;`` before ``&#6``); those giving '&' last, so nothing is decoded twice
+    return f"""
+x -> CASE WHEN contains(x, '&') THEN
+  aggregate(
+    sort_array(transform(
+      filter(transform(array_distinct(regexp_extract_all(x, '{_REFERENCE}', 0)), r -> named_struct('ref', r, 'value', {_VALUE})),
+             p -> p.value IS NOT NULL AND p.value NOT IN ({skip})),
+      p -> named_struct('last', p.value = '&', 'len', -length(p.ref), 'ref', p.ref, 'value', p.value))),
+    x, (acc, p) -> replace(acc, p.ref, p.value))
+ELSE x END
+"""
 
 
-def _value(ref: Column) -> Column:
-    named = F.try_element_at(F.str_to_map(F.lit(_NAMED), F.lit("\x02"), F.lit("\x01")), F.substring(ref, 2, 64))
-    return F.when(ref.startswith("&#"), _numeric(ref)).otherwise(named)
+_ALL, _BUT_MARKUP = _decode("''"), _decode("'&', '<', '>', '\"', '\\''")
 
 
 def decode_entities(c: Col, keep_markup: bool = False) -> Column:
@@ -45,14 +48,4 @@ def decode_entities(c: Col, keep_markup: bool = False) -> Column:
     Each *distinct* reference of a text is looked up and replaced once. References without the closing
     ``;`` are read for numbers only.
     """
-    c = col(c)
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)))
-    pairs = F.filter(
-        F.transform(refs, lambda r: F.struct(r.alias("ref"), _value(r).alias("value"))),
-        lambda p: p["value"].isNotNull() & (~p["value"].isin(*_MARKUP) if keep_markup else F.lit(True)),
-    )
-    # longer spellings first (``&#64;`` before ``&#6``); those giving '&' last, so nothing is decoded twice
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(
-        (p["value"] == "&").alias("last"), (-F.length(p["ref"])).alias("len"), p["ref"].alias("ref"), p["value"].alias("value"))))
-    decoded = F.aggregate(ordered, c, lambda acc, p: F.replace(acc, p["ref"], p["value"]))
-    return F.when(c.contains("&"), decoded).otherwise(c)
+    return let_sql(c, _BUT_MARKUP if keep_markup else _ALL)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadweave import fixed
+
 Col = Column | str
 
 
@@ -19,27 +21,42 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda bound: body(bound)).getItem(0)
 
 
+def let_sql(value: Col, body: str) -> Column:
+    """Like :func:`let` with the body as SQL text ``x -> ...``; long bodies are built in one call that way."""
+    return F.call_function("transform", F.array(col(value)), F.expr(body)).getItem(0)
+
+
+def sql_text(value: str) -> str:
+    """SQL string literal of any text."""
+    plain = lambda c: c.isascii() and c.isprintable() and c not in "'\\"
+    return "'" + "".join(c if plain(c) else (f"\\u{ord(c):04x}" if ord(c) < 0x10000 else f"\\U{ord(c):08x}") for c in value) + "'"
+
+
 def empty_list() -> Column:
     return F.array().cast("array<string>")
 
 
 def literals(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")")
+
+
+_UNIQUE = f"""
+x -> transform(array(filter(x, v -> trim(BOTH {sql_text(fixed.SPACE_CHARS)} FROM v) <> '')), vs ->
+  CASE WHEN size(vs) < 2 OR size(array_distinct(transform(vs, v -> lower(v)))) = size(vs) THEN vs ELSE
+    transform(
+      sort_array(transform(
+        transform(array(sort_array(transform(vs, (v, i) -> named_struct('k', lower(v), 'i', i, 'v', v)))),
+                  s -> filter(s, (e, j) -> j = 0 OR get(s, j - 1).k <> e.k))[0],
+        e -> named_struct('i', e.i, 'v', e.v))),
+      e -> e.v)
+  END)[0]
+"""
 
 
 def ordered_unique(values: Col) -> Column:
     """Unique ignoring case; the first spelling and its position win; blanks go.
 
-    Sorts by (lowered value, position), so a list of n values costs n log n.
+    A list without repeats is found by hashing. One with repeats is sorted by (lowered value, position), so n values
+    cost n log n.
     """
-    from leadweave.functions.text import trim_space
-
-    kept = F.filter(col(values), lambda v: trim_space(v) != "")
-
-    def unique(vs: Column) -> Column:
-        keyed = F.array_sort(F.transform(vs, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
-        firsts = let(keyed, lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"])))
-        by_position = F.array_sort(F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["v"].alias("v"))))
-        return F.transform(by_position, lambda e: e["v"])
-
-    return let(kept, lambda vs: F.when(F.size(vs) < 2, vs).otherwise(unique(vs)))
+    return let_sql(values, _UNIQUE)

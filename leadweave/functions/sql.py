@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from leadweave import fixed
-
-
-def _text(value: str) -> str:
-    return "'" + "".join(c if c.isascii() and c.isprintable() and c not in "'\\" else f"\\u{ord(c):04x}" for c in value) + "'"
+from leadweave.functions.lists import sql_text
 
 
 def _functions() -> dict[str, tuple[str, str]]:
-    spaces = _text(fixed.SPACE_CHARS)
+    spaces = sql_text(fixed.SPACE_CHARS)
     edge = r"[^\P{P}_#]"
-    edges = _text(rf"^{edge}+|(?<!{edge}){edge}+\z")
-    handle = _text(r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)")
-    domain = _text(r"(?s)^[^@]*@(.+)\z")
+    edges = sql_text(rf"^{edge}+|(?<!{edge}){edge}+\z")
+    handle = sql_text(r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)")
+    domain = sql_text(r"(?s)^[^@]*@(.+)\z")
     return {
         "trim_space": ("v STRING", f"trim(BOTH {spaces} FROM v)"),
         "clean_token": ("v STRING", f"regexp_replace(trim(BOTH {spaces} FROM v), {edges}, '')"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadweave import fixed
-from leadweave.functions.lists import Col, col, empty_list, literals, ordered_unique
+from leadweave.functions.lists import Col, col, empty_list, ordered_unique
 
 # Punctuation other than _ and #. The look-behind lets a match start only where a
 # run of punctuation starts, so a long run is scanned once.
@@ -160,6 +160,3 @@ def status_class(results: Col) -> Column:
     first = F.get(col(results), F.lit(0))
     return F.when(first.isNull(), F.lit(None).cast("string")).when(first["status"] == "VALID", "valid").otherwise("invalid")
 
-
-def in_values(c: Column, values) -> Column:
-    return F.array_contains(literals(values), c)

@@ -160,7 +160,7 @@ def page_url(category_url: Col, page_no: Col) -> Column:
             F.try_url_decode(F.regexp_extract(v, r"(?s)^[^=]*=(.*)\z", 1)).alias("v")))
         others = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != "page"))
         own = F.struct(F.lit("page").alias("k"), F.lit(0).alias("i"), col(page_no).cast("string").alias("v"))
-        encoded = F.transform(F.array_sort(F.concat(others, F.array(own))),
+        encoded = F.transform(F.sort_array(F.concat(others, F.array(own))),
                               lambda p: F.concat(_query_escape(p["k"]), F.lit("="), _query_escape(p["v"])))
         return F.concat(u["scheme"], F.lit("://"), u["authority"], _escape_path(u["path"]), F.lit("?"), F.array_join(encoded, "&"))
 

@@ -70,7 +70,7 @@ def handle_results(leads: DataFrame, snapshot: DataFrame | None, key: str = "id"
     """``key, tg_results, usable``: all verdicts of a lead in handle order, and the handles that stay usable."""
     rows = leads.select(key, F.posexplode(col(handles)).alias("pos", "handle"))
     checked = check_handles(rows, snapshot, "handle", [key, "pos"])
-    each = F.array_sort(F.collect_list(F.struct("pos", "handle", "verdict")))
+    each = F.sort_array(F.collect_list(F.struct("pos", "handle", "verdict")))
     return checked.groupBy(key).agg(each.alias("each")).select(
         key,
         F.transform("each", lambda e: e["verdict"]).alias("tg_results"),

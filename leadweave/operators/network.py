@@ -55,22 +55,27 @@ def _name_places() -> Column:
     return F.when(hit, F.array_compact(F.array(*by_class, *by_tag)))
 
 
-def page_structure(pages: DataFrame, winners: DataFrame | None = None) -> DataFrame:
+def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
     """``page_id, layout, toks``: all tokens of a page in order, with element ends; of ``winners`` only, where given.
 
     ``pages`` has ``page_id, layout, html``. The page is the unit of the result and was one row to begin with. It is
-    moved once, before it is cut into tokens; every window and grouping after that uses the same placement.
+    moved once, before it is cut into tokens; every window and grouping after that uses the same placement. HTML without any
+    row, term, list item or div is not moved at all. ``carry`` columns come out as the struct ``carried``.
     """
-    worth = pages.filter(F.col("html").rlike(r"(?i)<(?:tr|dt|li|div)[\s/>]")).select("page_id", "layout", "html")
-    placed = worth.repartition("page_id")
+    carry = carry or []
+    worth = F.when(F.col("html").rlike(r"(?i)<(?:tr|dt|li|div)[\s/>]"), F.col("html"))
+    # a fixed number of partitions: merging small ones, as is done by default, would starve the token work of tasks
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = pages.select("page_id", "layout", *carry, worth.alias("html")).repartition(parts, "page_id")
     if winners is not None:  # on the same placement: only the ids move (a semi join would be pushed below it)
         placed = placed.join(winners, "page_id")
-    marked = with_ends(tokens(placed, ["page_id", "layout"]).select(
-        "page_id", "layout", "ord", "kind", "tag", "text",
+    marked = with_ends(tokens(placed, ["page_id", "layout"], carry).select(
+        "page_id", "layout", "ord", "kind", "tag", "text", "carried",
         _contact_values(F.col("layout")).alias("attr"), _name_places().alias("places")))
     token = F.struct("ord", "kind", "tag", "text", "attr", "places",
                      F.coalesce(F.col("end"), F.lit(2147483647)).alias("end"), "level", "n_cells", "n_tags")
-    return marked.groupBy("page_id", "layout").agg(F.array_sort(F.collect_list(token)).alias("toks"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("ord").isNotNull(), token)))
+    return marked.groupBy("page_id", "layout").agg(listed.alias("toks"), F.any_value("carried", F.lit(True)).alias("carried"))
 
 
 def _opened(toks: Column, test) -> Column:
@@ -171,7 +176,7 @@ def block_managers(toks: Column, blocks: Column) -> Column:
 
 
 def _merged(lists: str) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct("m.ord", F.col(f"m.{lists}").alias("v"))))
+    ordered = F.sort_array(F.collect_list(F.struct("m.ord", F.col(f"m.{lists}").alias("v"))))
     return ordered_unique(F.flatten(ordered["v"])).alias(lists)
 
 
@@ -182,20 +187,25 @@ def _refilled() -> list[Column]:
             for name, found in (("emails", emails), ("skype", skype_ids), ("telegram", telegram_handles))]
 
 
-def network_records(pages: DataFrame, winners: DataFrame | None = None) -> DataFrame:
-    """``page_id, network`` for pages of layout A and B that hold any table row, term, list item or div.
+def network_records(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``page_id, layout, carry..., network`` per page; ``network`` is NULL for the default layout.
 
     Managers of one page with the same name ignoring case are merged; all groupings are by page, on the placement
     that :func:`page_structure` set up.
     """
-    found = page_structure(pages, winners).select(
-        "page_id", metadata(key_value_rows(F.col("toks")), key_value_pairs(F.col("toks"))).alias("meta"),
+    carry = carry or []
+    found = page_structure(pages, winners, carry).select(
+        "page_id", "layout", "carried", metadata(key_value_rows(F.col("toks")), key_value_pairs(F.col("toks"))).alias("meta"),
         block_managers(F.col("toks"), manager_blocks(F.col("toks"), F.col("layout"))).alias("managers"))
-    rows = found.select("page_id", "meta", F.explode_outer("managers").alias("m"))
-    merged = rows.groupBy("page_id", "meta", F.lower("m.name").alias("name_key")).agg(
-        F.min("m.ord").alias("ord"), F.min_by("m.name", "m.ord").alias("name"), *[_merged(c) for c in ("emails", "skype", "telegram")])
-    filled = merged.select("page_id", "meta", "ord", "name", *_refilled())
+    # what belongs to the page rides on its first manager, or on the one row a page without managers keeps
+    rows = found.select("page_id", "layout", "meta", "carried", F.posexplode_outer("managers").alias("i", "m"))
+    whole = F.when(F.coalesce("i", F.lit(0)) == 0, F.struct("layout", "meta", "carried"))
+    merged = rows.select("page_id", "m", whole.alias("whole")).groupBy("page_id", F.lower("m.name").alias("name_key")).agg(
+        F.any_value("whole", F.lit(True)).alias("whole"), F.min("m.ord").alias("ord"), F.min_by("m.name", "m.ord").alias("name"), *[_merged(c) for c in ("emails", "skype", "telegram")])
+    filled = merged.select("page_id", "whole", "ord", "name", *_refilled())
     manager = F.when(F.col("name").isNotNull(), F.struct("ord", "name", "emails", "skype", "telegram"))
-    per_page = filled.groupBy("page_id", "meta").agg(F.array_sort(F.collect_list(manager)).alias("managers"))
+    per_page = filled.groupBy("page_id").agg(F.any_value("whole", F.lit(True)).alias("whole"), F.sort_array(F.collect_list(manager)).alias("managers"))
     listed = F.transform("managers", lambda m: F.struct(*[m[c].alias(c) for c in ("name", "emails", "skype", "telegram")]))
-    return per_page.select("page_id", F.struct("meta.*", listed.alias("managers")).alias("network"))
+    network = F.struct("whole.meta.*", listed.alias("managers"))
+    known = F.col("whole.layout").isin("A", "B")
+    return per_page.select("page_id", "whole.layout", *[F.col(f"whole.carried.{c}").alias(c) for c in carry], F.when(known, network).alias("network"))

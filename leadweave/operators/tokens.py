@@ -52,14 +52,18 @@ def inner_text(html: Column, tag: str) -> Column:
     return decode_entities(F.regexp_replace(inner, rf"(?i)</?[a-z]{INSIDE}>", ""))
 
 
-def tokens(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """``keep`` columns plus ``ord, kind, tag, raw, text``.
+def tokens(pages: DataFrame, keep: list[str], carry: list[str], html: str = "html") -> DataFrame:
+    """``keep`` columns plus ``ord, kind, tag, raw, text`` and ``carried``.
 
     ``kind`` is open, close, text or skip (comments); ``text`` is the decoded text, or the body of a script-like element.
+    ``carry`` columns ride along as a struct on the first token of the page only. A page without HTML gives one skip row.
     """
-    rows = pages.select(*keep, F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))).alias("ord", "raw"))
+    found = F.posexplode_outer(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)))
+    first = F.coalesce(F.col("ord"), F.lit(0)) == 0
+    rows = pages.select(*keep, *carry, found.alias("ord", "raw")).select(
+        *keep, "ord", "raw", F.when(first, F.struct(F.lit(True).alias("first"), *carry)).alias("carried"))
     kind = (
-        F.when(F.col("raw").rlike("^<[a-zA-Z]"), "open").when(F.col("raw").rlike("^</[a-zA-Z]"), "close")
+        F.when(F.col("raw").isNull(), "skip").when(F.col("raw").rlike("^<[a-zA-Z]"), "open").when(F.col("raw").rlike("^</[a-zA-Z]"), "close")
         .when(F.col("raw").rlike(r"(?s)^<[!?/].*>\z|^<!--"), "skip").otherwise("text")
     )
     named = rows.withColumn("kind", kind).withColumn(

@@ -88,12 +88,12 @@ def scanned_text(html: Col, layout: Col) -> Column:
 
 
 def lead_core(routed: DataFrame) -> DataFrame:
-    """Compact lead rows out of pages with a layout: everything that needs no nesting. Narrow, no shuffle."""
-    texts = routed.select("page_id", "url", "layout", visible_markup("html").alias("markup"), scanned_text("html", "layout").alias("scanned"))
+    """Compact lead columns out of pages with a layout, next to ``html``. Narrow, no shuffle."""
+    texts = routed.select("page_id", "url", "layout", "html", visible_markup("html").alias("markup"), scanned_text("html", "layout").alias("scanned"))
     return texts.select(
-        "page_id", lead_id("url").alias("id"), F.col("url").alias("source_url"), "layout",
+        "page_id", "layout", "html", lead_id("url").alias("id"), F.col("url").alias("source_url"),
         company_name("markup", "layout").alias("company_name"), extract_contacts("scanned").alias("contacts"),
-    ).withColumn("raw_name", F.col("company_name"))
+    )
 
 
 def first_targets(pages: DataFrame) -> DataFrame:
@@ -105,18 +105,13 @@ def first_targets(pages: DataFrame) -> DataFrame:
 def leads_from_pages(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_ROUTES, winners: DataFrame | None = None) -> DataFrame:
     """One lead per page (``page_id, url, html``); with ``winners`` (``page_id``) only for those pages.
 
-    The page text itself is moved only for pages with a known layout that hold tables, lists or blocks; all other joins are on
-    compact rows. ``network`` is NULL for the default layout.
+    Pages are read once and moved once, by page. What can be found without nesting is taken out before the move, and the
+    page text goes along only for pages with a known layout. ``network`` is NULL for the default layout.
     """
-    routed = with_layout(pages.filter(url_problem("url").isNull()), routes)
-    core = lead_core(routed)
-    # an inner join on the unique id: unlike a semi join it is not pushed below the extraction, where it would move the HTML
-    core = core if winners is None else core.join(winners, "page_id")
-    records = network_records(routed.filter(F.col("layout").isin("A", "B")), winners)
-    empty = F.struct(*[F.lit("").alias(c) for c in ("commission_type", "payment_frequency", "minimum_payout", "referral_rate")],
-                     F.array().cast(records.schema["network"].dataType["managers"].dataType).alias("managers"))
-    network = F.when(F.col("layout").isin("A", "B"), F.coalesce("network", empty))
-    return core.join(records, "page_id", "left").withColumn("network", network)
+    core = lead_core(with_layout(pages.filter(url_problem("url").isNull()), routes))
+    nested = core.withColumn("html", F.when(F.col("layout").isin("A", "B"), F.col("html")))
+    leads = network_records(nested, winners, ["id", "source_url", "company_name", "contacts"])
+    return leads.withColumn("raw_name", F.col("company_name"))
 
 
 class LeadRun(NamedTuple):
