@@ -108,7 +108,7 @@ _SCANNED = f"CASE layout WHEN 'B' THEN concat_ws(' ', {o.decode('html', False)},
 
 @query("q_page_contacts", ctes("laid_out") + f", scanned AS (SELECT src, page_id, {_SCANNED} AS raw FROM laid_out) " + o.contacts_long("scanned", "src, page_id"))
 def q_page_contacts(spark, sf):
-    pages = spread_small(derived(spark, sf, "laid_out")).select("src", "page_id", scanned_text("html", "layout").alias("raw"))
+    pages = spread_small(derived(spark, sf, "laid_out")).select("src", "page_id", scanned_text("html", "layout", visible_markup("html")).alias("raw"))
     return _long(pages.select("src", "page_id", extract_contacts("raw").alias("contacts")), ["src", "page_id"])
 
 

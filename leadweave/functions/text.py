@@ -44,9 +44,9 @@ def is_noise(c: Col, terms=fixed.NOISE_TERMS) -> Column:
     return hit
 
 
-def _guarded(c: Column, needles: tuple[str, ...], found: Column) -> Column:
+def _guarded(c: Column, needles: tuple[str, ...], found: Column, low: Column | None = None) -> Column:
     """Run the costly pattern only on text that holds one of its fixed parts."""
-    low = F.lower(c)
+    low = F.lower(c) if low is None else low
     hit = low.contains(needles[0])
     for needle in needles[1:]:
         hit = hit | low.contains(needle)
@@ -57,53 +57,54 @@ def _all(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-def emails(c: Col) -> Column:
+def emails(c: Col, low: Column | None = None) -> Column:
     c = col(c)
     found = F.transform(_all(c, fixed.EMAIL, 1), lambda v: F.lower(clean_token(v)))
     kept = F.filter(found, lambda v: (v != "") & ~has_asset_suffix(v) & ~v.contains("base64"))
-    return _guarded(c, ("@",), F.array_distinct(kept))
+    return _guarded(c, ("@",), F.array_distinct(kept), low)
 
 
-def telegram_handles(c: Col) -> Column:
+def telegram_handles(c: Col, low: Column | None = None) -> Column:
     c = col(c)
     picked = F.zip_with(_all(c, fixed.TELEGRAM, 1), _all(c, fixed.TELEGRAM, 2), lambda a, b: F.lower(F.when(a != "", a).otherwise(b)))
     kept = F.filter(picked, lambda v: (v != "") & ~v.isin(*fixed.TELEGRAM_SYSTEM))
-    return _guarded(c, ("@", "t.me/", "telegram.me/"), F.array_distinct(kept))
+    return _guarded(c, ("@", "t.me/", "telegram.me/"), F.array_distinct(kept), low)
 
 
-def twitter_handles(c: Col, noise=fixed.NOISE_TERMS) -> Column:
+def twitter_handles(c: Col, noise=fixed.NOISE_TERMS, low: Column | None = None) -> Column:
     c = col(c)
     found = F.transform(_all(c, fixed.TWITTER, 1), F.lower)
     kept = F.filter(found, lambda v: ~v.isin(*fixed.TWITTER_SYSTEM) & ~is_noise(v, noise))
-    return _guarded(c, ("x.com/", "twitter.com/"), F.array_distinct(kept))
+    return _guarded(c, ("x.com/", "twitter.com/"), F.array_distinct(kept), low)
 
 
-def linkedin_links(c: Col, noise=fixed.NOISE_TERMS) -> Column:
+def linkedin_links(c: Col, noise=fixed.NOISE_TERMS, low: Column | None = None) -> Column:
     c = col(c)
     found = F.filter(F.transform(_all(c, fixed.LINKEDIN, 0), clean_token), lambda v: ~is_noise(v, noise))
-    return _guarded(c, ("linkedin.com/",), ordered_unique(found))
+    return _guarded(c, ("linkedin.com/",), ordered_unique(found), low)
 
 
-def skype_ids(c: Col) -> Column:
+def skype_ids(c: Col, low: Column | None = None) -> Column:
     c = col(c)
-    return _guarded(c, ("skype:", "live:"), ordered_unique(F.transform(_all(c, fixed.SKYPE, 0), clean_token)))
+    return _guarded(c, ("skype:", "live:"), ordered_unique(F.transform(_all(c, fixed.SKYPE, 0), clean_token)), low)
 
 
-def discord_names(c: Col) -> Column:
+def discord_names(c: Col, low: Column | None = None) -> Column:
     c = col(c)
-    invites = _guarded(c, ("discord",), F.transform(_all(c, fixed.DISCORD_INVITE, 0), clean_token))
-    tags = _guarded(c, ("#",), F.transform(_all(c, fixed.DISCORD_TAG, 1), lambda v: F.lower(clean_token(v))))
-    return ordered_unique(F.concat(invites, tags))
+    invites = _guarded(c, ("discord",), F.transform(_all(c, fixed.DISCORD_INVITE, 0), clean_token), low)
+    tags = F.transform(_all(c, fixed.DISCORD_TAG, 1), lambda v: F.lower(clean_token(v)))
+    return ordered_unique(F.concat(invites, F.when(c.rlike("#[0-9]{4}"), tags).otherwise(empty_list())))
 
 
 CONTACT_KINDS = ("emails", "skype", "discord", "linkedin", "twitter", "telegram")
 
 
-def extract_contacts(c: Col) -> Column:
-    """All six contact lists of one text as a struct."""
+def extract_contacts(c: Col, low: Col | None = None) -> Column:
+    """All six contact lists of one text as a struct; ``low`` is the lowered text where it is at hand."""
+    low = F.lower(col(c)) if low is None else col(low)
     return F.struct(
-        emails(c).alias("emails"), skype_ids(c).alias("skype"), discord_names(c).alias("discord"),
-        linkedin_links(c).alias("linkedin"), twitter_handles(c).alias("twitter"), telegram_handles(c).alias("telegram"),
+        emails(c, low).alias("emails"), skype_ids(c, low).alias("skype"), discord_names(c, low).alias("discord"),
+        linkedin_links(c, low=low).alias("linkedin"), twitter_handles(c, low=low).alias("twitter"), telegram_handles(c, low).alias("telegram"),
     )
 
 

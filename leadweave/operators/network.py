@@ -42,8 +42,11 @@ def _contact_values(layout: Column) -> Column:
         of_b = F.concat_ws("\n", *[found[n] for n in fixed.MANAGER_ATTRIBUTES_B])
         return F.when((layout == "A") & selected, of_a).when((layout == "B") & (selected | meta), of_b).otherwise("")
 
-    hit = (F.col("kind") == "open") & F.col("raw").rlike("(?i)data-email|data-tippy|title|href|content")
-    return F.when(hit, decode_entities(let(attributes("raw"), values))).otherwise("")
+    low = F.lower("raw")
+    named = low.contains(fixed.MANAGER_ATTRIBUTES_B[0])
+    for name in fixed.MANAGER_ATTRIBUTES_B[1:]:
+        named = named | low.contains(name)
+    return F.when((F.col("kind") == "open") & named, decode_entities(let(attributes("raw"), values))).otherwise("")
 
 
 def _name_places() -> Column:
@@ -75,7 +78,8 @@ def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: li
     token = F.struct("ord", "kind", "tag", "text", "attr", "places",
                      F.coalesce(F.col("end"), F.lit(2147483647)).alias("end"), "level", "n_cells", "n_tags")
     listed = F.sort_array(F.collect_list(F.when(F.col("ord").isNotNull(), token)))
-    return marked.groupBy("page_id", "layout").agg(listed.alias("toks"), F.any_value("carried", F.lit(True)).alias("carried"))
+    once = [F.any_value(c, F.lit(True)).alias(c) for c in ("layout", "carried")]
+    return marked.groupBy("page_id").agg(listed.alias("toks"), *once)
 
 
 def _opened(toks: Column, test) -> Column:

@@ -17,14 +17,14 @@ from leadweave.functions.lists import Col, col, let
 # quotes count inside a tag only after '='
 INSIDE = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
 _RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes|noscript"
+# text, or what a '<' starts: comment, element whose body is not markup, tag, declaration; else the '<' is text
 TOKEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<({_RAW})(?=[\s/>]){INSIDE}>.*?(?=</\1|\z)"
-    rf"|</?[a-z]{INSIDE}>"
-    r"|<[!?/][^>]*>"
-    r"|[^<]+|<"
+    r"(?is)[^<]++|<(?:!--.*?(?:-->|\z)"
+    rf"|({_RAW})(?=[\s/>]){INSIDE}>.*?(?=</\1|\z)"
+    rf"|/?[a-z]{INSIDE}>"
+    r"|[!?/][^>]*>)?"
 )
-_HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|xmp|iframe|noembed|noframes|noscript)(?=[\s/>]){INSIDE}>.*?(?:</\1\s*>|\z)"
+_HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|textarea|xmp|iframe|noembed|noframes|noscript)(?=[\s/>]){INSIDE}>.*?(?:</\1\s*>|\z))"
 _ATTRIBUTE = r"""(?s)[^\s=/>"'][^\s=/>]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
@@ -62,15 +62,17 @@ def tokens(pages: DataFrame, keep: list[str], carry: list[str], html: str = "htm
     first = F.coalesce(F.col("ord"), F.lit(0)) == 0
     rows = pages.select(*keep, *carry, found.alias("ord", "raw")).select(
         *keep, "ord", "raw", F.when(first, F.struct(F.lit(True).alias("first"), *carry)).alias("carried"))
+    raw = F.col("raw")
     kind = (
-        F.when(F.col("raw").isNull(), "skip").when(F.col("raw").rlike("^<[a-zA-Z]"), "open").when(F.col("raw").rlike("^</[a-zA-Z]"), "close")
-        .when(F.col("raw").rlike(r"(?s)^<[!?/].*>\z|^<!--"), "skip").otherwise("text")
+        F.when(raw.isNull(), "skip").when(~raw.startswith("<") | (raw == "<"), "text")
+        .when(F.substring(raw, 2, 1).between("A", "z"), "open")
+        .when(F.substring(raw, 2, 1).eqNullSafe("/") & F.substring(raw, 3, 1).between("A", "z"), "close").otherwise("skip")
     )
     named = rows.withColumn("kind", kind).withColumn(
         "tag", F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][^\s/>]*)", 1))).otherwise(""))
     body = F.regexp_replace("raw", rf"(?is)^<[a-z]{INSIDE}>", "")
     text = (
-        F.when(F.col("kind") == "text", decode_entities("raw"))
+        F.when(F.col("kind") == "text", F.when(raw.contains("&"), decode_entities(raw)).otherwise(raw))
         .when((F.col("kind") == "open") & F.col("tag").isin(*_RAW.split("|")),
               F.when(F.col("tag").isin("title", "textarea"), decode_entities(body)).otherwise(body))
         .otherwise("")
@@ -114,12 +116,13 @@ def with_ends(toks: DataFrame, page: str = "page_id") -> DataFrame:
         .otherwise(F.col("tag_run") + leaving).alias("depth"),
         is_row.alias("row_mark"),
     )
-    any_mark = Window.partitionBy(page, "family", "depth").orderBy("ord")
-    row_marks = Window.partitionBy(page, "family", "depth", "row_mark").orderBy("ord")
+    # read backwards, so that the next mark of either sort is the last one met
+    onward = Window.partitionBy(page, "family", "depth").orderBy(F.desc("ord"))
+    next_row_mark = F.last(F.when(F.col("row_mark"), F.col("ord")), ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, -1))
     end = (
         F.when(~is_open | tag.isin(*_VOID), F.col("ord"))
-        .when(tag == "tr", F.lead("ord").over(row_marks))
-        .otherwise(F.lead("ord").over(any_mark))
+        .when(tag == "tr", next_row_mark)
+        .otherwise(F.lag("ord").over(onward))
     )
     return grouped.select(*toks.columns, end.alias("end"), F.col("table_run").alias("level"), "n_cells", "n_tags")
 

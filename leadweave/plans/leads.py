@@ -79,20 +79,21 @@ def company_name(markup: Col, layout: Col) -> Column:
     )
 
 
-def scanned_text(html: Col, layout: Col) -> Column:
+def scanned_text(html: Col, layout: Col, markup: Col) -> Column:
     """Text that contacts are looked for in: the whole page with references decoded; layout B adds its meta contents."""
     html = col(html)
-    contents = F.filter(F.transform(_metas(visible_markup(html)), lambda m: attribute(m, "content")), lambda v: v.isNotNull())
+    contents = F.filter(F.transform(_metas(markup), lambda m: attribute(m, "content")), lambda v: v.isNotNull())
     whole = decode_entities(html, keep_markup=True)
     return F.when(col(layout) == "B", F.concat_ws(" ", whole, decode_entities(F.array_join(contents, " ")))).otherwise(whole)
 
 
 def lead_core(routed: DataFrame) -> DataFrame:
     """Compact lead columns out of pages with a layout, next to ``html``. Narrow, no shuffle."""
-    texts = routed.select("page_id", "url", "layout", "html", visible_markup("html").alias("markup"), scanned_text("html", "layout").alias("scanned"))
-    return texts.select(
+    visible = routed.select("page_id", "url", "layout", "html", visible_markup("html").alias("markup"))
+    scanned = visible.withColumn("scanned", scanned_text("html", "layout", "markup"))
+    return scanned.withColumn("low", F.lower("scanned")).select(
         "page_id", "layout", "html", lead_id("url").alias("id"), F.col("url").alias("source_url"),
-        company_name("markup", "layout").alias("company_name"), extract_contacts("scanned").alias("contacts"),
+        company_name("markup", "layout").alias("company_name"), extract_contacts("scanned", "low").alias("contacts"),
     )
 
 
