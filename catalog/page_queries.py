@@ -58,13 +58,13 @@ def _structure(spark, sf):
 
 @query("q_kv_rows", _WITH_ROUTED + _KV)
 def q_kv_rows(spark, sf):
-    rows = _structure(spark, sf).select("page_id", F.explode(key_value_rows(F.col("toks"))).alias("p"))
+    rows = _structure(spark, sf).select("page_id", F.explode(key_value_rows(F.col("marks"), F.col("texts"))).alias("p"))
     return rows.select("page_id", collapse_space("p.label").alias("label"), collapse_space("p.value").alias("value"))
 
 
 @query("q_kv_pairs", _WITH_ROUTED + _KP)
 def q_kv_pairs(spark, sf):
-    rows = _structure(spark, sf).select("page_id", F.explode(key_value_pairs(F.col("toks"))).alias("p"))
+    rows = _structure(spark, sf).select("page_id", F.explode(key_value_pairs(F.col("marks"), F.col("texts"))).alias("p"))
     return rows.select("page_id", collapse_space("p.label").alias("label"), collapse_space("p.value").alias("value"))
 
 
@@ -76,7 +76,7 @@ _META = f"""SELECT page_id, coalesce(max(value) FILTER (field = 'commission_type
 
 @query("q_network_metadata", _WITH_ROUTED + _META)
 def q_network_metadata(spark, sf):
-    found = _structure(spark, sf).select("page_id", metadata(key_value_rows(F.col("toks")), key_value_pairs(F.col("toks"))).alias("m"))
+    found = _structure(spark, sf).select("page_id", metadata(key_value_rows(F.col("marks"), F.col("texts")), key_value_pairs(F.col("marks"), F.col("texts"))).alias("m"))
     return found.select("page_id", "m.*")
 
 
@@ -86,7 +86,7 @@ _BLOCKS = f"""SELECT page_id, 1 AS block, {o.collapse(_untag("label || value"))}
 
 @query("q_manager_blocks", _WITH_ROUTED + f"SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block) - 1 AS pos, text FROM ({_BLOCKS})")
 def q_manager_blocks(spark, sf):
-    found = _structure(spark, sf).select("page_id", F.posexplode(manager_blocks(F.col("toks"), F.col("layout"))).alias("pos", "b"))
+    found = _structure(spark, sf).select("page_id", F.posexplode(manager_blocks(F.col("marks"), F.col("texts"), F.col("layout"))).alias("pos", "b"))
     return found.select("page_id", "pos", "b.text")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed
 from leadweave.functions.entities import decode_entities
-from leadweave.functions.lists import let, ordered_unique
+from leadweave.functions.lists import empty_list, let, ordered_unique
 from leadweave.functions.text import collapse_space, emails, skype_ids, telegram_handles, trim_space
-from leadweave.operators.tokens import attribute, attributes, let_text, tokens, with_ends
+from leadweave.operators.tokens import attribute, attributes, page_tokens, tags, text_between, token_text, with_ends
 
 _NAME_PLACES = (".name", ".manager-name", "strong", "b", "h3", "h4")
 _FIELDS = ("commission_type", "payment_frequency", "minimum_payout", "referral_rate")
@@ -25,7 +25,7 @@ def metadata_field(label: Column) -> Column:
     )
 
 
-def _contact_values(layout: Column) -> Column:
+def _contact_values(raw: Column, tag: Column, layout: Column) -> Column:
     """Attribute values of an opening tag that may hold manager contacts, one per line.
 
     No contact pattern crosses a line break, so one pass over the lines finds what a pass per value would.
@@ -35,31 +35,31 @@ def _contact_values(layout: Column) -> Column:
         found = {n: attribute(pieces, n) for n in fixed.MANAGER_ATTRIBUTES_B}
         selected = (
             found["data-email"].isNotNull() | found["data-tippy"].isNotNull() | found["title"].isNotNull()
-            | ((F.col("tag") == "a") & found["href"].isNotNull())
+            | ((tag == "a") & found["href"].isNotNull())
         )
-        meta = (F.col("tag") == "meta") & found["content"].isNotNull()
+        meta = (tag == "meta") & found["content"].isNotNull()
         of_a = F.concat_ws("\n", *[found[n] for n in fixed.MANAGER_ATTRIBUTES_A])
         of_b = F.concat_ws("\n", *[found[n] for n in fixed.MANAGER_ATTRIBUTES_B])
         return F.when((layout == "A") & selected, of_a).when((layout == "B") & (selected | meta), of_b).otherwise("")
 
-    low = F.lower("raw")
+    low = F.lower(raw)
     named = low.contains(fixed.MANAGER_ATTRIBUTES_B[0])
     for name in fixed.MANAGER_ATTRIBUTES_B[1:]:
         named = named | low.contains(name)
-    return F.when((F.col("kind") == "open") & named, decode_entities(let(attributes("raw"), values))).otherwise("")
+    return F.when(named, decode_entities(let(attributes(raw), values))).otherwise("")
 
 
-def _name_places() -> Column:
-    """Which manager-name selectors an opening tag meets, as a list of their numbers."""
-    classes = F.split(F.coalesce(attribute(attributes("raw"), "class"), F.lit("")), r"\s+")
-    by_class = [F.when(F.array_contains(classes, place[1:]), i) for i, place in enumerate(_NAME_PLACES) if place.startswith(".")]
-    by_tag = [F.when(F.col("tag") == place, i) for i, place in enumerate(_NAME_PLACES) if not place.startswith(".")]
-    hit = (F.col("kind") == "open") & (F.col("raw").contains("name") | F.col("tag").isin("strong", "b", "h3", "h4"))
-    return F.when(hit, F.array_compact(F.array(*by_class, *by_tag)))
+def _is_place(place: str, raw: Column, tag: Column) -> Column:
+    """Whether an opening tag meets a manager-name selector."""
+    if not place.startswith("."):
+        return tag == place
+    classes = F.split(F.coalesce(attribute(attributes(raw), "class"), F.lit("")), r"\s+")
+    return raw.contains(place[1:]) & F.array_contains(classes, place[1:])
 
 
 def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``page_id, layout, toks``: all tokens of a page in order, with element ends; of ``winners`` only, where given.
+    """``page_id, layout, marks, raws, texts, carried``: the tags of a page in order with their element ends, its
+    tokens as written, and the text of each; of ``winners`` only, where given.
 
     ``pages`` has ``page_id, layout, html``. The page is the unit of the result and was one row to begin with. It is
     moved once, before it is cut into tokens; every window and grouping after that uses the same placement. HTML without any
@@ -72,55 +72,46 @@ def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: li
     placed = pages.select("page_id", "layout", *carry, worth.alias("html")).repartition(parts, "page_id")
     if winners is not None:  # on the same placement: only the ids move (a semi join would be pushed below it)
         placed = placed.join(winners, "page_id")
-    marked = with_ends(tokens(placed, ["page_id", "layout"], carry).select(
-        "page_id", "layout", "ord", "kind", "tag", "text", "carried",
-        _contact_values(F.col("layout")).alias("attr"), _name_places().alias("places")))
-    token = F.struct("ord", "kind", "tag", "text", "attr", "places",
-                     F.coalesce(F.col("end"), F.lit(2147483647)).alias("end"), "level", "n_cells", "n_tags")
-    listed = F.sort_array(F.collect_list(F.when(F.col("ord").isNotNull(), token)))
-    once = [F.any_value(c, F.lit(True)).alias(c) for c in ("layout", "carried")]
-    return marked.groupBy("page_id").agg(listed.alias("toks"), *once)
+    ended = with_ends(tags(placed, ["page_id"], ["layout", *carry, "html"]))
+    mark = F.when(F.col("kind").isin("open", "close"), F.struct("ord", "kind", "tag", "end", "end_i", "level", "n_cells", "i"))
+    grouped = ended.groupBy("page_id").agg(F.sort_array(F.collect_list(mark)).alias("marks"), F.any_value("carried", F.lit(True)).alias("carried"))
+    cut = grouped.select("page_id", "marks", "carried", F.coalesce(page_tokens("carried.html"), empty_list()).alias("raws"))
+    return cut.select("page_id", F.col("carried.layout").alias("layout"), "marks", "raws", F.transform("raws", token_text).alias("texts"), "carried")
 
 
-def _opened(toks: Column, test) -> Column:
-    return F.filter(toks, lambda t: (t["kind"] == "open") & test(t))
+def _opened(marks: Column, test) -> Column:
+    return F.filter(marks, lambda t: (t["kind"] == "open") & test(t))
 
 
 def _text_of(texts: Column, element: Column) -> Column:
-    return let_text(texts, element["ord"], F.least(element["end"], F.size(texts)))
+    return text_between(texts, element["ord"], F.coalesce(element["end"], F.size(texts)))
 
 
-def key_value_rows(toks: Column) -> Column:
+def key_value_rows(marks: Column, texts: Column) -> Column:
     """First two cells of every table row that has two: ``array<struct<ord, label, value>>``."""
 
-    def rows(texts: Column, cells: Column) -> Column:
+    def rows(cells: Column) -> Column:
         def pair(row: Column) -> Column:
-            first, second = F.get(cells, row["n_cells"].cast("int")), F.get(cells, (row["n_cells"] + 1).cast("int"))
+            first, second = F.get(cells, row["n_cells"]), F.get(cells, row["n_cells"] + 1)
             both = F.struct(row["ord"].alias("ord"), _text_of(texts, first).alias("label"), _text_of(texts, second).alias("value"))
-            return F.when(second["ord"] < row["end"], both)
+            return F.when(second["ord"] < F.coalesce(row["end"], F.size(texts)), both)
 
-        rows_ = _opened(toks, lambda t: (t["tag"] == "tr") & (t["level"] > 0))
-        return F.filter(F.transform(rows_, pair), lambda p: p.isNotNull())
+        table_rows = _opened(marks, lambda t: (t["tag"] == "tr") & (t["level"] > 0))
+        return F.filter(F.transform(table_rows, pair), lambda p: p.isNotNull())
 
-    cells = _opened(toks, lambda t: t["tag"].isin("td", "th"))
-    return let(F.struct(toks["text"].alias("texts"), cells.alias("cells")), lambda s: rows(s["texts"], s["cells"]))
+    return let(_opened(marks, lambda t: t["tag"].isin("td", "th")), rows)
 
 
-def key_value_pairs(toks: Column) -> Column:
+def key_value_pairs(marks: Column, texts: Column) -> Column:
     """Every ``dt`` with the text of the element that follows it: ``array<struct<ord, label, value>>``."""
 
-    def pairs(texts: Column, tags: Column) -> Column:
-        def pair(term: Column) -> Column:
-            mark = F.get(toks, term["end"])
-            after = F.get(tags, mark["n_tags"].cast("int"))
-            sibling = F.when(mark["kind"] == "open", mark).when((mark["tag"] == "dt") & (after["kind"] == "open"), after)
-            return F.struct(term["ord"].alias("ord"), _text_of(texts, term).alias("label"),
-                            F.coalesce(let(sibling, lambda s: _text_of(texts, s)), F.lit("")).alias("value"))
+    def pair(term: Column) -> Column:
+        closing, after = F.get(marks, term["end_i"]), F.get(marks, term["end_i"] + 1)
+        sibling = F.when(closing["kind"] == "open", closing).when((closing["tag"] == "dt") & (after["kind"] == "open"), after)
+        return F.struct(term["ord"].alias("ord"), _text_of(texts, term).alias("label"),
+                        F.coalesce(let(sibling, lambda s: _text_of(texts, s)), F.lit("")).alias("value"))
 
-        return F.transform(_opened(toks, lambda t: t["tag"] == "dt"), pair)
-
-    tags = F.filter(toks, lambda t: t["kind"].isin("open", "close"))
-    return let(F.struct(toks["text"].alias("texts"), tags.alias("tags")), lambda s: pairs(s["texts"], s["tags"]))
+    return F.transform(_opened(marks, lambda t: t["tag"] == "dt"), pair)
 
 
 def metadata(rows: Column, pairs: Column) -> Column:
@@ -138,45 +129,47 @@ def metadata(rows: Column, pairs: Column) -> Column:
     return let(F.filter(named, lambda p: p["field"].isNotNull() & (p["value"] != "")), fold)
 
 
-def manager_blocks(toks: Column, layout: Column) -> Column:
-    """Rows, list items and divs that speak of a manager: ``array<struct<ord, end, text>>``; nested ones all count."""
+def manager_blocks(marks: Column, texts: Column, layout: Column) -> Column:
+    """Rows, list items and divs that speak of a manager, with their mark and ``text``; nested ones all count.
 
-    def blocks(texts: Column) -> Column:
-        opened = _opened(toks, lambda t: ((t["tag"] == "tr") & (t["level"] > 0)) | t["tag"].isin("li", "div"))
-        spans = F.transform(opened, lambda b: F.struct(b["ord"].alias("ord"), b["end"].alias("end"), collapse_space(_text_of(texts, b)).alias("text")))
+    A block's text is part of the page's, so pages that nowhere hold one of the phrases are passed over.
+    """
 
-        def speaks(b: Column) -> Column:
-            low = F.lower(b["text"])
-            shared = low.contains(fixed.MANAGER_PHRASES_B[0]) | low.contains(fixed.MANAGER_PHRASES_B[1])
-            return shared | ((layout == "B") & low.contains(fixed.MANAGER_PHRASES_B[2]))
+    # a phrase is in the collapsed text when its words stand in the text with any white space between them
+    spaced = {lay: "(?i)" + "|".join(p.replace(" ", fixed.SPACE_CLASS + "+") for p in phrases)
+              for lay, phrases in (("A", fixed.MANAGER_PHRASES_A), ("B", fixed.MANAGER_PHRASES_B))}
 
-        return F.filter(spans, speaks)
+    def speaks(text: Column) -> Column:
+        return F.when(layout == "B", text.rlike(spaced["B"])).otherwise(text.rlike(spaced["A"]))
 
-    return let(toks["text"], blocks)
+    opened = _opened(marks, lambda t: ((t["tag"] == "tr") & (t["level"] > 0)) | t["tag"].isin("li", "div"))
+    spans = F.transform(opened, lambda b: F.struct(b["ord"].alias("ord"), b.alias("mark"), _text_of(texts, b).alias("text")))
+    found = F.transform(F.filter(spans, lambda b: speaks(b["text"])), lambda b: b.withField("text", collapse_space(b["text"])))
+    return F.when(speaks(F.array_join(texts, "")), found)
 
 
-def block_managers(toks: Column, blocks: Column) -> Column:
+def block_managers(marks: Column, raws: Column, texts: Column, layout: Column, blocks: Column) -> Column:
     """Name and contacts of every block that gives a name: ``array<struct<ord, name, emails, skype, telegram>>``."""
 
-    def named(texts: Column, attrs: Column) -> Column:
-        def manager(b: Column) -> Column:
-            count = F.greatest(F.least(b["end"], F.size(texts)) - b["ord"] - 1, F.lit(0))
-            inner = F.slice(toks, b["ord"] + 2, count)
-
-            def place(i: int) -> Column:
-                first = F.get(F.filter(inner, lambda t: F.array_contains(t["places"], i)), F.lit(0))
-                return F.nullif(trim_space(let(first, lambda e: _text_of(texts, e))), F.lit(""))
+    def manager(b: Column) -> Column:
+        mark = b["mark"]
+        count = F.greatest(F.coalesce(mark["end_i"], F.size(marks)) - mark["i"] - 1, F.lit(0))
+        within = F.filter(F.slice(marks, mark["i"] + 2, count), lambda t: t["kind"] == "open")
+        return let(F.transform(within, lambda t: F.struct(t.alias("mark"), F.get(raws, t["ord"]).alias("raw"))), lambda inner: record(b, inner))
 
-            head = F.when(b["text"].contains(":"), F.btrim(F.substring_index(b["text"], ":", 1))).otherwise("")
-            name = F.coalesce(*[place(i) for i in range(len(_NAME_PLACES))], head)
-            lines = F.array_join(F.slice(attrs, b["ord"] + 2, count), "\n")
-            return let(lines, lambda v: F.struct(
-                b["ord"].alias("ord"), name.alias("name"), emails(v).alias("emails"),
-                skype_ids(v).alias("skype"), telegram_handles(v).alias("telegram")))
+    def record(b: Column, inner: Column) -> Column:
+        def named(place: str) -> Column:
+            first = F.get(F.filter(inner, lambda t: _is_place(place, t["raw"], t["mark"]["tag"])), F.lit(0))
+            return F.nullif(trim_space(let(first, lambda t: _text_of(texts, t["mark"]))), F.lit(""))
 
-        return F.filter(F.transform(blocks, manager), lambda m: m["name"] != "")
+        head = F.when(b["text"].contains(":"), F.btrim(F.substring_index(b["text"], ":", 1))).otherwise("")
+        name = F.coalesce(*[named(place) for place in _NAME_PLACES], head)
+        lines = F.array_join(F.transform(inner, lambda t: _contact_values(t["raw"], t["mark"]["tag"], layout)), "\n")
+        return let(lines, lambda v: F.struct(
+            b["ord"].alias("ord"), name.alias("name"), emails(v).alias("emails"),
+            skype_ids(v).alias("skype"), telegram_handles(v).alias("telegram")))
 
-    return let(F.struct(toks["text"].alias("texts"), toks["attr"].alias("attrs")), lambda s: named(s["texts"], s["attrs"]))
+    return F.filter(F.transform(blocks, manager), lambda m: m["name"] != "")
 
 
 def _merged(lists: str) -> Column:
@@ -198,9 +191,10 @@ def network_records(pages: DataFrame, winners: DataFrame | None = None, carry: l
     that :func:`page_structure` set up.
     """
     carry = carry or []
+    marks, raws, texts, layout = (F.col(c) for c in ("marks", "raws", "texts", "layout"))
     found = page_structure(pages, winners, carry).select(
-        "page_id", "layout", "carried", metadata(key_value_rows(F.col("toks")), key_value_pairs(F.col("toks"))).alias("meta"),
-        block_managers(F.col("toks"), manager_blocks(F.col("toks"), F.col("layout"))).alias("managers"))
+        "page_id", "layout", "carried", metadata(key_value_rows(marks, texts), key_value_pairs(marks, texts)).alias("meta"),
+        block_managers(marks, raws, texts, layout, manager_blocks(marks, texts, layout)).alias("managers"))
     # what belongs to the page rides on its first manager, or on the one row a page without managers keeps
     rows = found.select("page_id", "layout", "meta", "carried", F.posexplode_outer("managers").alias("i", "m"))
     whole = F.when(F.coalesce("i", F.lit(0)) == 0, F.struct("layout", "meta", "carried"))

@@ -52,56 +52,67 @@ def inner_text(html: Column, tag: str) -> Column:
     return decode_entities(F.regexp_replace(inner, rf"(?i)</?[a-z]{INSIDE}>", ""))
 
 
-def tokens(pages: DataFrame, keep: list[str], carry: list[str], html: str = "html") -> DataFrame:
-    """``keep`` columns plus ``ord, kind, tag, raw, text`` and ``carried``.
-
-    ``kind`` is open, close, text or skip (comments); ``text`` is the decoded text, or the body of a script-like element.
-    ``carry`` columns ride along as a struct on the first token of the page only. A page without HTML gives one skip row.
-    """
-    found = F.posexplode_outer(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)))
-    first = F.coalesce(F.col("ord"), F.lit(0)) == 0
-    rows = pages.select(*keep, *carry, found.alias("ord", "raw")).select(
-        *keep, "ord", "raw", F.when(first, F.struct(F.lit(True).alias("first"), *carry)).alias("carried"))
-    raw = F.col("raw")
-    kind = (
+def _kind(raw: Column) -> Column:
+    second, third = F.substring(raw, 2, 1), F.substring(raw, 3, 1)
+    return (
         F.when(raw.isNull(), "skip").when(~raw.startswith("<") | (raw == "<"), "text")
-        .when(F.substring(raw, 2, 1).between("A", "z"), "open")
-        .when(F.substring(raw, 2, 1).eqNullSafe("/") & F.substring(raw, 3, 1).between("A", "z"), "close").otherwise("skip")
+        .when(second.between("A", "z"), "open").when((second == "/") & third.between("A", "z"), "close").otherwise("skip")
     )
-    named = rows.withColumn("kind", kind).withColumn(
-        "tag", F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][^\s/>]*)", 1))).otherwise(""))
-    body = F.regexp_replace("raw", rf"(?is)^<[a-z]{INSIDE}>", "")
-    text = (
-        F.when(F.col("kind") == "text", F.when(raw.contains("&"), decode_entities(raw)).otherwise(raw))
-        .when((F.col("kind") == "open") & F.col("tag").isin(*_RAW.split("|")),
-              F.when(F.col("tag").isin("title", "textarea"), decode_entities(body)).otherwise(body))
-        .otherwise("")
+
+
+def page_tokens(html: Col) -> Column:
+    """All tokens of a page as written; joined they give the page again."""
+    return F.regexp_extract_all(col(html), F.lit(TOKEN), F.lit(0))
+
+
+def token_text(raw: Column) -> Column:
+    """Text a token adds to the page: decoded text, or the body of an element that holds no markup; '' for tags and comments."""
+    decoded = F.when(raw.contains("&"), decode_entities(raw)).otherwise(raw)
+    body = F.regexp_replace(raw, rf"(?is)^<[a-z]{INSIDE}>", "")
+    return (
+        F.when(~raw.startswith("<") | (raw == "<"), decoded)
+        .when(raw.rlike(r"(?i)^<(?:title|textarea)[\s/>]"), decode_entities(body))
+        .when(raw.rlike(rf"(?i)^<(?:{_RAW})[\s/>]"), body).otherwise("")
     )
-    return named.withColumn("text", text)
 
 
-def with_ends(toks: DataFrame, page: str = "page_id") -> DataFrame:
-    """Add ``end`` (ord where an element ends, NULL = end of page), ``level`` (table nesting), ``n_cells``
-    (cells opened before this token) and ``n_tags`` (tags up to and including it)."""
+def tags(pages: DataFrame, keep: list[str], carry: list[str], html: str = "html") -> DataFrame:
+    """Opening and closing tags as rows: ``keep`` columns, ``ord`` (place among the page's tokens), ``kind``, ``tag``, ``carried``.
+
+    ``carry`` columns ride along as a struct on the row of the page's first token only, which is there for every page.
+    Texts stay out of the rows that get sorted.
+    """
+    rows = pages.select(*keep, *carry, F.posexplode_outer(page_tokens(html)).alias("ord", "raw"))
+    first = F.coalesce(F.col("ord"), F.lit(0)) == 0
+    kinds = rows.select(*keep, "ord", "raw", _kind(F.col("raw")).alias("kind"), F.when(first, F.struct(F.lit(True).alias("first"), *carry)).alias("carried"))
+    kept = kinds.filter(F.col("kind").isin("open", "close") | F.col("carried").isNotNull())
+    name = F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][^\s/>]*)", 1)))
+    return kept.select(*keep, "ord", "kind", F.coalesce(name, F.lit("")).alias("tag"), "carried")
+
+
+def with_ends(marks: DataFrame, page: str = "page_id") -> DataFrame:
+    """Add to every tag its number ``i`` in the page; where its element ends (``end`` in tokens, ``end_i`` in tags, both NULL
+    for the end of the page); ``level`` of table nesting; ``n_cells`` opened before it."""
     tag, kind = F.col("tag"), F.col("kind")
     is_open, is_close = kind == "open", kind == "close"
 
     def step(hit: Column) -> Column:
         return F.when(hit & is_open, 1).when(hit & is_close, -1).otherwise(0)
 
-    in_page = Window.partitionBy(page).orderBy("ord")
-    up_to_here = in_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to_here = Window.partitionBy(page).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of_tag = Window.partitionBy(page, "tag").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_table, is_list, is_terms = tag == "table", tag.isin("ul", "ol", "menu", "dir"), tag == "dl"
     is_cell = tag.isin("td", "th")
     is_row = tag.isin("tr", "tbody", "thead", "tfoot") | (is_table & is_close)
-    counted = toks.select(
+    cell_opens = F.when(is_cell & is_open, 1).otherwise(0)
+    counted = marks.select(
         "*",
-        F.sum(step(is_table)).over(up_to_here).alias("table_run"),
+        F.sum(step(is_table)).over(up_to_here).alias("level"),
         F.sum(step(is_list)).over(up_to_here).alias("list_run"),
         F.sum(step(is_terms)).over(up_to_here).alias("terms_run"),
-        (F.sum(F.when(is_cell & is_open, 1).otherwise(0)).over(up_to_here) - F.when(is_cell & is_open, 1).otherwise(0)).alias("n_cells"),
-        F.sum(F.when(is_open | is_close, 1).otherwise(0)).over(up_to_here).alias("n_tags"),
-        F.sum(step(F.lit(True))).over(Window.partitionBy(page, "tag").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)).alias("tag_run"),
+        (F.sum(cell_opens).over(up_to_here) - cell_opens).cast("int").alias("n_cells"),
+        (F.sum(F.when(is_open | is_close, 1).otherwise(0)).over(up_to_here) - 1).cast("int").alias("i"),
+        F.sum(step(F.lit(True))).over(of_tag).alias("tag_run"),
     )
     leaving = F.when(is_close, 1).otherwise(0)
     in_table = is_cell | is_row
@@ -110,23 +121,24 @@ def with_ends(toks: DataFrame, page: str = "page_id") -> DataFrame:
     grouped = counted.select(
         "*",
         F.when(in_table, "table").when(in_list, "list").when(in_terms, "terms").otherwise(F.concat(F.lit("tag:"), tag)).alias("family"),
-        F.when(in_table, F.col("table_run") + F.when(is_table, leaving).otherwise(0))
+        F.when(in_table, F.col("level") + F.when(is_table, leaving).otherwise(0))
         .when(in_list, F.col("list_run") + F.when(is_list, leaving).otherwise(0))
         .when(in_terms, F.col("terms_run") + F.when(is_terms, leaving).otherwise(0))
         .otherwise(F.col("tag_run") + leaving).alias("depth"),
-        is_row.alias("row_mark"),
+        F.struct("ord", "i").alias("here"), is_row.alias("row_mark"),
     )
     # read backwards, so that the next mark of either sort is the last one met
     onward = Window.partitionBy(page, "family", "depth").orderBy(F.desc("ord"))
-    next_row_mark = F.last(F.when(F.col("row_mark"), F.col("ord")), ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, -1))
+    next_row_mark = F.last(F.when(F.col("row_mark"), F.col("here")), ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, -1))
     end = (
-        F.when(~is_open | tag.isin(*_VOID), F.col("ord"))
+        F.when(~is_open | tag.isin(*_VOID), F.col("here"))
         .when(tag == "tr", next_row_mark)
-        .otherwise(F.lag("ord").over(onward))
+        .otherwise(F.lag("here").over(onward))
     )
-    return grouped.select(*toks.columns, end.alias("end"), F.col("table_run").alias("level"), "n_cells", "n_tags")
+    ended = grouped.select(*marks.columns, end.alias("stop"), "level", "n_cells", "i")
+    return ended.select(*marks.columns, "i", F.col("stop.ord").alias("end"), F.col("stop.i").alias("end_i"), "level", "n_cells")
 
 
-def let_text(texts: Column, ord_: Column, end: Column) -> Column:
+def text_between(texts: Column, ord_: Column, end: Column) -> Column:
     """Texts strictly between two tokens, joined without separator as a page tree gives them."""
     return let(F.greatest(end - ord_ - 1, F.lit(0)), lambda n: F.array_join(F.slice(texts, ord_ + 2, n), ""))
