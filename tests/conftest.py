@@ -17,4 +17,5 @@ def spark():
 
 
 def values(df, *columns):
-    return [tuple(r) if len(columns) != 1 else r[0] for r in df.select(*columns).collect()]
+    one = len(columns) == 1 and columns[0] != "*"
+    return [r[0] if one else tuple(r) for r in df.select(*columns).collect()]
