@@ -273,9 +273,9 @@ def q_stream_first_seen(spark, sf):
     pages = jobs.stream_table(spark, f"{sf}/page[s].parquet", jobs.PAGES)  # a pattern may also name a single file
     kind = F.col("page_id") % 6
     listed = F.when(kind == 0, F.concat(F.lit("  "), F.upper("url"), F.lit(" "))).when(kind == 1, "").when(kind == 2, F.concat(F.lit("# "), "url")).otherwise(F.col("url"))
-    lines = pages.select(F.explode(F.array(listed, F.col("url"))).alias("line"))
+    lines = pages.select("page_id", F.posexplode(F.array(listed, F.col("url"))).alias("copy", "line"))
     out = scratch_dir(spark, "seen")
-    _run(jobs.stream_to_files(jobs.stream_first_seen(lines, "line"), out, scratch_dir(spark, "state")))
+    _run(jobs.stream_to_files(jobs.stream_first_seen(lines, "line", ["page_id", "copy"]), out, scratch_dir(spark, "state")))
     return spark.read.parquet(out).select("norm")
 
 

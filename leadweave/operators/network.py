@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed
 from leadweave.functions.entities import decode_entities
-from leadweave.functions.lists import empty_list, let, ordered_unique
+from leadweave.functions.lists import empty_list, let, literals, ordered_unique
 from leadweave.functions.text import collapse_space, emails, skype_ids, telegram_handles, trim_space
 from leadweave.operators.tokens import attribute, attributes, page_tokens, tags, text_between, token_text, with_ends
 
@@ -49,12 +49,12 @@ def _contact_values(raw: Column, tag: Column, layout: Column) -> Column:
     return F.when(named, decode_entities(let(attributes(raw), values))).otherwise("")
 
 
-def _is_place(place: str, raw: Column, tag: Column) -> Column:
-    """Whether an opening tag meets a manager-name selector."""
-    if not place.startswith("."):
-        return tag == place
+def _places(raw: Column, tag: Column) -> Column:
+    """Numbers of the manager-name selectors an opening tag meets."""
     classes = F.split(F.coalesce(attribute(attributes(raw), "class"), F.lit("")), r"\s+")
-    return raw.contains(place[1:]) & F.array_contains(classes, place[1:])
+    by_class = F.when(raw.contains("name"), F.transform(classes, lambda c: F.array_position(literals([p[1:] if p[0] == "." else "" for p in _NAME_PLACES]), c)))
+    by_tag = F.array_position(literals(_NAME_PLACES), tag)
+    return F.filter(F.concat(F.coalesce(by_class, F.array().cast("array<bigint>")), F.array(by_tag)), lambda i: i > 0)
 
 
 def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -158,12 +158,12 @@ def block_managers(marks: Column, raws: Column, texts: Column, layout: Column, b
         return let(F.transform(within, lambda t: F.struct(t.alias("mark"), F.get(raws, t["ord"]).alias("raw"))), lambda inner: record(b, inner))
 
     def record(b: Column, inner: Column) -> Column:
-        def named(place: str) -> Column:
-            first = F.get(F.filter(inner, lambda t: _is_place(place, t["raw"], t["mark"]["tag"])), F.lit(0))
-            return F.nullif(trim_space(let(first, lambda t: _text_of(texts, t["mark"]))), F.lit(""))
-
+        # the first element of each selector, selectors in order; the first of those with any text gives the name
+        met = F.flatten(F.transform(inner, lambda t: F.transform(_places(t["raw"], t["mark"]["tag"]), lambda p: F.struct(p.alias("place"), t["mark"].alias("mark")))))
+        firsts = let(F.sort_array(met), lambda ms: F.filter(ms, lambda e, j: (j == 0) | (F.get(ms, j - 1)["place"] != e["place"])))
+        spoken = F.filter(F.transform(firsts, lambda e: trim_space(_text_of(texts, e["mark"]))), lambda v: v != "")
         head = F.when(b["text"].contains(":"), F.btrim(F.substring_index(b["text"], ":", 1))).otherwise("")
-        name = F.coalesce(*[named(place) for place in _NAME_PLACES], head)
+        name = F.coalesce(F.get(spoken, F.lit(0)), head)
         lines = F.array_join(F.transform(inner, lambda t: _contact_values(t["raw"], t["mark"]["tag"], layout)), "\n")
         return let(lines, lambda v: F.struct(
             b["ord"].alias("ord"), name.alias("name"), emails(v).alias("emails"),

@@ -69,8 +69,12 @@ def read_writes(spark: SparkSession, path: str, schema: T.StructType = WRITES) -
 
 
 def publish(current: DataFrame, path: str) -> None:
-    """Write the folded table split by flag and sorted by domain, so that both predicates prune on read."""
-    current.repartition("is_cis", "source_domain").sortWithinPartitions("is_cis", "source_domain").write.mode("overwrite").partitionBy("is_cis").parquet(path)
+    """Write the folded table split by flag and sorted by domain, so that both predicates prune on read.
+
+    Ranges go down to the URL: a domain that holds a third of all leads is cut over several files.
+    """
+    order = ("is_cis", "source_domain", "source_url")
+    current.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("is_cis").parquet(path)
 
 
 def read_published(spark: SparkSession, path: str, schema: T.StructType = STORED) -> DataFrame:

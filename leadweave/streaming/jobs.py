@@ -23,13 +23,21 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per
     return reader.parquet(path)
 
 
-def stream_first_seen(rows: DataFrame, key: Col, event_time: str | None = None, forget_after: str | None = None) -> DataFrame:
+def stream_first_seen(rows: DataFrame, key: Col, spread_by: list[str] | None = None, salts: int = 8,
+                      event_time: str | None = None, forget_after: str | None = None) -> DataFrame:
     """One row per lowered, trimmed key over the whole life of the stream; blank keys are dropped.
 
-    Add ``event_time`` and ``forget_after`` to bound the state: keys are then forgotten after that delay,
-    which lets late copies through.
+    With ``spread_by`` (columns that differ between copies) copies are first dropped within ``salts`` shares of each key, so that
+    a key with a third of all rows is not left to one task; at most ``salts`` rows per key get to the second step. Add
+    ``event_time`` and ``forget_after`` to bound the state: keys are then forgotten after that delay, which lets late copies through.
     """
     keyed = rows.withColumn("norm", dedup_key(key)).filter(F.col("norm") != "")
+    if spread_by:
+        shared = keyed.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
+        if event_time and forget_after:
+            shared = shared.withWatermark(event_time, forget_after).dropDuplicatesWithinWatermark(["norm", "__salt"])
+            return shared.dropDuplicatesWithinWatermark(["norm"]).drop("__salt")
+        return shared.dropDuplicates(["norm", "__salt"]).dropDuplicates(["norm"]).drop("__salt")
     if event_time and forget_after:
         return keyed.withWatermark(event_time, forget_after).dropDuplicatesWithinWatermark(["norm"])
     return keyed.dropDuplicates(["norm"])

@@ -98,7 +98,10 @@ def test_streams_equal_the_batch(spark):
     stream = jobs.stream_table(spark, incoming, rows.schema, 1)
     jobs.stream_to_files(jobs.stream_first_seen(stream, "v"), out, scratch_dir(spark, "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 25
+    spread = scratch_dir(spark, "out")
+    jobs.stream_to_files(jobs.stream_first_seen(stream, "v", ["ord"]), spread, scratch_dir(spark, "state")).awaitTermination()
+    assert spark.read.parquet(spread).count() == 25
     stamped = stream.withColumn("at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     bounded = scratch_dir(spark, "out")
-    jobs.stream_to_files(jobs.stream_first_seen(stamped, "v", "at", "1 hour").drop("at"), bounded, scratch_dir(spark, "state")).awaitTermination()
+    jobs.stream_to_files(jobs.stream_first_seen(stamped, "v", event_time="at", forget_after="1 hour").drop("at"), bounded, scratch_dir(spark, "state")).awaitTermination()
     assert spark.read.parquet(bounded).count() == 25
