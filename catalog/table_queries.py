@@ -10,7 +10,7 @@ from catalog.derived import ctes, derived
 from catalog.text_queries import query
 from leadweave import fixed
 from leadweave.functions.rules import MailRules, classify
-from leadweave.functions.text import emails, extract_contacts, status_class, status_text
+from leadweave.functions.text import as_utc, emails, extract_contacts, status_class, status_text, utc_text
 from leadweave.functions.urls import lead_id, source_domain
 from leadweave.operators.dedup import first_seen, shared_keys
 from leadweave.operators.discover import discover, pagination_stop, without_known
@@ -144,7 +144,7 @@ def _leads(spark, sf) -> DataFrame:
     flagged = classify(_notes(spark, sf), MailRules(), None)
     checked = verify_handles(flagged, derived(spark, sf, "handle_snapshot"), "note_id")
     leads = verify_domains(checked, derived(spark, sf, "mx_snapshot"), "note_id")
-    return leads.withColumn("created_at", F.to_timestamp(F.lit(_CREATED)))
+    return leads.withColumn("created_at", as_utc(F.lit(_CREATED)))
 
 
 def _joined(kind: str) -> str:
@@ -216,11 +216,11 @@ _COLUMNS = ("source_url", "id", "company_name", "emails", "telegram_handles", "c
 
 
 def _writes(spark, sf) -> DataFrame:
-    return derived(spark, sf, "lead_writes").withColumn("written_at", F.col("written_at").cast("timestamp"))
+    return derived(spark, sf, "lead_writes").withColumn("written_at", as_utc("written_at"))
 
 
 def _shown(rows: DataFrame, columns=_COLUMNS) -> DataFrame:
-    return rows.select(*columns, *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "updated_at")])
+    return rows.select(*columns, *[utc_text(c).alias(c) for c in ("created_at", "updated_at")])
 
 
 def _published(spark, sf) -> DataFrame:
@@ -248,7 +248,7 @@ _SPLIT = "array_to_string(list_filter(string_split({c}, ','), lambda x: x <> '')
 def q_leads_scan(spark, sf):
     leads = scan_leads(_published(spark, sf), flagged_only=True)
     lists = [F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("emails", "telegram_handles")]
-    return leads.select("id", "source_url", "raw_name", *lists, "is_cis", "cis_reason", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+    return leads.select("id", "source_url", "raw_name", *lists, "is_cis", "cis_reason", utc_text("created_at").alias("created_at"))
 
 
 @query("q_known_urls", _STORE + "SELECT DISTINCT source_url FROM folded")

@@ -147,7 +147,7 @@ def q_status_parse(spark, sf):
  WHEN ends_with(raw, 'Z') THEN try_cast(replace(rtrim(raw, 'Z'), 'T', ' ') AS TIMESTAMP)
  WHEN ends_with(raw, '+02:00') THEN try_cast(replace(replace(raw, '+02:00', ''), 'T', ' ') AS TIMESTAMP) - INTERVAL 2 HOUR END, '%Y-%m-%d %H:%M:%S.%g') AS parsed FROM raw_times""")
 def q_parse_time(spark, sf):
-    return derived(spark, sf, "raw_times").select("id", F.date_format(text.parse_time("raw"), "yyyy-MM-dd HH:mm:ss.SSS").alias("parsed"))
+    return derived(spark, sf, "raw_times").select("id", text.utc_text(text.parse_time("raw"), "yyyy-MM-dd HH:mm:ss.SSS").alias("parsed"))
 
 
 # --- URLs ---------------------------------------------------------------------

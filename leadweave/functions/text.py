@@ -156,6 +156,16 @@ def parse_time(c: Col) -> Column:
     return F.when(plain, F.concat(c, F.lit("Z"))).when(zoned, c).try_cast("timestamp")
 
 
+def utc_text(c: Col, form: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Timestamp as UTC text, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(col(c), F.current_timezone()), form)
+
+
+def as_utc(c: Col) -> Column:
+    """Timestamp without zone read as UTC."""
+    return F.from_utc_timestamp(col(c).cast("timestamp"), F.current_timezone())
+
+
 def status_class(results: Col) -> Column:
     """'valid' or 'invalid' by the first result only, NULL for none."""
     first = F.get(col(results), F.lit(0))

@@ -25,6 +25,7 @@ TOKEN = (
     r"|[!?/][^>]*>)?"
 )
 _HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|textarea|xmp|iframe|noembed|noframes|noscript)(?=[\s/>]){INSIDE}>.*?(?:</\1\s*>|\z))"
+RAW_BODY = r"(?i)^<(?:script|style|xmp|iframe|noembed|noframes|noscript)[\s/>]"
 _ATTRIBUTE = r"""(?s)[^\s=/>"'][^\s=/>]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
@@ -72,7 +73,7 @@ def token_text(raw: Column) -> Column:
     return (
         F.when(~raw.startswith("<") | (raw == "<"), decoded)
         .when(raw.rlike(r"(?i)^<(?:title|textarea)[\s/>]"), decode_entities(body))
-        .when(raw.rlike(rf"(?i)^<(?:{_RAW})[\s/>]"), body).otherwise("")
+        .when(raw.rlike(RAW_BODY), body).otherwise("")
     )
 
 

@@ -18,7 +18,7 @@ from leadweave.operators.dedup import dedup_key
 from leadweave.operators.lookups import lookup_join, verify_domains, verify_handles
 from leadweave.operators.network import network_records
 from leadweave.operators.summary import run_summary
-from leadweave.operators.tokens import INSIDE, attribute, attributes, inner_text, visible_markup
+from leadweave.operators.tokens import INSIDE, RAW_BODY, attribute, attributes, inner_text, page_tokens, visible_markup
 from leadweave.session import table_size
 
 _TITLE = rf"(?is)<title(?=[\s/>]){INSIDE}>(.*?)(?:</title\s*>|\z)"
@@ -83,7 +83,10 @@ def scanned_text(html: Col, layout: Col, markup: Col) -> Column:
     """Text that contacts are looked for in: the whole page with references decoded; layout B adds its meta contents."""
     html = col(html)
     contents = F.filter(F.transform(_metas(markup), lambda m: attribute(m, "content")), lambda v: v.isNotNull())
-    whole = decode_entities(html, keep_markup=True)
+    # a script-like body is not decoded; token by token is only needed where hidden parts hold an '&' at all
+    hidden = F.length(F.replace(html, F.lit("&"), F.lit(""))) - F.length(html) != F.length(F.replace(col(markup), F.lit("&"), F.lit(""))) - F.length(col(markup))
+    pieces = F.transform(page_tokens(html), lambda t: F.when(t.rlike(RAW_BODY), t).otherwise(decode_entities(t, keep_markup=True)))
+    whole = F.when(hidden, F.array_join(pieces, "")).otherwise(decode_entities(html, keep_markup=True))
     return F.when(col(layout) == "B", F.concat_ws(" ", whole, decode_entities(F.array_join(contents, " ")))).otherwise(whole)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed
 from leadweave.functions.lists import Col, col
-from leadweave.functions.text import status_text
+from leadweave.functions.text import status_text, utc_text
 
 
 def flat_columns(contacts: dict[str, Col], results: Col, **plain: Col) -> list[Column]:
@@ -18,7 +18,7 @@ def flat_columns(contacts: dict[str, Col], results: Col, **plain: Col) -> list[C
     values = [
         col(plain["id"]), col(plain["company_name"]), col(plain["source_url"]), joined["emails"], joined["telegram"],
         status_text(results, "N/A"), joined["linkedin"], joined["skype"], joined["discord"], joined["twitter"],
-        col(plain["is_cis"]).cast("string"), col(plain["cis_reason"]), F.date_format(plain["created_at"], "yyyy-MM-dd HH:mm:ss"),
+        col(plain["is_cis"]).cast("string"), col(plain["cis_reason"]), utc_text(plain["created_at"]),
     ]
     return [v.alias(t) for v, t in zip(values, fixed.EXPORT_TITLES)]
 

@@ -77,6 +77,12 @@ def test_managers_are_merged_by_name_and_refilled(spark):
     assert [(m.name, m.emails, m.skype) for m in got] == [("Joe", ["a@x.example", "b@x.example"], []), ("skype:zed", [], ["skype:zed"])]
 
 
+def test_scanned_text_decodes_all_but_script_bodies(spark):
+    html = '<p title="&#64;in_attribute">&commat;in_text</p><!-- &#64;in_comment --><script>"&#64;in_script @raw_script"</script><textarea>&#64;in_area</textarea>'
+    pages = spark.createDataFrame([(1, "https://else.example/", html)], "page_id long, url string, html string")
+    assert leads_from_pages(pages).first().contacts.telegram == ["in_attribute", "in_text", "in_comment", "raw_script", "in_area"]
+
+
 def test_title_picks(spark):
     rows = [("A", "<title>T</title><h1> </h1>", "T"), ("A", "<!-- <h1>no</h1> --><h1>a <i>b</i> &amp; c</h1><h1>d</h1>", "a b & c"), ("B", '<title>T</title><meta content="OG &quot;x&quot;" property="og:title">', 'OG "x"'),
             ("B", "<title> T </title><h1></h1>", "T"), ("default", "<title> </title><h1>H</h1><svg><title>S</title></svg>", "S"), ("default", "<script>'<title>x</title>'</script><TITLE lang=en>A&lt;b&gt;</TITLE>", "A<b>"), ("default", "none", "")]
