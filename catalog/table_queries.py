@@ -16,7 +16,7 @@ from leadweave.operators.dedup import first_seen, shared_keys
 from leadweave.operators.discover import discover, pagination_stop, without_known
 from leadweave.operators.lookups import check_domains, handle_results, lead_mx, verify_domains, verify_handles
 from leadweave.operators.summary import column_widths, handle_report, run_summary, verdict_counts
-from leadweave.session import scratch_dir, spread_small
+from leadweave.session import scratch_dir, spread_small, write_once
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, flatten_stored, nested_leads, write_leads
 from leadweave.sources.store import append_writes, known_urls, publish, read_published, scan_leads, upsert_fold
 from leadweave.streaming import jobs
@@ -141,7 +141,7 @@ _CREATED = "2024-05-06 07:08:09"
 
 def _leads(spark, sf) -> DataFrame:
     """Contact notes as fully processed leads."""
-    flagged = classify(_notes(spark, sf), MailRules(), None)
+    flagged = write_once(classify(_notes(spark, sf), MailRules(), None), "notes")
     checked = verify_handles(flagged, derived(spark, sf, "handle_snapshot"), "note_id")
     leads = verify_domains(checked, derived(spark, sf, "mx_snapshot"), "note_id")
     return leads.withColumn("created_at", as_utc(F.lit(_CREATED)))

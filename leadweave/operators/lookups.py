@@ -79,7 +79,10 @@ def handle_results(leads: DataFrame, snapshot: DataFrame | None, key: str = "id"
 
 
 def verify_handles(leads: DataFrame, snapshot: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """Add ``tg_results`` and keep only usable handles in ``contacts.telegram``."""
+    """Add ``tg_results`` and keep only usable handles in ``contacts.telegram``.
+
+    ``leads`` is read twice, for the handles and for the rows they go back to: pass a stored table, not a costly plan.
+    """
     if snapshot is None:  # every handle is SKIPPED and stays: no join, no shuffle
         skipped = F.transform("contacts.telegram", lambda h: verdict(normalize_handle(h), None))
         return leads.withColumn("tg_results", skipped)
@@ -106,7 +109,7 @@ def lead_mx(leads: DataFrame, mx_snapshot: DataFrame, key: str = "id", emails: C
 
 
 def verify_domains(leads: DataFrame, mx_snapshot: DataFrame | None, key: str = "id") -> DataFrame:
-    """Add ``mx_valid``; false without e-mails or without a snapshot."""
+    """Add ``mx_valid``; false without e-mails or without a snapshot. Reads ``leads`` twice, as :func:`verify_handles` does."""
     if mx_snapshot is None:
         return leads.withColumn("mx_valid", F.lit(False))
     return leads.join(lead_mx(leads, mx_snapshot, key), key, "left").withColumn("mx_valid", F.coalesce("mx_valid", F.lit(False)))

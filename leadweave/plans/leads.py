@@ -19,7 +19,7 @@ from leadweave.operators.lookups import lookup_join, verify_domains, verify_hand
 from leadweave.operators.network import network_records
 from leadweave.operators.summary import run_summary
 from leadweave.operators.tokens import INSIDE, RAW_BODY, attribute, attributes, inner_text, page_tokens, visible_markup
-from leadweave.session import table_size
+from leadweave.session import table_size, write_once
 
 _TITLE = rf"(?is)<title(?=[\s/>]){INSIDE}>(.*?)(?:</title\s*>|\z)"
 _META = rf"(?i)<meta(?=[\s/>]){INSIDE}>"
@@ -135,11 +135,12 @@ def run_leads(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_
               created_at: Column | None = None) -> LeadRun:
     """The whole run: dedup targets, extract, classify, verify, summarise.
 
-    Classification sees the handles that verification may drop later. Rule sets must be named by the caller.
+    Classification sees the handles that verification may drop later. Rule sets must be named by the caller. The extracted leads
+    are written once to the shared scratch folder; lookups and summary read that compact table, so no page is read again.
     """
     winners = first_targets(pages)
     found = leads_from_pages(pages, routes, winners)
-    flagged = classify(found, mail, names)
-    checked = verify_domains(verify_handles(flagged, handle_snapshot, "page_id"), mx_snapshot, "page_id")
-    leads = checked.withColumn("created_at", F.current_timestamp() if created_at is None else created_at)
+    flagged = classify(found, mail, names).withColumn("created_at", F.current_timestamp() if created_at is None else created_at)
+    stored = write_once(flagged, "leads")
+    leads = verify_domains(verify_handles(stored, handle_snapshot, "page_id"), mx_snapshot, "page_id")
     return LeadRun(leads, rejects(pages, winners), run_summary(pages, leads))

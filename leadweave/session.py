@@ -34,6 +34,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several later steps read, and go on from the written table: each then reads only its columns."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_size(df: DataFrame) -> int:
     """Size in bytes as the optimizer estimates it; very large where it cannot tell."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from leadweave.functions.rules import MailRules
 from leadweave.operators.network import key_value_pairs, key_value_rows, manager_blocks, network_records, page_structure
 from leadweave.operators.tokens import page_tokens, visible_markup
-from leadweave.plans.leads import company_name, leads_from_pages, page_title, run_leads
+from leadweave.plans.leads import company_name, first_targets, leads_from_pages, page_title, run_leads
+from leadweave.session import scratch_dir
 from tests import tree
 from tests.conftest import values
 
@@ -104,10 +105,16 @@ def test_run_goes_on_after_a_bad_target(spark):
 
 def test_plan_reads_and_moves_the_html_once(spark):
     pages = spark.createDataFrame([(0, "https://a.example", "x")], "page_id long, url string, html string")
-    pages.write.mode("overwrite").parquet("/tmp/leadweave-plan-test")
-    run = run_leads(spark.read.parquet("/tmp/leadweave-plan-test"), mail=MailRules(), names=None)
-    plan = run.leads._jdf.queryExecution().executedPlan().toString()
+    path = scratch_dir(spark, "pages")
+    pages.write.parquet(path)
+    pages = spark.read.parquet(path)
+    plan = leads_from_pages(pages, winners=first_targets(pages))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("html" in s.split("Batched")[0] for s in scans) == 1
     assert "Python" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("REPARTITION_BY_NUM") == 1
+    snapshot = spark.sql("SELECT 'h' AS handle, 1 AS user_id, false AS is_bot, false AS is_deleted, false AS was_verified, '' AS error_code")
+    run = run_leads(pages, mail=MailRules(), names=None, handle_snapshot=snapshot, mx_snapshot=spark.sql("SELECT 'd' AS domain, 1 AS n_mx, 'ok' AS outcome"))
+    for df in (run.leads, run.summary):
+        assert "html" not in df._jdf.queryExecution().executedPlan().toString().replace("html5", "")
+    assert run.leads.count() == 1
