@@ -99,8 +99,9 @@ def q_clean_token(spark, sf):
 
 @query("q_ordered_unique", f"SELECT doc_id, count(*) AS n, md5(string_agg(value, '|' ORDER BY pos)) AS digest FROM ({o.unique('SELECT doc_id, unnest(string_split(text, chr(32))) AS v, generate_subscripts(string_split(text, chr(32)), 1) AS i FROM documents', 'doc_id')}) GROUP BY doc_id")
 def q_ordered_unique(spark, sf):
-    words = spread_small(derived(spark, sf, "documents")).select("doc_id", ordered_unique(F.split("text", " ")).alias("u"))
-    return words.filter(F.size("u") > 0).select("doc_id", F.size("u").cast("bigint").alias("n"), F.md5(F.array_join("u", "|")).alias("digest"))
+    # the list is worked out once per row and handed to both results; a filter on it would be pushed down and repeat the work
+    rows = F.transform(F.array(ordered_unique(F.split("text", " "))), lambda u: F.struct(F.size(u).cast("bigint").alias("n"), F.md5(F.array_join(u, "|").cast("binary")).alias("digest")))
+    return spread_small(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["n"] > 0)))
 
 
 @query("q_asset_suffix", ctes("texts") + f" SELECT src, id, i - 1 AS pos, lower({o.clean('m')}) AS value, {o.any_suffix('lower(' + o.clean('m') + ')')} AS is_asset FROM ({o._matches(o.EMAIL, 1, 'texts', 'src, id')})")
@@ -130,8 +131,8 @@ _PARTS = f"list_filter(list_transform(string_split(text, ','), lambda x: {o.trim
 
 @query("q_list_roundtrip", f"SELECT doc_id, CASE WHEN {o.trim('text')} <> '' THEN len({_PARTS}) END AS n, md5(array_to_string({_PARTS}, ',')) AS digest FROM documents WHERE {o.trim('text')} <> ''")
 def q_list_roundtrip(spark, sf):
-    parts = spread_small(derived(spark, sf, "documents")).select("doc_id", text.split_list("text").alias("parts"))
-    return parts.filter(F.col("parts").isNotNull()).select("doc_id", F.size("parts").cast("bigint").alias("n"), F.md5(text.join_list("parts")).alias("digest"))
+    rows = F.transform(F.array(text.split_list("text")), lambda p: F.struct(F.size(p).cast("bigint").alias("n"), F.md5(text.join_list(p).cast("binary")).alias("digest")))
+    return spread_small(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["digest"].isNotNull())))
 
 
 @query("q_status_parse", ctes("raw_statuses") + rf""" , items AS (SELECT id, i, {o.trim('item')} AS item FROM (SELECT id, unnest(string_split(raw, ',')) AS item, generate_subscripts(string_split(raw, ','), 1) AS i FROM raw_statuses)),
