@@ -12,7 +12,7 @@ from leadweave.functions.text import collapse_space, extract_contacts
 from leadweave.operators.network import key_value_pairs, key_value_rows, manager_blocks, metadata, network_records, page_structure
 from leadweave.operators.tokens import visible_markup
 from leadweave.plans.leads import company_name, first_targets, leads_from_pages, page_title, rejects, scanned_text, with_layout
-from leadweave.session import spread_small
+from leadweave.session import spread
 
 
 def _routed(spark, sf):
@@ -31,7 +31,7 @@ def _untag(x: str) -> str:
 
 @query("q_page_title", f"SELECT page_id, {o.trim(o.decode('regexp_extract(html, ' + chr(39) + '(?is)<title>(.*?)</title>' + chr(39) + ', 1)'))} AS title FROM pages")
 def q_page_title(spark, sf):
-    pages = spread_small(derived(spark, sf, "pages")).select("page_id", visible_markup("html").alias("markup"))
+    pages = spread(derived(spark, sf, "pages")).select("page_id", visible_markup("html").alias("markup"))
     return pages.select("page_id", page_title("markup").alias("title"))
 
 
@@ -43,7 +43,7 @@ _COMPANY = f"CASE layout WHEN 'A' THEN coalesce({_H1}, {_TITLE}) WHEN 'B' THEN c
 
 @query("q_company_name", ctes("laid_out") + f" SELECT src, page_id, layout, {_COMPANY} AS company_name FROM laid_out")
 def q_company_name(spark, sf):
-    pages = spread_small(derived(spark, sf, "laid_out")).select("src", "page_id", "layout", visible_markup("html").alias("markup"))
+    pages = spread(derived(spark, sf, "laid_out")).select("src", "page_id", "layout", visible_markup("html").alias("markup"))
     return pages.select("src", "page_id", "layout", company_name("markup", "layout").alias("company_name"))
 
 
@@ -108,7 +108,7 @@ _SCANNED = f"CASE layout WHEN 'B' THEN concat_ws(' ', {o.decode('html', False)},
 
 @query("q_page_contacts", ctes("laid_out") + f", scanned AS (SELECT src, page_id, {_SCANNED} AS raw FROM laid_out) " + o.contacts_long("scanned", "src, page_id"))
 def q_page_contacts(spark, sf):
-    pages = spread_small(derived(spark, sf, "laid_out")).select("src", "page_id", scanned_text("html", "layout", visible_markup("html")).alias("raw"))
+    pages = spread(derived(spark, sf, "laid_out")).select("src", "page_id", scanned_text("html", "layout", visible_markup("html")).alias("raw"))
     return _long(pages.select("src", "page_id", extract_contacts("raw").alias("contacts")), ["src", "page_id"])
 
 
@@ -127,7 +127,7 @@ def _joined(kind: str) -> str:
  FROM all_pages p LEFT JOIN mails USING (page_id) LEFT JOIN tgs USING (page_id) LEFT JOIN meta USING (page_id) LEFT JOIN managers USING (page_id) LEFT JOIN reasons USING (page_id)""")
 def q_leads_from_pages(spark, sf):
     captured = derived(spark, sf, "pages").select((F.col("page_id") + 1000000000).alias("page_id"), "url", "html")
-    pages = spread_small(derived(spark, sf, "profile_pages").unionByName(captured))
+    pages = spread(derived(spark, sf, "profile_pages").unionByName(captured))
     leads = classify(leads_from_pages(pages, derived(spark, sf, "routes")), MailRules(), None)
     return leads.select(
         "page_id", "id", "source_url", "layout", "company_name", F.array_join("contacts.emails", ",").alias("emails"), F.array_join("contacts.telegram", ",").alias("telegram"),

@@ -16,7 +16,7 @@ from leadweave.operators.dedup import first_seen, shared_keys
 from leadweave.operators.discover import discover, pagination_stop, without_known
 from leadweave.operators.lookups import check_domains, handle_results, lead_mx, verify_domains, verify_handles
 from leadweave.operators.summary import column_widths, handle_report, run_summary, verdict_counts
-from leadweave.session import scratch_dir, spread_small, write_once
+from leadweave.session import scratch_dir, spread, write_once
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, flatten_stored, nested_leads, write_leads
 from leadweave.sources.store import append_writes, known_urls, publish, read_published, scan_leads, upsert_fold
 from leadweave.streaming import jobs
@@ -58,7 +58,7 @@ def q_known_url_anti(spark, sf):
 
 @query("q_shared_emails", ctes("texts") + f" SELECT value AS email, count(*) AS n_leads FROM (SELECT DISTINCT value, src, id FROM ({o.contacts('emails', 'texts', 'src, id')})) GROUP BY value")
 def q_shared_emails(spark, sf):
-    rows = spread_small(derived(spark, sf, "texts")).select("src", "id", F.explode(emails("raw")).alias("email"))
+    rows = spread(derived(spark, sf, "texts")).select("src", "id", F.explode(emails("raw")).alias("email"))
     return shared_keys(rows, "email", F.struct("src", "id")).select(F.col("key").alias("email"), F.col("n_owners").alias("n_leads"))
 
 
@@ -122,7 +122,7 @@ _OK = "(m.outcome = 'timeout' OR m.n_mx > 0)"
 @query("q_mx_lookup", ctes("raw_mails", "mx_snapshot") + rf""", rows AS (SELECT id, email, lower(regexp_extract({o.trim('email')}, '(?s)^[^@]*@(.+)\z', 1)) AS domain FROM raw_mails)
  SELECT id, r.domain, coalesce({_OK}, false) AND r.domain <> '' AS mx_ok FROM rows r LEFT JOIN mx_snapshot m ON m.domain = r.domain""")
 def q_mx_lookup(spark, sf):
-    return check_domains(derived(spark, sf, "raw_mails"), derived(spark, sf, "mx_snapshot"), "email", ["id"]).select("id", "domain", "mx_ok")
+    return check_domains(derived(spark, sf, "raw_mails"), derived(spark, sf, "mx_snapshot"), "email").select("id", "domain", "mx_ok")
 
 
 _MAILS = o.contacts("emails", "contact_notes", "note_id")

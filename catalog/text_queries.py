@@ -13,7 +13,7 @@ from leadweave.functions.lists import ordered_unique
 from leadweave.operators.discover import hrefs, page_links
 from leadweave.operators.lookups import error_verdict
 from leadweave.plans.leads import with_layout
-from leadweave.session import spread_small
+from leadweave.session import spread
 from leadweave.sources.lists import clean_lines, list_items, target_list
 
 QUERIES: dict = {}
@@ -30,7 +30,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_small(derived(spark, sf, "texts"))
+    return spread(derived(spark, sf, "texts"))
 
 
 # --- sources ----------------------------------------------------------------
@@ -43,7 +43,7 @@ def q_line_source(spark, sf):
 @query("q_list_source", f"SELECT doc_id, pos, {o.trim('value')} AS value FROM (SELECT doc_id, unnest(string_split(text, ',')) AS value, "
        f"generate_subscripts(string_split(text, ','), 1) - 1 AS pos FROM documents) WHERE {o.trim('value')} <> ''")
 def q_list_source(spark, sf):
-    return list_items(spread_small(derived(spark, sf, "documents")), "text", ["doc_id"])
+    return list_items(spread(derived(spark, sf, "documents")), "text", ["doc_id"])
 
 
 @query("q_target_union", ctes("target_lines") + f""" SELECT 0 AS source, doc_id AS ord, pos, {o.trim('value')} AS value FROM (SELECT doc_id, unnest(string_split(concat(source, ', ,', lang, ', ', n_chars), ',')) AS value,
@@ -101,7 +101,7 @@ def q_clean_token(spark, sf):
 def q_ordered_unique(spark, sf):
     # the list is worked out once per row and handed to both results; a filter on it would be pushed down and repeat the work
     rows = F.transform(F.array(ordered_unique(F.split("text", " "))), lambda u: F.struct(F.size(u).cast("bigint").alias("n"), F.md5(F.array_join(u, "|").cast("binary")).alias("digest")))
-    return spread_small(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["n"] > 0)))
+    return spread(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["n"] > 0)))
 
 
 @query("q_asset_suffix", ctes("texts") + f" SELECT src, id, i - 1 AS pos, lower({o.clean('m')}) AS value, {o.any_suffix('lower(' + o.clean('m') + ')')} AS is_asset FROM ({o._matches(o.EMAIL, 1, 'texts', 'src, id')})")
@@ -132,7 +132,7 @@ _PARTS = f"list_filter(list_transform(string_split(text, ','), lambda x: {o.trim
 @query("q_list_roundtrip", f"SELECT doc_id, CASE WHEN {o.trim('text')} <> '' THEN len({_PARTS}) END AS n, md5(array_to_string({_PARTS}, ',')) AS digest FROM documents WHERE {o.trim('text')} <> ''")
 def q_list_roundtrip(spark, sf):
     rows = F.transform(F.array(text.split_list("text")), lambda p: F.struct(F.size(p).cast("bigint").alias("n"), F.md5(text.join_list(p).cast("binary")).alias("digest")))
-    return spread_small(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["digest"].isNotNull())))
+    return spread(derived(spark, sf, "documents")).select("doc_id", F.inline(F.filter(rows, lambda r: r["digest"].isNotNull())))
 
 
 @query("q_status_parse", ctes("raw_statuses") + rf""" , items AS (SELECT id, i, {o.trim('item')} AS item FROM (SELECT id, unnest(string_split(raw, ',')) AS item, generate_subscripts(string_split(raw, ','), 1) AS i FROM raw_statuses)),
@@ -189,13 +189,13 @@ _PAGE_CARD = f"""CASE WHEN regexp_matches(href, '^/[^/?#]+/?$') AND lower(trim(h
 
 @query("q_card_links", f"SELECT page_id, pos, href, {_PAGE_CARD} AS link FROM ({_HREF_ROWS})")
 def q_card_links(spark, sf):
-    rows = spread_small(derived(spark, sf, "pages")).select("page_id", "url", F.posexplode(hrefs("html")).alias("pos", "href"))
+    rows = spread(derived(spark, sf, "pages")).select("page_id", "url", F.posexplode(hrefs("html")).alias("pos", "href"))
     return rows.select("page_id", "pos", "href", urls.card_link("href", "url").alias("link"))
 
 
 @query("q_page_links", f"SELECT page_id, pos, value AS link FROM ({o.unique(f'SELECT page_id, pos AS i, {_PAGE_CARD} AS v FROM ({_HREF_ROWS})', 'page_id')})")
 def q_page_links(spark, sf):
-    return page_links(spread_small(derived(spark, sf, "pages"))).select("page_id", "pos", "link")
+    return page_links(spread(derived(spark, sf, "pages"))).select("page_id", "pos", "link")
 
 
 # the base of href_cases is one listing page, so the expected link follows from the case number

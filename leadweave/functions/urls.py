@@ -71,7 +71,7 @@ def _escape_path(path: Column) -> Column:
 
 def _fold_dots(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    steps = F.split(F.substring(path, 2, 1 << 30), "/")
+    steps = F.split(F.regexp_replace(path, "(?s)^.", ""), "/")
     none = F.array().cast("array<string>")
 
     def step(seen: Column, part: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from leadweave.functions.entities import decode_entities
 from leadweave.functions.lists import Col, col, ordered_unique
 from leadweave.functions.urls import card_link
-from leadweave.operators.lookups import lookup_join
 from leadweave.operators.tokens import attribute, attributes, visible_markup
 
 HREF_TAG = r'(?i)<a\s(?:=\s*"[^"]*"|=\s*\'[^\']*\'|[^>])*+>'
@@ -53,7 +52,7 @@ def pagination_stop(links: DataFrame) -> DataFrame:
 
 def reached_links(links: DataFrame) -> DataFrame:
     """Links on pages that the pagination stop leaves in."""
-    within = lookup_join(links, pagination_stop(links), "cat_ord", ["page_no", "link"])
+    within = links.join(pagination_stop(links), "cat_ord", "left")
     return within.filter("page_no <= last_page").drop("last_page")
 
 

@@ -9,23 +9,9 @@ from leadweave import fixed
 from leadweave.functions.lists import Col, col
 from leadweave.functions.text import mail_domain, normalize_handle
 
-SALTS = 8
-
 VERDICT_FIELDS = ("username", "status", "user_id", "is_bot", "is_deleted", "was_verified", "error_reason")
 
 
-def lookup_join(facts: DataFrame, table: DataFrame, key: str, spread_by: list[str], salts: int = SALTS) -> DataFrame:
-    """Left join of many facts to a table that is unique on ``key``, with every key spread over ``salts`` tasks.
-
-    A key held by a third of all facts would otherwise meet its one table row in a single task. Facts are split by a
-    hash of ``spread_by`` (columns that tell facts of one key apart) and the narrow table is repeated once per
-    salt. Where the table is small enough to be broadcast Spark does so and no fact moves.
-    """
-    salted = facts.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "__salt"], "left").drop("__salt")
-
-
 def error_verdict(error: Col) -> tuple[Column, Column]:
     """Status and reason for a lookup error text."""
     error = col(error)
@@ -55,21 +41,25 @@ def verdict(username: Col, found: dict[str, Column] | None) -> Column:
     return F.struct(*[p.alias(n) for p, n in zip((username, status, user_id, *flags, reason), VERDICT_FIELDS)])
 
 
-def check_handles(handles: DataFrame, snapshot: DataFrame | None, handle: str, spread_by: list[str]) -> DataFrame:
-    """Add ``verdict`` to rows that carry a handle in any spelling."""
+def check_handles(handles: DataFrame, snapshot: DataFrame | None, handle: str) -> DataFrame:
+    """Add ``verdict`` to rows that carry a handle in any spelling.
+
+    Of a handle listed more than once the greatest entry holds, by account, flags and error in that order, so a found
+    account wins over a missing one. A plain left join: Spark splits the tasks of a handle that very many rows carry.
+    """
     named = handles.withColumn("__handle", normalize_handle(handle))
     if snapshot is None:
         return named.withColumn("verdict", verdict("__handle", None)).drop("__handle")
     names = ("user_id", "is_bot", "is_deleted", "was_verified", "error_code")
-    table = snapshot.select(F.col("handle").alias("__handle"), F.struct(*names).alias("__found"))
-    joined = lookup_join(named, table, "__handle", spread_by)
+    table = snapshot.groupBy(F.col("handle").alias("__handle")).agg(F.max(F.struct(*names)).alias("__found"))
+    joined = named.join(table, "__handle", "left")
     return joined.withColumn("verdict", verdict("__handle", {n: F.col("__found").getField(n) for n in names})).drop("__found", "__handle")
 
 
 def handle_results(leads: DataFrame, snapshot: DataFrame | None, key: str = "id", handles: Col = "contacts.telegram") -> DataFrame:
     """``key, tg_results, usable``: all verdicts of a lead in handle order, and the handles that stay usable."""
     rows = leads.select(key, F.posexplode(col(handles)).alias("pos", "handle"))
-    checked = check_handles(rows, snapshot, "handle", [key, "pos"])
+    checked = check_handles(rows, snapshot, "handle")
     each = F.sort_array(F.collect_list(F.struct("pos", "handle", "verdict")))
     return checked.groupBy(key).agg(each.alias("each")).select(
         key,
@@ -94,18 +84,19 @@ def verify_handles(leads: DataFrame, snapshot: DataFrame | None = None, key: str
             .withColumn("contacts", F.col("contacts").withField("telegram", kept)).drop("usable"))
 
 
-def check_domains(rows: DataFrame, mx_snapshot: DataFrame, email: str, spread_by: list[str]) -> DataFrame:
-    """Add ``mx_ok``: a timed-out lookup passes, a failed or missing one does not; no domain is no pass."""
+def check_domains(rows: DataFrame, mx_snapshot: DataFrame, email: str) -> DataFrame:
+    """Add ``mx_ok``: a timed-out lookup passes, a failed or missing one does not; no domain is no pass. Of a domain listed
+    more than once, one passing entry is enough."""
     named = rows.withColumn("domain", mail_domain(email))
-    table = mx_snapshot.select("domain", (F.coalesce(F.col("outcome") == "timeout", F.lit(False)) | (F.coalesce("n_mx", F.lit(0)) > 0)).alias("__ok"))
-    joined = lookup_join(named, table, "domain", spread_by)
+    passes = F.coalesce(F.col("outcome") == "timeout", F.lit(False)) | (F.coalesce("n_mx", F.lit(0)) > 0)
+    joined = named.join(mx_snapshot.groupBy("domain").agg(F.bool_or(passes).alias("__ok")), "domain", "left")
     return joined.withColumn("mx_ok", (F.col("domain") != "") & F.coalesce("__ok", F.lit(False))).drop("__ok")
 
 
 def lead_mx(leads: DataFrame, mx_snapshot: DataFrame, key: str = "id", emails: Col = "contacts.emails") -> DataFrame:
     """``key, mx_valid`` for leads with at least one e-mail: true when any of its domains passes."""
     rows = leads.select(key, F.posexplode(col(emails)).alias("pos", "email"))
-    return check_domains(rows, mx_snapshot, "email", [key, "pos"]).groupBy(key).agg(F.bool_or("mx_ok").alias("mx_valid"))
+    return check_domains(rows, mx_snapshot, "email").groupBy(key).agg(F.bool_or("mx_ok").alias("mx_valid"))
 
 
 def verify_domains(leads: DataFrame, mx_snapshot: DataFrame | None, key: str = "id") -> DataFrame:

@@ -60,7 +60,7 @@ def column_widths(flat: DataFrame) -> DataFrame:
 
 def handle_report(targets: DataFrame, snapshot: DataFrame | None, handle: str, order: list[str]) -> DataFrame:
     """One row per listed handle, duplicates kept, in any spelling."""
-    checked = check_handles(targets, snapshot, handle, order)
+    checked = check_handles(targets, snapshot, handle)
     return checked.select(*order, *[F.col("verdict").getField(f).alias(f) for f in ("username", "status", "user_id", "is_bot", "was_verified", "is_deleted")])
 
 

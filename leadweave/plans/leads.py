@@ -15,33 +15,29 @@ from leadweave.functions.rules import MailRules, NameRules, classify
 from leadweave.functions.text import extract_contacts, trim_space
 from leadweave.functions.urls import lead_id, route_host, url_problem
 from leadweave.operators.dedup import dedup_key
-from leadweave.operators.lookups import lookup_join, verify_domains, verify_handles
+from leadweave.operators.lookups import verify_domains, verify_handles
 from leadweave.operators.network import network_records
 from leadweave.operators.summary import run_summary
 from leadweave.operators.tokens import INSIDE, RAW_BODY, attribute, attributes, inner_text, page_tokens, visible_markup
-from leadweave.session import table_size, write_once
+from leadweave.session import write_once
 
 _TITLE = rf"(?is)<title(?=[\s/>]){INSIDE}>(.*?)(?:</title\s*>|\z)"
 _META = rf"(?i)<meta(?=[\s/>]){INSIDE}>"
 
 
 DEFAULT_ROUTES = dict(fixed.DEFAULT_ROUTES)
-BROADCAST_LIMIT = 8 << 20
 
 
-def with_layout(pages: DataFrame, routes: Mapping[str, str] | DataFrame, url: str = "url", row_id: str = "page_id") -> DataFrame:
+def with_layout(pages: DataFrame, routes: Mapping[str, str] | DataFrame, url: str = "url") -> DataFrame:
     """Add ``layout`` by the page's host; hosts without a route are 'default'.
 
-    Routes given as a mapping become a literal and no row moves. A route table is broadcast when Spark knows it to be
-    small; a larger one is joined with every host spread over several tasks.
+    Routes given as a mapping become a literal and no row moves. A route table is joined as Spark sees fit; of a host
+    listed more than once the least layout holds.
     """
     named = pages.withColumn("__host", route_host(url))
     if isinstance(routes, DataFrame):
-        table = routes.select(F.col("host").alias("__host"), "layout")
-        if table_size(table) <= BROADCAST_LIMIT:
-            named = named.join(F.broadcast(table), "__host", "left")
-        else:
-            named = lookup_join(named, table, "__host", [row_id])
+        table = routes.groupBy(F.col("host").alias("__host")).agg(F.min("layout").alias("layout"))
+        named = named.join(table, "__host", "left")
         layout = F.col("layout")
     else:
         pairs = [F.lit(v) for pair in routes.items() for v in pair]

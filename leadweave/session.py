@@ -28,10 +28,26 @@ def builder(app_name: str = "leadweave") -> SparkSession.Builder:
     return made
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder of the cluster: ``spark.checkpoint.dir``, else the checkpoint folder set on the context. None is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return root.rstrip("/")
+
+
+def local_scratch(spark: SparkSession) -> SparkSession:
+    """For tests and runs on one machine: a folder of their own where none is set. On a cluster the setting stays required."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadweave-"))
+    return spark
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadweave-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_once(df: DataFrame, name: str) -> DataFrame:
@@ -41,17 +57,10 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table_size(df: DataFrame) -> int:
-    """Size in bytes as the optimizer estimates it; very large where it cannot tell."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small input over all cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows over as many partitions as the session setting ``spark.leadweave.spread`` says; unset, they stay where they are.
 
-    Few row groups would leave the regex work to one task. Only inputs whose estimated size is below the
-    limit are moved; larger ones have enough splits of their own and are left where they are.
+    For inputs of few row groups, which would leave pattern work to few tasks. The setting is the caller's, whatever the size.
     """
-    if table_size(df) >= limit_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    partitions = df.sparkSession.conf.get("spark.leadweave.spread", None)
+    return df.repartition(int(partitions)) if partitions else df

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from leadweave.session import builder  # noqa: E402
+from leadweave.session import builder, local_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +13,7 @@ def spark():
     session = (builder("tests").master("local[4]").config("spark.sql.shuffle.partitions", "4")
                .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
-    yield session
+    yield local_scratch(session)
 
 
 def values(df, *columns):

@@ -24,6 +24,9 @@ def oracle():
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, SF)
+    if name not in entry.oracle_sql():  # held against a brute-force version in a test of its own
+        assert df.count() > 0
+        return
     cursor = oracle.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)

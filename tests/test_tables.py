@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leadweave.operators.dedup import first_seen
 from leadweave.operators.discover import discover, page_links, pagination_stop, without_known
-from leadweave.operators.lookups import check_domains, check_handles, handle_results, lookup_join, verify_handles
+from leadweave.operators.lookups import check_domains, check_handles, handle_results, verify_handles
 from leadweave.functions.urls import profile_link
 from leadweave.operators.summary import handle_report, run_summary, verdict_counts
 from tests.conftest import values
@@ -78,7 +78,7 @@ def _snapshot(spark):
 
 def test_verdicts(spark):
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(["@Available", "gone", "bot", "bad", "free", "empty", "missing", "  "])], "id long, handle string")
-    got = check_handles(rows, _snapshot(spark), "handle", ["id"]).orderBy("id").select("verdict.*")
+    got = check_handles(rows, _snapshot(spark), "handle").orderBy("id").select("verdict.*")
     assert values(got, "status", "user_id", "is_deleted") == [("VALID", 7, False), ("DELETED", 8, True), ("VALID", 9, False), ("INVALID", 0, False), ("NOT_FOUND", 0, False), ("NOT_FOUND", 0, False), ("NOT_FOUND", 0, False), ("INVALID", 0, False)]
 
 
@@ -103,20 +103,27 @@ def test_hot_handle_is_spread_and_whole(spark):
     results = handle_results(leads, _snapshot(spark))
     c = verdict_counts(results).first()
     assert (c.extracted, c.valid, c.not_found) == (500, 300, 200)
-    facts = spark.range(1000).withColumn("k", F.lit("hot"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_hot_handle_join_is_split_by_aqe(spark):
+    facts = spark.range(200000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("h"), "id")).alias("handle"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        joined = lookup_join(facts, spark.createDataFrame([("hot", 1)], "k string, v int"), "k", ["id"])
-        assert joined.filter("v = 1").count() == 1000
-        assert "__salt" in joined._jdf.queryExecution().executedPlan().toString()
+        joined = check_handles(facts, spark.createDataFrame([("hot", 1, False, False, False, "")] * 2, "handle string, user_id long, is_bot boolean, is_deleted boolean, was_verified boolean, error_code string"), "handle")
+        rows = joined.select("id", "verdict.user_id").collect()
+        assert len(rows) == 200000 and sum(r.user_id == 1 for r in rows) == sum(i % 3 > 0 for i in range(200000))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_mail_domains(spark):
     mx = spark.createDataFrame([("cached.invalid", 1, "ok"), ("slow.example", 0, "timeout"), ("dead.example", 0, "error"), ("none.example", 0, "ok")], "domain string, n_mx long, outcome string")
     rows = spark.createDataFrame([(0, "nope"), (1, "user@Cached.Invalid"), (2, "a@slow.example"), (3, "a@dead.example"), (4, "a@none.example"), (5, "a@unknown.example")], "id long, email string")
-    assert values(check_domains(rows, mx, "email", ["id"]).orderBy("id"), "mx_ok") == [False, True, True, False, False, False]
+    assert values(check_domains(rows, mx, "email").orderBy("id"), "mx_ok") == [False, True, True, False, False, False]
 
 
 def test_summary_percentages(spark):
