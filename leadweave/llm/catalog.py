@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import line_dedup, mixing, quality_rules, url_filter
+from leadweave.llm import line_dedup, mixing, parity_join, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = parity_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

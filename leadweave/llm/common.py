@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +61,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+_IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_BASE = 0x9E6C63D0876A9A45
+_PIECE = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _base_powers(n: int) -> list[np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            grown = np.full(2 * n, base, np.uint64)
+            grown[0] = 1
+            _powers[i] = np.multiply.accumulate(grown)
+    return _powers
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words between bytes of [\\x20\\x09-\\x0D], in order: polynomials by prefix sums, a piece at a time."""
+    found, at = [], 0
+    while at < len(data):
+        border = _SPACE.search(data, at + _PIECE)
+        end = border.start() if border else len(data)
+        piece = np.frombuffer(data, np.uint8, end - at, at)
+        at = end
+        base, inverse = _base_powers(len(piece) + 1)
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUES[piece] * base[:len(piece)], out=sums[1:])
+        space = np.ones(len(piece) + 2, bool)
+        space[1:-1] = _IS_SPACE[piece]
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:])[:], np.flatnonzero(~space[:-1] & space[1:])
+        found.append(mixed((sums[ends] - sums[starts]) * inverse[starts]))
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -79,7 +111,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of the text with A-Z lowered; a shorter text is one shingle, no word none."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    words = word_hashes((text or "").encode().lower())
+    if not len(words):
         return np.empty(0, np.uint64)
-    return np.unique(window_hashes(word_hashes(words), min(width, len(words))))
+    found = window_hashes(words, min(width, len(words)))
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
