@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import line_dedup, mixing, parity_join, quality_rules, url_filter
+from leadweave.llm import decontaminate, line_dedup, mixing, parity_join, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = parity_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return linked.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("first_word"), F.col("length").alias("n_words"), "similarity", "distance")
