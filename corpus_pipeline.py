@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.llm import decontaminate, line_dedup, mixing, parity_join, quality_rules
-from leadweave.llm.common import BROADCAST_ROWS, written
+from leadweave.llm.common import BROADCAST_ROWS, WORD, written
 
 ORACLE_SQL = None  # hashed n-gram ratios, near-duplicate components and SimHash windows are not expressible in SQL
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that a smaller document holds; ``n_chars`` follows. A document may be left with an empty text."""
-    kept = line_dedup.dedup_lines(docs.select(*docs.columns))
+    """The documents without lines that a smaller document holds; ``n_chars`` follows. One that loses lines and has no word left goes."""
+    kept = line_dedup.dedup_lines(docs.select(*docs.columns)).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import decontaminate, line_dedup, mixing, parity_join, quality_rules, url_filter
+from leadweave.llm import chat_format, decontaminate, line_dedup, mixing, parity_join, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,21 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("start").alias("first_word"), F.col("length").alias("n_words"), "similarity", "distance")
+
+
+_CONTROL = "replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<|', '<\\|'), '|>', '|\\>'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'), '[/INST]', '[\\/INST]'), '<<SYS>>', '<\\<SYS>>'), '<</SYS>>', '<\\</SYS>>')"
+
+
+@query(f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length({_CONTROL.format("role")}) + length({_CONTROL.format("text")}))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(both, "conv_id long, turn long, role string, text string"))
+    return chat_format.digests(chat_format.format_trees(chat_format.as_trees(turns))).withColumnRenamed("tree", "conv_id")
