@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import chat_format, decontaminate, line_dedup, mixing, parity_join, quality_rules, url_filter
+from leadweave.llm import (chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, parity_join, quality_rules,
+                           url_filter, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +119,26 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(both, "conv_id long, turn long, role string, text string"))
     return chat_format.digests(chat_format.format_trees(chat_format.as_trees(turns))).withColumnRenamed("tree", "conv_id")
+
+
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    best = F.get("licenses", F.lit(0))
+    return scanned.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"),
+                          F.array_sort(F.array_distinct(F.transform("licenses", lambda f: f["license"]))).alias("licenses"))
+
+
+@query()
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = html_extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return read.select("page_id", "url", "text", "n_chars")
+
+
+@query()
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    fields = {"refers_to": "WARC-Refers-To", "refers_to_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "source_payload_digest": "WARC-Source-Payload-Digest",
+              "block_digest": "WARC-Block-Digest", "content_type": "Content-Type"}
+    return records.select("page_id", "type", "record_id", *[F.element_at("headers", v).alias(k) for k, v in fields.items()], F.octet_length("block").cast("bigint").alias("content_length"),
+                          F.sha2("block", 256).alias("block_sha256"))
