@@ -64,9 +64,9 @@ def features(page: list[Block]) -> list[np.ndarray]:
     out = []
     for i, b in enumerate(page):
         n, words = len(b.text), b.text.count(" ") + 1
-        found = {"any", f"tag {b.path[-1] if b.path else ''}", f"words {min(words.bit_length(), 8)}", f"links {4 * b.link_chars // max(n, 1)}",
+        found = {"any", f"tag {b.path[-1] if b.path else ''}", f"words {min(words.bit_length(), 6)}", f"links {4 * b.link_chars // max(n, 1)}",
                  f"stop {b.text[-1] in '.!?…'}", f"commas {min(b.text.count(','), 3)}", f"mark {b.text[0] if not b.text[0].isalnum() else ''}",
-                 f"place {4 * i // len(page)}", f"first {i == 0}", f"last {i == len(page) - 1}", f"inner {len(b.path) > 3}"}
+                 f"place {4 * i // len(page) if len(page) > 3 else ''}", f"inner {len(b.path) > 3}"}
         found |= {f"in {p}" for p in b.path} | {f"name {p}" for p in b.names}
         out.append(np.array([_place(f) for f in sorted(found)]))
     return out
@@ -102,6 +102,8 @@ def training_set(pages: list[str]) -> list[tuple[list[Block], list[bool]]]:
             texts.append((main, [t for t in rest if t.count(" ") < 3] or ["Home"], [t for t in rest if t.count(" ") >= 3] or ["Some notice here, accept it."]))
     for main, short, long in texts:
         other = {"menu": short[:6], "notice": long[:1], "side": (long + short)[:3], "comments": [f"{m[:200]}" for m in main[1:3]] or long[:1], "foot": ["© " + long[-1][:60]]}
+        alone = blocks("<body>" + "".join(rng.choice(LAYOUTS)["main"].format(f"<p>{m}</p>") for m in main[:rng.randint(1, 4)]))
+        made.append((alone, [True] * len(alone)))
         for layout in rng.sample(LAYOUTS, 3) if len(texts) > 8 else LAYOUTS:
             html, labels = rendered(main, other, layout, rng)
             page = blocks(html)

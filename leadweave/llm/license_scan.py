@@ -4,8 +4,9 @@ Text and template are words in lower case. Words that occur once in both are anc
 kept, and the gaps between kept anchors, where further words may be unique by now, are aligned in the same way. Equal words at the
 edges of a gap are matched first. Coverage is the share of the template's words that are matched.
 
-A long text is aligned in regions of ``REACH`` template lengths, each beginning one length after the last, so words elsewhere don't
-take away a template's anchors and a license that stands twice is found twice. Regions that hold too few of the
+A long text is aligned in regions of ``REACH`` template lengths, each beginning half a length after the last, so words elsewhere don't
+take away a template's anchors, and licenses in a row have regions in which half of their words are unique. Finds of one template that overlap
+count once, so of several in a row some may be counted together. Regions that hold too few of the
 template's words to reach the coverage are passed over; no region that could reach it is.
 
 Defined cases: null or empty text has no license. Of equally covered templates the longer one, then the smaller id, is named first. Documents
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8
-REACH = 3
+REACH = 2
 _WORD = re.compile(r"\w+")
 
 # Wording of licenses and of the notes that name them.
@@ -101,7 +102,7 @@ def scan(text: str | None, templates: dict[str, list[str]], coverage: float = CO
         if not size or sum((counted & need).values()) < enough:
             continue
         best: list[tuple[float, int, int]] = []
-        for start in range(0, max(1, len(tokens) - size), size):
+        for start in range(0, max(1, len(tokens) - size + 1), max(1, size // 2)):
             region = tokens[start:start + REACH * size]
             if sum((Counter(region) & need).values()) < enough:
                 continue
