@@ -52,6 +52,10 @@ SELECT o_orderkey AS seq, concat('https://lead.example/', o_custkey % 500) AS so
        CASE o_orderkey % 3 WHEN 0 THEN '' ELSE concat('Company ', o_orderkey) END AS company_name,
        CASE o_orderkey % 4 WHEN 1 THEN concat('u', o_orderkey, '@example.com') ELSE '' END AS emails,
        CASE o_orderkey % 7 WHEN 2 THEN concat('h_', o_orderkey) ELSE '' END AS telegram_handles,
+       CASE o_orderkey % 9 WHEN 4 THEN concat('@h_', o_orderkey, ':[VALID]') ELSE '' END AS tg_validation_status,
+       CASE o_orderkey % 11 WHEN 3 THEN concat('skype:s', o_orderkey) ELSE '' END AS skype,
+       CASE o_orderkey % 8 WHEN 5 THEN concat('linkedin.com/in/p', o_orderkey) ELSE '' END AS linkedin,
+       CASE o_orderkey % 13 WHEN 6 THEN concat('tw', o_orderkey) ELSE '' END AS twitter,
        o_orderkey % 2 = 0 AS is_cis, CASE o_orderkey % 2 WHEN 0 THEN concat('reason ', o_orderkey) ELSE '' END AS cis_reason,
        o_orderkey % 5 = 0 AS mx_valid, o_orderdate AS written_at
 FROM orders""",
@@ -63,7 +67,7 @@ FROM part""",
     "target_lines": """
 SELECT page_id AS ord, CASE page_id % 6 WHEN 0 THEN concat('  ', upper(url), ' ') WHEN 1 THEN '' WHEN 2 THEN concat('# ', url) ELSE url END AS line FROM pages
 UNION ALL SELECT page_id + 1000000 AS ord, url AS line FROM pages""",
-    # every long text there is, with the contact notes
+    # documents and turns of conversations, with the contact notes
     "texts": """
 SELECT 'document' AS src, doc_id AS id, text AS raw FROM documents
 UNION ALL SELECT 'turn' AS src, conv_id * 1000 + turn AS id, text AS raw FROM conversations

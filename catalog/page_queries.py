@@ -135,8 +135,13 @@ def q_leads_from_pages(spark, sf):
         F.array_join(F.transform("network.managers", lambda m: F.array_join(m["emails"], ",")), ",").alias("manager_emails"), "cis_reason")
 
 
-@query("q_rejects", ctes("target_lines") + f""", firsts AS (SELECT min(ord) AS page_id FROM target_lines WHERE lower({o.trim('line')}) <> '' GROUP BY lower({o.trim('line')}))
- SELECT ord AS page_id, line AS url, 'route' AS stage, 'target URL "' || line || '" must include a scheme and host' AS reason FROM target_lines WHERE {o.route_host('line')} = '' AND ord IN (SELECT page_id FROM firsts)""")
+_TARGETS = "targets AS (SELECT ord AS page_id, line AS url FROM target_lines UNION ALL SELECT page_id + 2000000, NULL FROM pages WHERE page_id % 50 = 0)"
+_TARGET_KEY = f"coalesce(lower({o.trim('url')}), '')"
+
+
+@query("q_rejects", ctes("target_lines") + f""", {_TARGETS}, firsts AS (SELECT min(page_id) AS page_id FROM targets GROUP BY {_TARGET_KEY})
+ SELECT page_id, url, 'route' AS stage, 'target URL "' || coalesce(url, '') || '" must include a scheme and host' AS reason FROM targets WHERE coalesce({o.route_host('url')}, '') = '' AND page_id IN (SELECT page_id FROM firsts)""")
 def q_rejects(spark, sf):
-    targets = derived(spark, sf, "target_lines").select(F.col("ord").alias("page_id"), F.col("line").alias("url"))
+    missing = derived(spark, sf, "pages").filter("page_id % 50 = 0").select((F.col("page_id") + 2000000).alias("page_id"), F.lit(None).cast("string").alias("url"))
+    targets = derived(spark, sf, "target_lines").select(F.col("ord").alias("page_id"), F.col("line").alias("url")).unionAll(missing)
     return rejects(targets, first_targets(targets))

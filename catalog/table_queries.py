@@ -18,7 +18,7 @@ from leadweave.operators.lookups import check_domains, handle_results, lead_mx,
 from leadweave.operators.summary import column_widths, handle_report, run_summary, verdict_counts
 from leadweave.session import scratch_dir, spread, write_once
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, flatten_stored, nested_leads, write_leads
-from leadweave.sources.store import append_writes, known_urls, publish, read_published, scan_leads, upsert_fold
+from leadweave.sources.store import append_writes, compact, fold_state, folded, known_urls, merge_states, publish, read_published, read_writes, scan_leads, upsert_fold
 from leadweave.streaming import jobs
 
 # --- dedup and discovery -------------------------------------------------------
@@ -208,11 +208,11 @@ def _latest(c: str) -> str:
     return f"coalesce(arg_max({c}, seq) FILTER ({c} <> ''), '') AS {c}"
 
 
-_FOLDED = f"""folded AS (SELECT source_url, arg_min(id, seq) AS id, {_latest('company_name')}, {_latest('emails')}, {_latest('telegram_handles')}, {_latest('cis_reason')},
+_FOLDED = f"""folded AS (SELECT source_url, arg_min(id, seq) AS id, {_latest('company_name')}, {_latest('emails')}, {_latest('telegram_handles')}, {_latest('tg_validation_status')}, {_latest('skype')}, {_latest('linkedin')}, {_latest('twitter')}, {_latest('cis_reason')},
  arg_max(is_cis, seq) AS is_cis, arg_max(mx_valid, seq) AS mx_valid, arg_min(written_at, seq) AS created_at, arg_max(written_at, seq) AS updated_at, max(seq) AS seq FROM lead_writes GROUP BY source_url)"""
 _STORE = ctes("lead_writes") + f", {_FOLDED} "
 _TIMES = "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at"
-_COLUMNS = ("source_url", "id", "company_name", "emails", "telegram_handles", "cis_reason", "is_cis", "mx_valid")
+_COLUMNS = ("source_url", "id", "company_name", "emails", "telegram_handles", "tg_validation_status", "skype", "linkedin", "twitter", "cis_reason", "is_cis", "mx_valid")
 
 
 def _writes(spark, sf) -> DataFrame:
@@ -227,10 +227,10 @@ def _published(spark, sf) -> DataFrame:
     """Write log in two batches, folded, published and read back."""
     log, table = scratch_dir(spark, "writes"), scratch_dir(spark, "leads")
     writes = _writes(spark, sf)
-    append_writes(writes.filter("seq % 2 = 0"), log, 0)
-    append_writes(writes.filter("seq % 2 = 1"), log, 1)
-    append_writes(writes.filter("seq % 2 = 1"), log, 1)
-    folded = upsert_fold(spark.read.option("basePath", log).parquet(f"{log}/batch_id=*"))
+    append_writes(writes.filter("seq % 2 = 0"), log, "even", 0)
+    append_writes(writes.filter("seq % 2 = 1"), log, "odd", 0)
+    append_writes(writes.filter("seq % 2 = 1"), log, "odd", 0)
+    folded = upsert_fold(read_writes(spark, log, writes.schema))
     stored = folded.withColumn("source_domain", source_domain("source_url"))
     publish(stored, table)
     return read_published(spark, table, stored.schema)
@@ -241,6 +241,17 @@ def q_lead_upsert(spark, sf):
     return _shown(upsert_fold(_writes(spark, sf)))
 
 
+@query("q_upsert_refold", _STORE + f"SELECT {', '.join(_COLUMNS)}, {_TIMES} FROM folded")
+def q_upsert_refold(spark, sf):
+    """A log compacted in the middle, compacted again, and newer writes folded onto it."""
+    log, writes = scratch_dir(spark, "writes"), _writes(spark, sf)
+    append_writes(writes.filter("seq % 3 = 0"), log, "a", 0)
+    once = compact(spark, log, scratch_dir(spark, "state"), writes.schema)
+    append_writes(writes.filter("seq % 3 = 1"), log, "b", 0)
+    twice = compact(spark, log, scratch_dir(spark, "state"), writes.schema, once)
+    return _shown(folded(merge_states(twice.unionByName(fold_state(writes.filter("seq % 3 = 2"))))))
+
+
 _SPLIT = "array_to_string(list_filter(string_split({c}, ','), lambda x: x <> ''), '|') AS {c}"
 
 
@@ -256,8 +267,8 @@ def q_known_urls(spark, sf):
     return known_urls(_published(spark, sf))
 
 
-@query("q_export_cumulative", _STORE + """SELECT id AS "ID", company_name AS "Company Name", source_url AS "Source URL", emails AS "Emails", telegram_handles AS "Telegram Handles", 'N/A' AS "TG Validation Status", '' AS "LinkedIn", '' AS "Skype",
- '' AS "Discord", '' AS "Twitter", CAST(is_cis AS VARCHAR) AS "Is CIS", cis_reason AS "CIS Reason", strftime(created_at, '%Y-%m-%d %H:%M:%S') AS "Created At" FROM folded""")
+@query("q_export_cumulative", _STORE + """SELECT id AS "ID", company_name AS "Company Name", source_url AS "Source URL", emails AS "Emails", telegram_handles AS "Telegram Handles", CASE WHEN tg_validation_status = '' THEN 'N/A' ELSE tg_validation_status END AS "TG Validation Status", linkedin AS "LinkedIn", skype AS "Skype",
+ '' AS "Discord", twitter AS "Twitter", CAST(is_cis AS VARCHAR) AS "Is CIS", cis_reason AS "CIS Reason", strftime(created_at, '%Y-%m-%d %H:%M:%S') AS "Created At" FROM folded""")
 def q_export_cumulative(spark, sf):
     return flatten_stored(scan_leads(_published(spark, sf)))
 
@@ -275,7 +286,7 @@ def q_stream_first_seen(spark, sf):
     listed = F.when(kind == 0, F.concat(F.lit("  "), F.upper("url"), F.lit(" "))).when(kind == 1, "").when(kind == 2, F.concat(F.lit("# "), "url")).otherwise(F.col("url"))
     lines = pages.select("page_id", F.posexplode(F.array(listed, F.col("url"))).alias("copy", "line"))
     out = scratch_dir(spark, "seen")
-    _run(jobs.stream_to_files(jobs.stream_first_seen(lines, "line", ["page_id", "copy"]), out, scratch_dir(spark, "state")))
+    _run(jobs.stream_to_files(jobs.stream_first_seen(lines.select("line"), "line"), out, scratch_dir(spark, "state")))
     return spark.read.parquet(out).select("norm")
 
 
@@ -284,8 +295,19 @@ def q_stream_upsert(spark, sf):
     incoming, log = scratch_dir(spark, "incoming"), scratch_dir(spark, "log")
     writes = _writes(spark, sf)
     writes.repartition(3).write.parquet(incoming)
-    _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema, 1), log, scratch_dir(spark, "state")))
-    return _shown(upsert_fold(spark.read.option("basePath", log).parquet(f"{log}/batch_id=*")))
+    _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema, 1), log, scratch_dir(spark, "state"), "orders"))
+    return _shown(upsert_fold(read_writes(spark, log, writes.schema)))
+
+
+@query("q_two_writers", _STORE + f"SELECT {', '.join(_COLUMNS)}, {_TIMES} FROM folded")
+def q_two_writers(spark, sf):
+    """Two streams with checkpoints of their own on one log."""
+    log, writes = scratch_dir(spark, "log"), _writes(spark, sf)
+    for half in (0, 1):
+        incoming = scratch_dir(spark, "incoming")
+        writes.filter(f"seq % 2 = {half}").repartition(2).write.parquet(incoming)
+        _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema, 1), log, scratch_dir(spark, "state"), f"half{half}"))
+    return _shown(upsert_fold(read_writes(spark, log, writes.schema)))
 
 
 @query("q_stream_known_anti", ctes("listing_links") + f" SELECT cat_ord, page_no, pos, link FROM listing_links WHERE link NOT IN ({_KNOWN})")
@@ -294,7 +316,7 @@ def q_stream_known_anti(spark, sf):
     links = derived(spark, sf, "listing_links")
     links.repartition(3).write.parquet(incoming)
     stored = lambda s: s.read.parquet(f"{sf}/part.parquet").filter("p_size > 25").select(F.concat(F.lit("https://dir.example/n"), "p_partkey").alias("source_url"))
-    _run(jobs.stream_without_known(jobs.stream_table(spark, incoming, links.schema, 1), stored, out, scratch_dir(spark, "state")))
-    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").select("cat_ord", "page_no", "pos", "link")
+    _run(jobs.stream_without_known(jobs.stream_table(spark, incoming, links.schema, 1), stored, out, scratch_dir(spark, "state"), "links"))
+    return spark.read.option("basePath", out).parquet(f"{out}/writer=*/batch_id=*").select("cat_ord", "page_no", "pos", "link")
 
 

@@ -11,7 +11,9 @@ from leadweave import fixed
 from leadweave.functions.lists import Col, col, let, literals
 from leadweave.functions.text import is_noise, trim_space
 
-_HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
+# scheme or none, user, host or bracketed address, port of digits only
+_HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\[\]/?#]*\]|[^\[\]:/?#]*)(?::[0-9]*)?(?=[/?#]|\z)"
 _PARTS = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 _BAD_ESCAPE = r"%(?![0-9a-fA-F]{2})"
 _CONTROL = r"[\x00-\x1f\x7f]"
@@ -24,9 +26,9 @@ def lead_id(url: Col) -> Column:
 
 
 def source_domain(url: Col) -> Column:
-    """Lower-case host without port; '' when the text is no absolute URL."""
+    """Lower-case host without port, an IPv6 address without its brackets; '' when the text names no host or a port that is no number."""
     url = col(url)
-    host = F.lower(F.regexp_extract(url, _HOST, 1))
+    host = F.btrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("[]"))
     broken = host.rlike(fixed.SPACE_CLASS) | url.rlike(_CONTROL) | F.regexp_extract(url, r"^([^?#]*)", 1).rlike(_BAD_ESCAPE)
     return F.when(broken, F.lit("")).otherwise(host)
 
@@ -39,8 +41,9 @@ def route_host(url: Col) -> Column:
 def url_problem(url: Col) -> Column:
     """Reason why a target cannot be used, NULL when it can."""
     url = col(url)
-    text = F.concat(F.lit('target URL "'), url, F.lit('" must include a scheme and host'))
-    return F.when(F.coalesce(route_host(url), F.lit("")) == "", F.coalesce(text, F.lit("target URL is missing")))
+    text = F.concat(F.lit('target URL "'), F.coalesce(url, F.lit("")), F.lit('" must include a scheme and host'))
+    usable = (route_host(url) != "") & trim_space(url).rlike(_SCHEME)
+    return F.when(~F.coalesce(usable, F.lit(False)), text)
 
 
 def _parts(url: Column) -> Column:

@@ -68,15 +68,16 @@ def handle_results(leads: DataFrame, snapshot: DataFrame | None, key: str = "id"
     )
 
 
-def verify_handles(leads: DataFrame, snapshot: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """Add ``tg_results`` and keep only usable handles in ``contacts.telegram``.
+def verify_handles(leads: DataFrame, snapshot: DataFrame | None = None, key: str = "id", checked_at: Column | None = None) -> DataFrame:
+    """Add ``tg_results``, each with its time ``checked_at`` (now, if not given), and keep only usable handles in ``contacts.telegram``.
 
     ``leads`` is read twice, for the handles and for the rows they go back to: pass a stored table, not a costly plan.
     """
+    now = F.current_timestamp() if checked_at is None else checked_at
     if snapshot is None:  # every handle is SKIPPED and stays: no join, no shuffle
         skipped = F.transform("contacts.telegram", lambda h: verdict(normalize_handle(h), None))
-        return leads.withColumn("tg_results", skipped)
-    results = handle_results(leads, snapshot, key)
+        return leads.withColumn("tg_results", F.transform(skipped, lambda r: r.withField("checked_at", now)))
+    results = handle_results(leads, snapshot, key).withColumn("tg_results", F.transform("tg_results", lambda r: r.withField("checked_at", now)))
     none = F.array().cast(results.schema["tg_results"].dataType)
     kept = F.coalesce("usable", F.array().cast("array<string>"))
     return (leads.join(results, key, "left")

@@ -97,8 +97,8 @@ def lead_core(routed: DataFrame) -> DataFrame:
 
 
 def first_targets(pages: DataFrame) -> DataFrame:
-    """``page_id`` of the first page of every URL, from the two narrow columns only."""
-    keyed = pages.select("page_id", dedup_key("url").alias("k")).filter(F.col("k") != "")
+    """``page_id`` of the first page of every URL, from the two narrow columns only. Blank and missing URLs are one target."""
+    keyed = pages.select("page_id", F.coalesce(dedup_key("url"), F.lit("")).alias("k"))
     return keyed.groupBy("k").agg(F.min("page_id").alias("page_id")).select("page_id")
 
 
@@ -134,6 +134,9 @@ def run_leads(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_
     Classification sees the handles that verification may drop later. Rule sets must be named by the caller. The extracted leads
     are written once to the shared scratch folder; lookups and summary read that compact table, so no page is read again.
     """
+    repeated = pages.groupBy("page_id").count().filter("count > 1").first()
+    if repeated:  # two pages of one id would mix
+        raise ValueError(f"page_id {repeated.page_id} names more than one page")
     winners = first_targets(pages)
     found = leads_from_pages(pages, routes, winners)
     flagged = classify(found, mail, names).withColumn("created_at", F.current_timestamp() if created_at is None else created_at)

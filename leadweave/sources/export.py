@@ -40,6 +40,9 @@ def flatten_stored(leads: DataFrame) -> DataFrame:
     return leads.select(*flat_columns(contacts, results, **_PLAIN))
 
 
+LEAD_FIELDS = ("id", "source_url", "company_name", "raw_name", "contacts", "network_metadata", "tg_results", "is_cis", "cis_reason", "mx_valid", "created_at", "updated_at")
+
+
 def _none_if_empty(c: Col) -> Column:
     return F.nullif(col(c), F.lit(""))
 
@@ -61,7 +64,7 @@ def nested_leads(leads: DataFrame) -> DataFrame:
         fields = [_none_if_empty(f"network.{c}").alias(c) for c in ("commission_type", "payment_frequency", "minimum_payout", "referral_rate")]
         network = F.struct(*fields, _none_if_no_items(managers).alias("managers"))
         out = out.withColumn("network_metadata", F.when(F.col("network").isNotNull(), network)).drop("network")
-    return out
+    return out.select(*[c for c in LEAD_FIELDS if c in out.columns])
 
 
 # options to read a CSV export back: quoted empty texts stay empty instead of turning into NULL
@@ -72,7 +75,8 @@ def write_leads(leads: DataFrame, path: str) -> None:
     """Write leads in the form the path's ending names: .csv (flat), .json (nested, one object per line), .parquet."""
     ending = posixpath.splitext(path.rstrip("/"))[1].lower()
     if ending == ".csv":
-        flatten_leads(leads).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        as_written = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        flatten_leads(leads).write.mode("overwrite").options(**as_written).csv(path)
     elif ending == ".json":
         nested_leads(leads).write.mode("overwrite").json(path)
     elif ending == ".parquet":

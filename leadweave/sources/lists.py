@@ -32,6 +32,13 @@ def list_items(rows: DataFrame, values: Col, keep: list[str]) -> DataFrame:
 
 
 def target_list(listed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Comma-list items, then file lines, as one list (``source, ord, pos, value``); nothing is deduplicated."""
+    """Comma-list items, then file lines, as one list; nothing is deduplicated.
+
+    ``source, ord, pos, value``, where ``lines`` has a place ``ord``. Lines from :func:`read_lines` have a place in a file instead: sort by
+    ``source, file, block, ord, pos`` then.
+    """
     first = listed.select(F.lit(0).alias("source"), "ord", "pos", "value")
-    return first.unionAll(lines.select(F.lit(1).alias("source"), "ord", F.lit(0).alias("pos"), F.col("line").alias("value")))
+    if "ord" in lines.columns:
+        return first.unionAll(lines.select(F.lit(1).alias("source"), "ord", F.lit(0).alias("pos"), F.col("line").alias("value")))
+    placed = first.select("source", F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("ord").cast("bigint").alias("ord"), "pos", "value")
+    return placed.unionAll(lines.select(F.lit(1), "file", "block", "row", F.lit(0), "line"))

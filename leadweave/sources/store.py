@@ -1,7 +1,8 @@
 """The stored leads table: write log, upsert fold, scans.
 
-Writes are appended, one folder per batch, and folded when read. A replayed batch overwrites its own folder, so a
-lost executor or a restarted stream leaves the table as it should be, and no job overwrites what it reads.
+Writes are appended, one folder per writer and batch, and folded when read. A replayed batch overwrites its own folder, so a
+lost executor or a restarted stream leaves the table as it should be, and no job overwrites what it reads. ``compact`` folds the
+log into a state that later writes are folded onto.
 """
 
 from __future__ import annotations
@@ -41,31 +42,63 @@ def stored_rows(leads: DataFrame, seq: Column, written_at: Column | None = None)
     return leads.select(*[values[f.name].alias(f.name) for f in WRITES.fields])
 
 
-def upsert_fold(writes: DataFrame, key: str = "source_url", seq: str = "seq", written_at: str = "written_at") -> DataFrame:
-    """One row per key out of any number of writes.
+def fold_state(writes: DataFrame, key: str = "source_url", seq: str = "seq", written_at: str = "written_at") -> DataFrame:
+    """What any number of writes say about each key, in a form that can be folded on: with other states, or with itself.
 
-    ``id`` and ``created_at`` come from the first write, every text from the latest write that has it non-empty, flags
-    and ``updated_at`` from the latest write. One aggregation; partial results are folded before the shuffle, so a URL written
-    over and over costs no more than any other.
+    ``first`` and ``last`` are the first and latest write, ``text_<name>`` the latest non-empty text, each with its order. Writes of one
+    ``seq`` are ordered by a hash of their whole content, so the order of rows does not matter. Partial results are folded before
+    the shuffle: a URL written over and over costs no more than any other.
     """
     have = writes.columns
-    latest_text = [
-        F.coalesce(F.max_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col(seq))), F.lit("")).alias(c)
-        for c in TEXTS if c in have
-    ]
-    latest = [F.max_by(c, seq).alias(c) for c in FLAGS if c in have]
-    first = [F.min_by("id", seq).alias("id")] + [F.min_by(c, seq).alias(c) for c in ("source_domain",) if c in have]
-    times = [F.min_by(written_at, seq).alias("created_at"), F.max_by(written_at, seq).alias("updated_at")]
-    return writes.groupBy(key).agg(*first, *latest_text, *latest, *times, F.max(seq).alias("seq"))
+    order = F.struct(F.col(seq).alias("seq"), F.xxhash64(*sorted(have)).alias("tie")).alias("at")
+    first = F.struct(order, "id", *[c for c in ("source_domain",) if c in have], F.col(written_at).alias("time"))
+    last = F.struct(order, *[c for c in FLAGS if c in have], F.col(written_at).alias("time"))
+    texts = [F.max(F.when(F.col(c) != "", F.struct(order, F.col(c).alias("value")))).alias(f"text_{c}") for c in TEXTS if c in have]
+    return writes.groupBy(key).agg(F.min(first).alias("first"), F.max(last).alias("last"), *texts)
+
+
+def merge_states(states: DataFrame, key: str = "source_url") -> DataFrame:
+    """One state per key out of several."""
+    return states.groupBy(key).agg(F.min("first").alias("first"), F.max("last").alias("last"), *[F.max(c).alias(c) for c in states.columns if c.startswith("text_")])
+
+
+def folded(state: DataFrame, key: str = "source_url") -> DataFrame:
+    """The rows that states stand for: ``id`` and ``created_at`` of the first write, texts latest non-empty, flags and ``updated_at`` latest."""
+    first, last = state.schema["first"].dataType.names, state.schema["last"].dataType.names
+    return state.select(
+        key, F.col("first.id").alias("id"), *[F.col(f"first.{c}").alias(c) for c in ("source_domain",) if c in first],
+        *[F.coalesce(F.col(f"text_{c}.value"), F.lit("")).alias(c) for c in TEXTS if f"text_{c}" in state.columns], *[F.col(f"last.{c}").alias(c) for c in FLAGS if c in last],
+        F.col("first.time").alias("created_at"), F.col("last.time").alias("updated_at"), F.col("last.at.seq").alias("seq"))
+
+
+def upsert_fold(writes: DataFrame, key: str = "source_url", seq: str = "seq", written_at: str = "written_at") -> DataFrame:
+    """One row per key out of any number of writes."""
+    return folded(fold_state(writes, key, seq, written_at), key)
 
 
-def append_writes(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch to the write log; writing the same batch again replaces it."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def append_writes(rows: DataFrame, path: str, writer: str, batch_id: int) -> None:
+    """Add one batch of a writer to the write log; the same batch written again replaces itself, other writers' batches stay."""
+    rows.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
 
 
 def read_writes(spark: SparkSession, path: str, schema: T.StructType = WRITES) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/writer=*/batch_id=*")
+
+
+def compact(spark: SparkSession, path: str, into: str, schema: T.StructType = WRITES, onto: DataFrame | None = None) -> DataFrame:
+    """Fold the write log, onto an earlier state if given, and write the state to a new folder ``into``. Its batches can be removed then.
+
+    Later reads fold only newer batches onto it: ``folded(merge_states(state.unionByName(fold_state(newer))))``.
+    """
+    state = fold_state(read_writes(spark, path, schema))
+    state = state if onto is None else merge_states(state.unionByName(onto))
+    state.write.parquet(into)
+    return spark.read.schema(state.schema).parquet(into)
+
+
+def id_clashes(stored: DataFrame) -> DataFrame:
+    """Ids that stand for more than one URL, against the table's key: ``id, n_urls``."""
+    return stored.groupBy("id").agg(F.count_distinct("source_url").alias("n_urls")).filter("n_urls > 1")
 
 
 def publish(current: DataFrame, path: str) -> None:

@@ -23,21 +23,13 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, files_per
     return reader.parquet(path)
 
 
-def stream_first_seen(rows: DataFrame, key: Col, spread_by: list[str] | None = None, salts: int = 8,
-                      event_time: str | None = None, forget_after: str | None = None) -> DataFrame:
+def stream_first_seen(rows: DataFrame, key: Col, event_time: str | None = None, forget_after: str | None = None) -> DataFrame:
     """One row per lowered, trimmed key over the whole life of the stream; blank keys are dropped.
 
-    With ``spread_by`` (columns that differ between copies) copies are first dropped within ``salts`` shares of each key, so that
-    a key with a third of all rows is not left to one task; at most ``salts`` rows per key get to the second step. Add
-    ``event_time`` and ``forget_after`` to bound the state: keys are then forgotten after that delay, which lets late copies through.
+    One step keeps each key once. Only the columns that are needed should come in: every copy is moved to its key. Add ``event_time`` and
+    ``forget_after`` to bound the state: keys are then forgotten after that delay, which lets late copies through.
     """
     keyed = rows.withColumn("norm", dedup_key(key)).filter(F.col("norm") != "")
-    if spread_by:
-        shared = keyed.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
-        if event_time and forget_after:
-            shared = shared.withWatermark(event_time, forget_after).dropDuplicatesWithinWatermark(["norm", "__salt"])
-            return shared.dropDuplicatesWithinWatermark(["norm"]).drop("__salt")
-        return shared.dropDuplicates(["norm", "__salt"]).dropDuplicates(["norm"]).drop("__salt")
     if event_time and forget_after:
         return keyed.withWatermark(event_time, forget_after).dropDuplicatesWithinWatermark(["norm"])
     return keyed.dropDuplicates(["norm"])
@@ -47,18 +39,21 @@ def _start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], No
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_upsert(writes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append every micro-batch to the write log; the fold on read depends on ``seq`` only, so replays change nothing."""
-    return _start(writes, checkpoint, lambda batch, batch_id: append_writes(batch, path, batch_id))
+def stream_upsert(writes: DataFrame, path: str, checkpoint: str, writer: str) -> StreamingQuery:
+    """Append every micro-batch to the write log as a batch of ``writer``; the fold depends on the writes only, so replays change nothing.
+
+    Batch numbers belong to a checkpoint: a stream that starts with a new one needs a new writer name.
+    """
+    return _start(writes, checkpoint, lambda batch, batch_id: append_writes(batch, path, writer, batch_id))
 
 
-def stream_without_known(links: DataFrame, stored: Callable[[SparkSession], DataFrame], path: str, checkpoint: str,
+def stream_without_known(links: DataFrame, stored: Callable[[SparkSession], DataFrame], path: str, checkpoint: str, writer: str,
                          url: str = "link") -> StreamingQuery:
-    """Write links that are not in the leads table, which is read anew for every micro-batch."""
+    """Write links that are not in the leads table, which is read anew for every micro-batch, its URLs only. ``writer`` as above."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         known = known_urls(stored(batch.sparkSession)).select(F.col("source_url").alias(url))
-        batch.join(known, url, "left_anti").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.join(known, url, "left_anti").write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
 
     return _start(links, checkpoint, each)
 

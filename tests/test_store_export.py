@@ -10,8 +10,8 @@ from leadweave.operators.lookups import verify_handles
 from leadweave.operators.summary import column_widths
 from leadweave.session import scratch_dir
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, write_leads
-from leadweave.sources.lists import clean_lines, read_lines
-from leadweave.sources.store import WRITES, append_writes, known_urls, publish, read_published, read_writes, scan_leads, stored_rows, upsert_fold
+from leadweave.sources.lists import clean_lines, list_items, read_lines, target_list
+from leadweave.sources.store import WRITES, append_writes, fold_state, folded, id_clashes, known_urls, merge_states, publish, read_published, read_writes, scan_leads, stored_rows, upsert_fold
 from leadweave.streaming import jobs
 from tests.conftest import values
 
@@ -27,11 +27,10 @@ def test_two_writes_to_one_url(spark):
     log, table, url = scratch_dir(spark, "log"), scratch_dir(spark, "table"), "https://example.com/lead"
     first = lead(spark, "lead-1", url, "Example", ["first@example.com"], ["example"], ["example-company"], True, "test")
     second = lead(spark, "different-id", url, "Updated", ["updated@example.com"], reason="")
-    append_writes(stored_rows(first, F.lit(1)), log, 0)
-    append_writes(stored_rows(second, F.lit(2)), log, 1)
-    append_writes(stored_rows(second, F.lit(2)), log, 1)  # a replay
-    folded = upsert_fold(read_writes(spark, log))
-    publish(folded, table)
+    append_writes(stored_rows(first, F.lit(1)), log, "w", 0)
+    append_writes(stored_rows(second, F.lit(2)), log, "w", 1)
+    append_writes(stored_rows(second, F.lit(2)), log, "w", 1)  # a replay
+    publish(upsert_fold(read_writes(spark, log)), table)
     got = scan_leads(read_published(spark, table), flagged_only=True).collect()
     assert [(r.id, r.company_name, r.raw_name, r.emails, r.linkedin, r.telegram_handles, r.cis_reason, r.source_domain) for r in got] == [
         ("lead-1", "Updated", "Updated", ["updated@example.com"], ["example-company"], ["example"], "test", "example.com")]
@@ -57,37 +56,46 @@ def test_fold_against_the_statement_and_itself(spark):
     columns = ("source_url", "id", *texts, "is_cis", "mx_valid")
     df = spark.createDataFrame(rows, WRITES)
     for parts in (1, 17):
-        folded = upsert_fold(df.repartition(parts))
-        assert sorted(values(folded, *columns)) == sorted(tuple(w[c] for c in columns) for w in want.values())
-    again = upsert_fold(upsert_fold(df).withColumn("written_at", F.col("updated_at")))
-    assert sorted(values(again, *columns)) == sorted(values(upsert_fold(df), *columns))
+        rows = upsert_fold(df.repartition(parts))
+        assert sorted(values(rows, *columns)) == sorted(tuple(w[c] for c in columns) for w in want.values())
+    whole = upsert_fold(df)
+    halves = [fold_state(df.filter(F.col("seq") % 2 == half)) for half in (0, 1)]
+    again = folded(merge_states(merge_states(halves[0].unionByName(halves[1])).unionByName(halves[0])))
+    assert sorted(map(str, again.collect())) == sorted(map(str, whole.collect()))
+    tied = df.withColumn("seq", F.lit(1).cast("long"))
+    assert sorted(map(str, upsert_fold(tied).collect())) == sorted(map(str, upsert_fold(tied.orderBy(F.rand(4)).repartition(9)).collect()))
+    assert values(id_clashes(df.filter("seq < 2").withColumn("id", F.lit("i"))), "n_urls") in ([2], [])
 
 
 def test_exports(spark):
-    one = lead(spark, "lead-1", "https://acme.example", 'Ac"me,\nLtd', ["one@acme.example", "two@acme.example"], ["acme"], reason="test reason")
+    one = lead(spark, "lead-1", " https://acme.example ", 'Ac"me,\nLtd', ["one@acme.example", "two@acme.example"], ["acme"], reason="test reason")
     base = scratch_dir(spark, "out")
     write_leads(one, base + ".csv")
     with open(glob.glob(base + ".csv/part-*")[0], newline="") as f:
         header, row = list(csv.reader(f))
     assert header[0] == "ID" and len(header) == 13
-    assert row[1] == 'Ac"me,\nLtd' and row[3] == "one@acme.example, two@acme.example" and row[5] == "@acme:[SKIPPED]" and row[10] == "true" and row[12] == "1970-01-01 00:00:00"
+    assert row[2] == " https://acme.example " and row[1] == 'Ac"me,\nLtd' and row[3] == "one@acme.example, two@acme.example" and row[5] == "@acme:[SKIPPED]" and row[10] == "true" and row[12] == "1970-01-01 00:00:00"
     assert values(spark.read.options(**CSV_OPTIONS).csv(base + ".csv"), "*") == [tuple(row)]
     write_leads(one, base + ".JSON")
     with open(glob.glob(base + ".JSON/part-*")[0]) as f:
         back = json.loads(f.readline())
-    assert back["contacts"]["emails"] == ["one@acme.example", "two@acme.example"] and back["tg_results"][0]["status"] == "SKIPPED" and "user_id" not in back["tg_results"][0]
+    assert back["contacts"]["emails"] == ["one@acme.example", "two@acme.example"] and back["tg_results"][0]["status"] == "SKIPPED" and "user_id" not in back["tg_results"][0] and "checked_at" in back["tg_results"][0]
+    assert set(back) <= {"id", "source_url", "company_name", "raw_name", "contacts", "tg_results", "network_metadata", "is_cis", "cis_reason", "mx_valid", "created_at"}
     write_leads(one, base + ".parquet")
     assert spark.read.parquet(base + ".parquet").count() == 1
     for path in (base + ".xlsx", base + ".txt", base):
         with pytest.raises(ValueError):
             write_leads(one, path)
-    assert values(column_widths(flatten_leads(one)).orderBy("pos"), "width")[:4] == [14, 14, 22, 36]
+    assert values(column_widths(flatten_leads(one)).orderBy("pos"), "width")[:4] == [14, 14, 24, 36]
 
 
 def test_lines_from_a_file(spark, tmp_path):
     path = tmp_path / "targets.txt"
     path.write_text("  https://a.example \n\n# no\n https://b.example \nhttps://a.example\n", encoding="utf8")
     assert [r.line for r in read_lines(spark, str(path)).orderBy("file", "block", "row").collect()] == ["https://a.example", "https://b.example", "https://a.example"]
+    listed = list_items(spark.createDataFrame([(0, "x, y")], "ord int, v string"), "v", ["ord"])
+    both = target_list(listed, read_lines(spark, str(path))).orderBy("source", "file", "block", "ord", "pos")
+    assert values(both, "value") == ["x", "y", "https://a.example", "https://b.example", "https://a.example"]
     assert clean_lines(spark.createDataFrame([("#x",), (" ",)], "line string")).count() == 0
 
 
@@ -98,9 +106,6 @@ def test_streams_equal_the_batch(spark):
     stream = jobs.stream_table(spark, incoming, rows.schema, 1)
     jobs.stream_to_files(jobs.stream_first_seen(stream, "v"), out, scratch_dir(spark, "state")).awaitTermination()
     assert spark.read.parquet(out).count() == 25
-    spread = scratch_dir(spark, "out")
-    jobs.stream_to_files(jobs.stream_first_seen(stream, "v", ["ord"]), spread, scratch_dir(spark, "state")).awaitTermination()
-    assert spark.read.parquet(spread).count() == 25
     stamped = stream.withColumn("at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     bounded = scratch_dir(spark, "out")
     jobs.stream_to_files(jobs.stream_first_seen(stamped, "v", event_time="at", forget_after="1 hour").drop("at"), bounded, scratch_dir(spark, "state")).awaitTermination()

@@ -40,3 +40,11 @@ def test_routing_and_rejects(spark, as_table):
     assert [r for r in values(df, "url", "layout", "want") if r[1] != r[2]] == []
     bad = spark.createDataFrame([("not-a-url",), ("/rel",), ("http://a b/c",), (None,), ("https://ok.example",), ("http://a_b.example/x y",)], "url string")
     assert values(bad.filter(urls.url_problem("url").isNotNull()), "url") == ["not-a-url", "/rel", "http://a b/c", None]
+
+
+def test_hosts_as_a_url_parser_reads_them(spark):
+    cases = [("https://[2001:db8::1]:8443/x", "2001:db8::1"), ("https://[::1]/x", "::1"), ("https://h.example:80/x", "h.example"), ("https://h.example:/x", "h.example"), ("https://h.example:a1/x", ""),
+             ("//h.example/x", "h.example"), ("https://u:p@w@H.example?q", "h.example"), ("https:///x", ""), ("https://[::1/x", ""), ("plain", "")]
+    df = spark.createDataFrame(cases, "u string, want string").select("u", urls.source_domain("u").alias("got"), "want", urls.url_problem("u").isNull().alias("usable"))
+    assert [r for r in values(df, "u", "got", "want") if r[1] != r[2]] == []
+    assert sorted(values(df.filter("usable"), "u")) == sorted(u for u, host in cases if host and not u.startswith("//"))
