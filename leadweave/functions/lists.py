@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def let_sql(value: Col, body: str) -> Column:
     """Like :func:`let` with the body as SQL text ``x -> ...``; long bodies are built in one call that way."""
-    return F.call_function("transform", F.array(col(value)), F.expr(body)).getItem(0)
+    return F.call_function("transform", F.array(col(value)), _parsed(body, id(SparkContext._gateway))).getItem(0)
+
+
+@lru_cache(maxsize=64)
+def _parsed(body: str, gateway: int) -> Column:
+    """SQL text as a column, parsed once in a driver: some bodies hold long tables."""
+    return F.expr(body)
 
 
 def sql_text(value: str) -> str:

@@ -19,7 +19,7 @@ def hrefs(html: Col) -> Column:
     """``href`` values of all ``a`` elements in document order."""
     tags = F.regexp_extract_all(visible_markup(html), F.lit(HREF_TAG), F.lit(0))
     values = F.transform(tags, lambda t: attribute(attributes(t), "href"))
-    return F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: decode_entities(v))
+    return F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: decode_entities(v, in_attribute=True))
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html",

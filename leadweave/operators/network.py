@@ -46,7 +46,7 @@ def _contact_values(raw: Column, tag: Column, layout: Column) -> Column:
     named = low.contains(fixed.MANAGER_ATTRIBUTES_B[0])
     for name in fixed.MANAGER_ATTRIBUTES_B[1:]:
         named = named | low.contains(name)
-    return F.when(named, decode_entities(let(attributes(raw), values))).otherwise("")
+    return F.when(named, decode_entities(let(attributes(raw), values), in_attribute=True)).otherwise("")
 
 
 def _places(raw: Column, tag: Column) -> Column:
@@ -62,14 +62,16 @@ def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: li
     tokens as written, and the text of each; of ``winners`` only, where given.
 
     ``pages`` has ``page_id, layout, html``. The page is the unit of the result and was one row to begin with. It is
-    moved once, before it is cut into tokens; every window and grouping after that uses the same placement. HTML without any
-    row, term, list item or div is not moved at all. ``carry`` columns come out as the struct ``carried``.
+    moved once, before it is cut into tokens; every window and grouping after that uses the same placement. HTML without a row or
+    term is moved only if it has items or divs and its text names a manager. ``carry`` columns come out as the struct ``carried``.
     """
     carry = carry or []
-    worth = F.when(F.col("html").rlike(r"(?i)<(?:tr|dt|li|div)[\s/>]"), F.col("html"))
-    # a fixed number of partitions: merging small ones, as is done by default, would starve the token work of tasks
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = pages.select("page_id", "layout", *carry, worth.alias("html")).repartition(parts, "page_id")
+    # rows and terms are read in any page; items and divs only where the page's text speaks of a manager
+    labelled = F.col("html").rlike(r"(?i)<(?:tr|dt)[\s/>]")
+    blocks = F.col("html").rlike(r"(?i)<(?:li|div)[\s/>]")
+    text = F.array_join(F.transform(page_tokens("html"), token_text), "")
+    worth = F.when(labelled, F.col("html")).when(blocks, F.when(_speaks(text, F.col("layout")), F.col("html")))
+    placed = pages.select("page_id", "layout", *carry, worth.alias("html")).repartition("page_id")
     if winners is not None:  # on the same placement: only the ids move (a semi join would be pushed below it)
         placed = placed.join(winners, "page_id")
     ended = with_ends(tags(placed, ["page_id"], ["layout", *carry, "html"]))
@@ -129,23 +131,25 @@ def metadata(rows: Column, pairs: Column) -> Column:
     return let(F.filter(named, lambda p: p["field"].isNotNull() & (p["value"] != "")), fold)
 
 
+# a phrase is in the collapsed text when its words stand in the text with any white space between them
+_SPACED = {lay: "(?i)" + "|".join(p.replace(" ", fixed.SPACE_CLASS + "+") for p in phrases)
+           for lay, phrases in (("A", fixed.MANAGER_PHRASES_A), ("B", fixed.MANAGER_PHRASES_B))}
+
+
+def _speaks(text: Column, layout: Column) -> Column:
+    return F.when(layout == "B", text.rlike(_SPACED["B"])).otherwise(text.rlike(_SPACED["A"]))
+
+
 def manager_blocks(marks: Column, texts: Column, layout: Column) -> Column:
     """Rows, list items and divs that speak of a manager, with their mark and ``text``; nested ones all count.
 
     A block's text is part of the page's, so pages that nowhere hold one of the phrases are passed over.
     """
 
-    # a phrase is in the collapsed text when its words stand in the text with any white space between them
-    spaced = {lay: "(?i)" + "|".join(p.replace(" ", fixed.SPACE_CLASS + "+") for p in phrases)
-              for lay, phrases in (("A", fixed.MANAGER_PHRASES_A), ("B", fixed.MANAGER_PHRASES_B))}
-
-    def speaks(text: Column) -> Column:
-        return F.when(layout == "B", text.rlike(spaced["B"])).otherwise(text.rlike(spaced["A"]))
-
     opened = _opened(marks, lambda t: ((t["tag"] == "tr") & (t["level"] > 0)) | t["tag"].isin("li", "div"))
     spans = F.transform(opened, lambda b: F.struct(b["ord"].alias("ord"), b.alias("mark"), _text_of(texts, b).alias("text")))
-    found = F.transform(F.filter(spans, lambda b: speaks(b["text"])), lambda b: b.withField("text", collapse_space(b["text"])))
-    return F.when(speaks(F.array_join(texts, "")), found)
+    found = F.transform(F.filter(spans, lambda b: _speaks(b["text"], layout)), lambda b: b.withField("text", collapse_space(b["text"])))
+    return F.when(_speaks(F.array_join(texts, ""), layout), found)
 
 
 def block_managers(marks: Column, raws: Column, texts: Column, layout: Column, blocks: Column) -> Column:

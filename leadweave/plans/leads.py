@@ -61,7 +61,7 @@ def _metas(markup: Col) -> Column:
 
 def _og_title(markup: Col) -> Column:
     first = F.get(F.filter(_metas(markup), lambda m: attribute(m, "property") == "og:title"), F.lit(0))
-    return trim_space(decode_entities(F.coalesce(let(first, lambda m: attribute(m, "content")), F.lit(""))))
+    return trim_space(decode_entities(F.coalesce(let(first, lambda m: attribute(m, "content")), F.lit("")), in_attribute=True))
 
 
 def company_name(markup: Col, layout: Col) -> Column:
@@ -81,9 +81,9 @@ def scanned_text(html: Col, layout: Col, markup: Col) -> Column:
     contents = F.filter(F.transform(_metas(markup), lambda m: attribute(m, "content")), lambda v: v.isNotNull())
     # a script-like body is not decoded; token by token is only needed where hidden parts hold an '&' at all
     hidden = F.length(F.replace(html, F.lit("&"), F.lit(""))) - F.length(html) != F.length(F.replace(col(markup), F.lit("&"), F.lit(""))) - F.length(col(markup))
-    pieces = F.transform(page_tokens(html), lambda t: F.when(t.rlike(RAW_BODY), t).otherwise(decode_entities(t, keep_markup=True)))
-    whole = F.when(hidden, F.array_join(pieces, "")).otherwise(decode_entities(html, keep_markup=True))
-    return F.when(col(layout) == "B", F.concat_ws(" ", whole, decode_entities(F.array_join(contents, " ")))).otherwise(whole)
+    pieces = F.transform(page_tokens(html), lambda t: F.when(t.rlike(RAW_BODY), t).otherwise(decode_entities(t, keep_markup=True, in_attribute=True)))
+    whole = F.when(hidden, F.array_join(pieces, "")).otherwise(decode_entities(html, keep_markup=True, in_attribute=True))
+    return F.when(col(layout) == "B", F.concat_ws(" ", whole, decode_entities(F.array_join(contents, " "), in_attribute=True))).otherwise(whole)
 
 
 def lead_core(routed: DataFrame) -> DataFrame:

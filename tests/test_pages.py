@@ -114,7 +114,7 @@ def test_plan_reads_and_moves_the_html_once(spark):
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("html" in s.split("Batched")[0] for s in scans) == 1
     assert "Python" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("REPARTITION_BY_NUM") == 1
+    assert plan.count("REPARTITION_BY_COL") == 1 and "REPARTITION_BY_NUM" not in plan
     snapshot = spark.sql("SELECT 'h' AS handle, 1 AS user_id, false AS is_bot, false AS is_deleted, false AS was_verified, '' AS error_code")
     run = run_leads(pages, mail=MailRules(), names=None, handle_snapshot=snapshot, mx_snapshot=spark.sql("SELECT 'd' AS domain, 1 AS n_mx, 'ok' AS outcome"))
     for df in (run.leads, run.summary):

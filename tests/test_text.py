@@ -75,6 +75,11 @@ def test_ordered_unique_against_a_loop(spark):
 def test_entities_like_the_standard_library(spark):
     items = ["a &amp;lt; &#64; &#x40; &copy; &#38;lt; &lt; &nosuch; &#150; &commat; &#1114112; &quot; &#128512; &#0; &#xD800;", "plain", "&&&", "&#64&#65;"]
     assert apply(spark, items, entities.decode_entities) == [html.unescape(v) for v in items]
+    bare = ["&amp", "a&copy2 &copy=1 &copy;x&copy", "&notit; &notin; &not &ampamp; &amp;amp &AMPlt", "&nbsp&nbsp;&x &ampx;", "?a=1&lt=2&gtx &hearts &hearts;"]
+    assert apply(spark, bare, entities.decode_entities) == [html.unescape(v) for v in bare]
+    assert apply(spark, bare, lambda v: entities.decode_entities(v, in_attribute=True)) == ["&", "a&copy2 &copy=1 ©x©", "&notit; ∉ ¬ &ampamp; &amp &AMPlt", "&nbsp\xa0&x &ampx;".replace("&nbsp", "\xa0", 1), "?a=1&lt=2&gtx &hearts ♥"]
+    table = [" ".join("&" + name for name in entities.html5)]
+    assert apply(spark, table, entities.decode_entities) == [html.unescape(table[0])]
     assert apply(spark, ["&#64; &amp;#64; &lt;b&gt; &#39;"], lambda v: entities.decode_entities(v, True)) == ["@ &amp;#64; &lt;b&gt; &#39;"]
 
 
