@@ -14,7 +14,12 @@ def _functions() -> dict[str, tuple[str, str]]:
     edges = sql_text(rf"^{edge}+|(?<!{edge}){edge}+\z")
     handle = sql_text(r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)")
     domain = sql_text(r"(?s)^[^@]*@(.+)\z")
+    listed = {name: f"array({', '.join(map(sql_text, items))})" for name, items in (("tokens", fixed.NAME_TOKENS), ("ignored", fixed.IGNORED_WORDS))}
+    token = f"get(filter({listed['tokens']}, t -> contains(n, t)), 0)"
+    word = f"get(filter(split(n, '[ ._@-]+'), w -> NOT array_contains({listed['ignored']}, w) AND w RLIKE {sql_text(fixed.NAME_SUFFIX)}), 0)"
+    reason = f"coalesce(concat('Slavic name token [', {token}, ']'), concat('Slavic surname suffix in [', {word}, ']'))"
     return {
+        "name_reason": ("v STRING", f"get(transform(array(lower(trim(BOTH {spaces} FROM v))), n -> {reason}), 0)"),
         "trim_space": ("v STRING", f"trim(BOTH {spaces} FROM v)"),
         "clean_token": ("v STRING", f"regexp_replace(trim(BOTH {spaces} FROM v), {edges}, '')"),
         "normalize_handle": ("v STRING", f"trim(BOTH {spaces} FROM regexp_extract(trim(BOTH {spaces} FROM lower(v)), {handle}, 1))"),

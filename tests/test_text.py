@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leadweave import fixed
 from leadweave.functions import entities, text
 from leadweave.functions.lists import ordered_unique
+from leadweave.functions.rules import NameRules, name_reason
 from leadweave.functions.sql import register
 from tests.conftest import values
 
@@ -110,4 +111,6 @@ def test_sql_functions_equal_the_columns(spark):
     df = column(spark, items)
     got = values(df.selectExpr("clean_token(v)", "normalize_handle(v)", "mail_domain(v)"), "*")
     assert got == values(df.select(text.clean_token("v"), text.normalize_handle("v"), text.mail_domain("v")), "*")
+    names = column(spark, ["Tkachenko", " Natasha Hill", "Ann Lee", "", None, "the ivanov-group"])
+    assert values(names.selectExpr("name_reason(v)"), "*") == values(names.select(name_reason(F.col("v"), NameRules())), "*")
     assert len(fixed.SPACE_CHARS) == 25
