@@ -72,7 +72,7 @@ def _notes(spark, sf) -> DataFrame:
 
 
 def _checked_notes(spark, sf) -> DataFrame:
-    return verify_handles(_notes(spark, sf), derived(spark, sf, "handle_snapshot"), "note_id")
+    return verify_handles(write_once(_notes(spark, sf), "notes"), derived(spark, sf, "handle_snapshot"), "note_id")
 
 
 _HANDLES = o.contacts("telegram", "contact_notes", "note_id")

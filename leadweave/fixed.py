@@ -52,7 +52,6 @@ NAME_SUFFIX = r"(?i)(?:[a-z]{3,})(?:enko|chuk|vych|wich|ov|ova|ev|eva|in|ina|ska
 IGNORED_WORDS = ("justin", "main", "fin", "bin", "win", "domain")
 
 # --- fixed values: verdicts ---------------------------------------------------
-STATUSES = ("VALID", "DELETED", "INVALID", "NOT_FOUND", "FLOOD_WAIT", "SKIPPED")
 USABLE_STATUSES = ("VALID", "SKIPPED")
 NOT_OCCUPIED_TEXT = "username is not occupied; deletion cannot be confirmed by username"
 DELETED_TEXT = "Telegram account is marked as deleted"

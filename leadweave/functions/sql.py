@@ -6,14 +6,12 @@ from pyspark.sql import SparkSession
 
 from leadweave import fixed
 from leadweave.functions.lists import sql_text
+from leadweave.functions.text import EDGES, HANDLE_SHAPE, MAIL_DOMAIN
 
 
 def _functions() -> dict[str, tuple[str, str]]:
     spaces = sql_text(fixed.SPACE_CHARS)
-    edge = r"[^\P{P}_#]"
-    edges = sql_text(rf"^{edge}+|(?<!{edge}){edge}+\z")
-    handle = sql_text(r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)")
-    domain = sql_text(r"(?s)^[^@]*@(.+)\z")
+    edges, handle, domain = sql_text(EDGES), sql_text(HANDLE_SHAPE), sql_text(MAIL_DOMAIN)
     listed = {name: f"array({', '.join(map(sql_text, items))})" for name, items in (("tokens", fixed.NAME_TOKENS), ("ignored", fixed.IGNORED_WORDS))}
     token = f"get(filter({listed['tokens']}, t -> contains(n, t)), 0)"
     word = f"get(filter(split(n, '[ ._@-]+'), w -> NOT array_contains({listed['ignored']}, w) AND w RLIKE {sql_text(fixed.NAME_SUFFIX)}), 0)"

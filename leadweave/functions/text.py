@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from leadweave import fixed
 from leadweave.functions.lists import Col, col, empty_list, ordered_unique
 
+HANDLE_SHAPE = r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)"
+MAIL_DOMAIN = r"(?s)^[^@]*@(.+)\z"
 # Punctuation other than _ and #. The look-behind lets a match start only where a
 # run of punctuation starts, so a long run is scanned once.
 _EDGE = r"[^\P{P}_#]"
-_EDGES = rf"^{_EDGE}+|(?<!{_EDGE}){_EDGE}+\z"
+EDGES = rf"^{_EDGE}+|(?<!{_EDGE}){_EDGE}+\z"
 
 
 def trim_space(c: Col) -> Column:
@@ -25,7 +27,7 @@ def collapse_space(c: Col) -> Column:
 
 
 def clean_token(c: Col) -> Column:
-    return F.regexp_replace(trim_space(c), _EDGES, "")
+    return F.regexp_replace(trim_space(c), EDGES, "")
 
 
 def has_asset_suffix(c: Col) -> Column:
@@ -110,14 +112,11 @@ def extract_contacts(c: Col, low: Col | None = None) -> Column:
 
 def normalize_handle(c: Col) -> Column:
     """Bare lower-case handle out of a link, an @name or a plain name."""
-    shape = (
-        r"^(?:https://)?(?:http://)?(?:www\.)?(?:t\.me/)?(?:telegram\.me/)?(?:telegram\.dog/)?@?([^/?# ]*)"
-    )
-    return trim_space(F.regexp_extract(trim_space(F.lower(col(c))), shape, 1))
+    return trim_space(F.regexp_extract(trim_space(F.lower(col(c))), HANDLE_SHAPE, 1))
 
 
 def mail_domain(c: Col) -> Column:
-    return F.lower(F.regexp_extract(trim_space(c), r"(?s)^[^@]*@(.+)\z", 1))
+    return F.lower(F.regexp_extract(trim_space(c), MAIL_DOMAIN, 1))
 
 
 def join_list(values: Col, separator: str = ",") -> Column:
