@@ -91,11 +91,12 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     messages = written(single.select("tree", "message", "m.*"), "messages")
     narrow = messages.select("tree", "message", "parent", "score")
     jumps, reached = reach_roots(narrow)
-    chosen = ranked_branches(narrow, reached, best)
+    chosen = written(ranked_branches(narrow, reached, best), "branches")
     path = chosen.select("tree", "leaf", F.col("leaf").alias("message"))
     for table in reversed(jumps):
         step = table.select(F.col("tree").alias("of"), F.col("message").alias("at"), "jump")
-        path = path.unionByName(path.join(step, path["tree"].eqNullSafe(step["of"]) & (path["message"] == step["at"])).select("tree", "leaf", F.col("jump").alias("message")))
+        further = path.join(step, path["tree"].eqNullSafe(step["of"]) & (path["message"] == step["at"])).select("tree", "leaf", F.col("jump").alias("message"))
+        path = written(path.unionByName(further), "path")  # each step reads the path twice: cut, or the plan doubles
     depths = reached.select(F.col("tree").alias("of"), F.col("message").alias("at"), "depth")
     placed = path.join(depths, path["tree"].eqNullSafe(depths["of"]) & (path["message"] == depths["at"])).select("tree", "leaf", "message", "depth")
     texts = messages.select(F.col("tree").alias("of"), F.col("message").alias("at"), "role", "text")
