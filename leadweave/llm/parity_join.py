@@ -6,12 +6,14 @@ sizes a and b reach Jaccard J only if they differ in at most (1 - J) / (1 + J) *
 *Pigeonhole join.* Sizes fall into bands; a set belongs to its band and, as the smaller side, to the next one it can reach. A
 band's radius r is the largest difference of any pair in it. The band's sketch is cut into r + spare blocks, each as wide as the
 64-bit hash space and kept as the XOR of its shingles' hashes: a difference of r shingles leaves ``spare`` blocks equal. Empty
-blocks make no key; a set with too many of them gets another deal of the blocks, and another, until at least two of the equal
-blocks of any of its pairs hold shingles. Equal keys make candidates.
+blocks make no key; a set with too many of them gets another deal of the blocks, and another, until at least ``SHARED`` of the equal
+blocks of any of its pairs hold shingles. Equal keys make candidates; a set with fewer shared keys has no link.
 
-*No pairs within hot keys.* A key's sets are first compared with its smallest set only; sets found linked are one component, and
-keys within one component are done. What is left of a small key is compared across components. Sets of a large key meet only
-in two large keys at once, which the pigeonhole guarantees for pairs that no small key brings together.
+*No pairs within hot keys.* A key's sets are first compared with its smallest and largest node only; sets found linked are one component, and
+keys within one component are done. Of the sets in other keys, shingles that none of the others holds can't be in an intersection:
+the number of held ones bounds every similarity, and most sets that share a passage or are edited too much drop out by it. What is
+left of a small key is compared across components where this bound and a wide sketch allow. Sets of a large key meet only in two large
+keys at once: large keys are dealt to one share fewer than a pair has keys, so that two of them are in one share.
 
 *Verify.* Narrow sketches of about one bit per shingle drop most candidates by Hamming distance; whole sets decide the rest.
 
@@ -25,7 +27,7 @@ Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import count
 
 import numpy as np
@@ -39,6 +41,8 @@ from leadweave.llm.common import BROADCAST_ROWS, mixed, shingle_set, written
 
 PERCENT = 80
 _ODD = np.uint64(0xD6E8FEB86659FD93)
+WIDE = 16  # words of the sketch that leftover pairs are compared by
+SHARED = (2, 4, 8)  # keys that linked sets share at least, for a small, middle and large radius
 TOGETHER = 100_000  # shingles whose keys are made in one go
 SMALL_KEY = 32  # keys of more sets are refined by a second key; no pair depends on it
 
@@ -63,14 +67,25 @@ def radius(band: int) -> int:
     return 2 * max(low, low * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
 
 
+def shared_keys(r: int) -> int:
+    """Keys that two linked sets share at least, by construction."""
+    return SHARED[level(r)]
+
+
+def level(r):
+    """0, 1 or 2, of a radius or an array of them."""
+    return 1 * (r >= 4) + (r >= 32)
+
+
 def spare_blocks(r: int) -> int:
-    return 4 + r // 10
+    return shared_keys(r) + 3 + r // 6 if level(r) else 4
 
 
 def signature_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the sets, and for each key the place of its set in the list. Sets that reach the similarity share two keys at least.
+    """Keys of the sets, and for each key the place of its set in the list.
 
-    The low byte of a key tells the deals of one set apart. A radius of 0 makes no key: only equal sets link, and those are one node.
+    Sets that reach the similarity share as many keys of one deal as ``shared_keys`` says. The low byte of a key tells the deals of a set apart,
+    and by two of its bits how many keys that is. A radius of 0 makes no key: only equal sets link, and those are one node.
     """
     made, owners, deal = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     units = [(i, band) for i, s in enumerate(sets) for band in (bands(len(s)) if len(s) else []) if radius(band)]
@@ -89,17 +104,17 @@ def signature_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
         parity, of = np.bitwise_xor.reduceat(flat[order], starts), unit[order[starts]]
         keys = mixed(mixed(parity) ^ mixed(frame[of] + (dealt[starts] - first[of]).astype(np.uint64)))
-        made.append(keys & ~np.uint64(0xFF) | ((2 * deal + band[of] % 2) & 0xFF).astype(np.uint64))
+        made.append(keys & ~np.uint64(0xFF) | ((8 * deal + 2 * level(r[of]) + band[of] % 2) & 0xFF).astype(np.uint64))
         owners.append(owner[of])
         occupied = np.bincount(of, minlength=len(units))
-        units = [u for u, held, least in zip(units, occupied, r + 2) if held < least]
+        units = [u for u, held, least in zip(units, occupied, r) if held < least + shared_keys(int(least))]
         deal += 1
     return np.concatenate(made), np.concatenate(owners)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parity bits, a power of two of them and at least one per shingle, as 64-bit words."""
-    width = max(64, 1 << (max(1, len(shingles)) - 1).bit_length())
+def sketch(shingles: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parity bits as 64-bit words: as many as given, else a power of two and at least one bit per shingle."""
+    width = 64 * words if words else max(64, 1 << (max(1, len(shingles)) - 1).bit_length())
     bits = ((shingles * _ODD >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(bits, minlength=width) & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -138,7 +153,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             shingles = shingle_set(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([node_id(shingles)]), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_id(shingles)]), pa.array([shingles.view(np.int64)], pa.list_(pa.int64())),
+                                              pa.array([sketch(shingles, WIDE)], pa.list_(pa.int64()))], ["node", "shingles", "wide"])
 
 
 def _hamming(a: str, b: str) -> Column:
@@ -152,6 +168,15 @@ def _hamming(a: str, b: str) -> Column:
     return F.aggregate(differing, F.lit(0).cast("long"), lambda s, d: s + d)
 
 
+def _whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """``node, shingles`` of the wanted nodes, from the text of one document each; a written table."""
+    first = written(nodes.join(wanted, "node", "left_semi").select("doc", "version"), f"first-{name}")
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)
+    rows = docs.alias("d").join(first.alias("f"), (F.col("d.version") == F.col("f.version")) & F.col("d.doc").eqNullSafe(F.col("f.doc")), "left_semi")
+    return written(rows.select("text").mapInArrow(_sets, "node long, shingles array<long>, wide array<long>").dropDuplicates(["node"]), f"sets-{name}")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The distinct ``a, b`` pairs of nodes that reach the similarity: by size, by sketch, then by whole sets."""
     sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
@@ -159,12 +184,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) ->
     near = near.filter((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
                        & ((100 + PERCENT) * _hamming("sketch_a", "sketch_b") <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))))
     near = written(near.select("a", "b"), f"near-{name}")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = written(nodes.join(wanted, "node", "left_semi").select("doc", "version"), f"first-{name}")
-    if first.count() <= BROADCAST_ROWS:
-        first = F.broadcast(first)
-    rows = docs.alias("d").join(first.alias("f"), (F.col("d.version") == F.col("f.version")) & F.col("d.doc").eqNullSafe(F.col("f.doc")), "left_semi")
-    sets = written(rows.select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), f"sets-{name}")
+    sets = _whole_sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, name)
     whole = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     sized = whole.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return written(sized.filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"), f"links-{name}")
@@ -193,26 +213,57 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(keyed: DataFrame) -> DataFrame:
-    """``a, b`` of the rows with the same key but not the same component."""
-    a, b = keyed.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), keyed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return a.join(b, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
+    """``a, b`` of the rows with the same key but not the same component, where their held shingles and wide sketches allow the similarity."""
+    words = [f"w{i}" for i in range(WIDE)]
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "held", *words)]) for s in "ab")
+    inner, sum_ = F.least("held_a", "held_b"), F.col("n_a") + F.col("n_b")
+    differing = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+    possible = (100 * inner >= PERCENT * (sum_ - inner)) & ((100 + PERCENT) * differing <= (100 - PERCENT) * sum_)
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & possible)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _mixed_keys(keyed: DataFrame) -> DataFrame:
-    """Rows of the keys that hold more than one component, with the number of rows ``held`` by the key."""
-    by_key = keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return keyed.join(by_key.filter("low <> high").select("key", "held"), "key")
+    """Rows of the keys that hold more than one component, with the number of rows ``rows_of_key``."""
+    by_key = keyed.groupBy("key").agg(F.count("*").alias("rows_of_key"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return keyed.join(by_key.filter("low <> high").select("key", "rows_of_key"), "key")
+
+
+def _needed(deal: str) -> Column:
+    """Keys that a link needs, from the low byte of a key."""
+    return F.element_at(F.array(*map(F.lit, SHARED)), F.shiftright(F.col(deal), 1).bitwiseAND(F.lit(3)).cast("int") + 1)
+
+
+def _enough_keys(shared: DataFrame) -> DataFrame:
+    """Rows of ``key, node`` of the sets that share as many keys of one deal as a link needs."""
+    dealt = shared.withColumn("deal", F.col("key").bitwiseAND(F.lit(0xFF)))
+    enough = dealt.groupBy("node", "deal").agg(F.count("*").alias("keys")).filter(F.col("keys") >= _needed("deal")).select("node", "deal")
+    return dealt.join(enough, ["node", "deal"]).select("key", "node")
+
+
+def held_shingles(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, n, held, w0...`` of the wanted nodes: the size of the set, how many of its shingles another wanted node holds, the wide sketch."""
+    sets = _whole_sets(wanted, nodes, docs, "left")
+    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = tokens.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
+    held = tokens.join(known, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("held"))
+    return held.filter(100 * F.col("held") >= PERCENT * F.col("n")).join(sets.select("node", *[F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)]), "node")
 
 
-def leftover_pairs(shared: DataFrame, found: DataFrame) -> DataFrame:
+def leftover_pairs(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs that share a key and are not yet in one component, without forming the pairs of large keys."""
     labelled = shared.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = written(_mixed_keys(labelled), "mixed-keys")
-    large = left.filter(F.col("held") > SMALL_KEY)
-    lists = large.groupBy("node", "component", F.col("key").bitwiseAND(F.lit(0xFF)).alias("deal")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    open_rows = written(_mixed_keys(labelled).select("key", "node", "component"), "open-keys")
+    bounded = written(held_shingles(open_rows.select("node").distinct(), nodes, docs), "held")
+    kept = written(_enough_keys(open_rows.join(bounded, "node", "left_semi").select("key", "node")), "kept-keys")
+    left = written(_mixed_keys(kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(bounded, "node")), "mixed-keys")
+    large = left.filter(F.col("rows_of_key") > SMALL_KEY)
+    dealt = large.withColumn("deal", F.col("key").bitwiseAND(F.lit(0xFF)))
+    lists = dealt.groupBy("node", "deal", F.pmod(F.xxhash64("key"), _needed("deal") - 1).alias("share")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda l: F.xxhash64(k, l))))
-    doubled = _mixed_keys(written(lists.select("node", "component", F.explode(twos).alias("key")), "double-keys"))
-    return _across(left.filter(F.col("held") <= SMALL_KEY)).unionByName(_across(doubled))
+    known = left.select("node", "component", *bounded.columns[1:]).distinct()
+    doubled = _mixed_keys(written(lists.select("node", F.explode(twos).alias("key")), "double-keys").join(known, "node"))
+    return _across(left.filter(F.col("rows_of_key") <= SMALL_KEY)).unionByName(_across(doubled))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,12 +275,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(members.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), first).select("node", "n", "sketch", "first.doc", "first.version"), "nodes")
     keyed = rows.select("text").mapInArrow(_signatures, "key long, node long").repartition("key")
     over_key = Window.partitionBy("key")
-    seen = keyed.withColumn("pivot", F.min("node").over(over_key)).withColumn("last", F.max("node").over(over_key))
-    shared = written(seen.filter("pivot <> last").select("key", "node", "pivot").distinct(), "shared-keys")
-    stars = written(shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    seen = keyed.withColumn("low", F.min("node").over(over_key)).withColumn("high", F.max("node").over(over_key))
+    met = _enough_keys(written(seen.filter("low <> high").select("key", "node").distinct(), "met-keys"))
+    shared = written(met.join(met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"), "key"), "shared-keys")
+    ends = [shared.select(F.col("low").alias("a"), F.col("node").alias("b")), shared.select(F.col("node").alias("a"), F.col("high").alias("b"))]
+    stars = written(ends[0].unionByName(ends[1]).filter("a < b").distinct(), "stars")
     links = verified(stars, nodes, rows, "stars")
     found = written(components(links), "found")
-    rest = leftover_pairs(shared, found).join(stars, ["a", "b"], "left_anti")
+    rest = leftover_pairs(shared, found, nodes, rows).join(stars, ["a", "b"], "left_anti")
     more = verified(rest, nodes, rows, "rest")
     if more.count():
         found = written(components(links.unionByName(more)), "found")
