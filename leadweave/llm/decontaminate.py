@@ -24,7 +24,6 @@ from leadweave.llm.common import BROADCAST_ROWS, SHINGLE, SPACES, ascii_lower, w
 
 RADIUS = 15
 PERCENT = 80
-LANES = 32  # counters of 32 bits, two in a long
 
 
 def words(text: Column) -> Column:
@@ -38,19 +37,30 @@ def shingles(tokens: str, width: int) -> Column:
     return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: str) -> Column:
-    """Bit j is set if more than half of the shingles have it set; repeats count as often as they occur."""
-    pair = F.lit((1 << 32) | 1)
-    bits = F.lit(0).cast("bigint")
+def simhash(hashes: str, digits: int) -> Column:
+    """Bit j is set if more than half of the shingles have it set; repeats count as often as they occur.
 
-    def counts(lane: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.shiftrightunsigned(h, lane).bitwiseAND(pair))
+    The 64 counts are kept as ``digits`` longs, one per binary digit: a shingle is added to all of them at once by carrying, and all are
+    compared at once with half the number of shingles, from the highest digit down. ``digits`` has to hold that number.
+    """
+    names, zero = [f"d{i}" for i in range(digits)], F.lit(0).cast("bigint")
+
+    def add(counts: Column, h: Column) -> Column:
+        out, carry = [], h
+        for name in names:
+            out.append(counts[name].bitwiseXOR(carry).alias(name))
+            carry = counts[name].bitwiseAND(carry)
+        return F.struct(*out)
+
+    def more_than_half(counts: Column) -> Column:
+        half, more, same = F.floor(F.size(hashes) / 2), zero, F.lit(-1).cast("bigint")
+        for i in reversed(range(digits)):
+            digit = -F.shiftright(half, i).bitwiseAND(F.lit(1))  # all ones or all zeros
+            more = more.bitwiseOR(same.bitwiseAND(counts[names[i]]).bitwiseAND(F.bitwise_not(digit)))
+            same = same.bitwiseAND(F.bitwise_not(counts[names[i]].bitwiseXOR(digit)))
+        return more
 
-    for lane in range(LANES):
-        both = counts(lane)
-        lower, upper = (both.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.size(hashes)), (F.shiftrightunsigned(both, 32) * 2 > F.size(hashes))
-        bits = bits.bitwiseOR(F.shiftleft(lower.cast("bigint"), lane)).bitwiseOR(F.shiftleft(upper.cast("bigint"), lane + 32))
-    return bits
+    return F.aggregate(hashes, F.struct(*[zero.alias(n) for n in names]), add, more_than_half)
 
 
 def blocks(fingerprint: str, radius: int = RADIUS) -> Column:
@@ -71,7 +81,12 @@ def benchmark_index(items: DataFrame, item_id: str = "item_id", text_col: str =
     widths = [named.filter(F.size("tokens") >= SHINGLE if w == SHINGLE else F.size("tokens") == w).select(
         "item", F.lit(w).alias("width"), F.size("tokens").alias("length"), shingles("tokens", w).alias("hashes")) for w in range(1, SHINGLE + 1)]
     hashed = written(reduce(DataFrame.unionByName, widths), "items")
-    return written(hashed.withColumn("fingerprint", simhash("hashes")), "item-index")
+    return written(hashed.withColumn("fingerprint", simhash("hashes", count_digits(hashed))), "item-index")
+
+
+def count_digits(index: DataFrame) -> int:
+    """Binary digits of the largest number of shingles in an item, and so in a window."""
+    return max(1, (index.agg(F.max(F.size("hashes"))).first()[0] or 0).bit_length())
 
 
 def touched_windows(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
@@ -98,6 +113,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     ``start`` counts words from 0. ``version`` is the hash of the document's text.
     """
     index = benchmark_index(items, item_id, item_text)
+    digits = count_digits(index)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("version"), words(F.coalesce(text, F.lit(""))).alias("tokens"))
     keyed = index.select("item", "length", F.col("hashes").alias("item_hashes"), F.col("fingerprint").alias("item_print"), F.posexplode(blocks("fingerprint")).alias("block", "bits"))
@@ -106,7 +122,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         touched = written(touched_windows(rows, index, width).withColumnsRenamed({"doc": "of", "version": "of_version"}), "touched")
         if touched.count() <= BROADCAST_ROWS:
             touched = F.broadcast(touched)
-        printed = written(windows(rows, touched, width), "windows").withColumn("fingerprint", simhash("hashes"))
+        # written with their fingerprints, which the optimizer would else work out anew for each of their blocks
+        printed = written(written(windows(rows, touched, width), "windows").withColumn("fingerprint", simhash("hashes", digits)), "fingerprints")
         pieces = printed.select("doc", "version", "length", "start", "hashes", "fingerprint", F.posexplode(blocks("fingerprint")).alias("block", "bits"))
         distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
         near = pieces.join(keyed.filter(F.col("length") >= width if width == SHINGLE else F.col("length") == width), ["length", "block", "bits"])

@@ -60,3 +60,12 @@ def test_blocks_find_every_print_within_the_radius(spark):
         pairs.append((a - (1 << 63), b - (1 << 63)))
     found = spark.createDataFrame(pairs, "a long, b long").select(d.blocks("a").alias("x"), d.blocks("b").alias("y")).collect()
     assert all(any(p == q for p, q in zip(r.x, r.y)) for r in found)
+
+
+def test_simhash_counts_every_bit(spark):
+    rng = random.Random(6)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)] * (1 + n % 3),) for n in (1, 2, 3, 7, 36, 63)]
+    got = spark.createDataFrame(rows, "hashes array<long>").select("hashes", d.simhash("hashes", 8).alias("print")).collect()
+    for r in got:
+        bits = sum((2 * sum(h >> j & 1 for h in r.hashes) > len(r.hashes)) << j for j in range(64))
+        assert r.print % (1 << 64) == bits
