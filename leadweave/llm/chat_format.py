@@ -68,8 +68,10 @@ def reach_roots(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             return jumps, state.select("tree", "message", "total", "depth")
         jumps.append(going.select("tree", "message", "jump"))
         far = state.select(F.col("tree").alias("of"), F.col("message").alias("up"), F.col("jump").alias("next"), F.col("total").alias("more"), F.col("depth").alias("steps"))
-        state = state.join(far, _same(state, far, "of", "up"), "left").select(
-            "tree", "message", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("steps", F.lit(0))).alias("depth"))
+        # only messages on their way join; those at their root are done
+        stepped = going.join(far, _same(going, far, "of", "up")).select(
+            "tree", "message", F.col("next").alias("jump"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("steps")).alias("depth"))
+        state = state.filter("jump IS NULL").unionByName(stepped)
 
 
 def ranked_branches(messages: DataFrame, reached: DataFrame, best: int | None) -> DataFrame:
