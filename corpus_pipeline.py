@@ -30,11 +30,14 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of linked ones, once; documents without an id stay."""
+    """The smallest document of each group of linked ones; rows repeated in full stay once, documents without an id stay."""
     linked = parity_join.near_duplicates(docs.select("doc_id", "text"))
     gone = written(linked.filter("doc <> component").select("doc").distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti")
+    twice = written(linked.filter("doc = component").groupBy("doc").count().filter("count > 1").select("doc"), "repeated-rows")
+    gone, twice = (F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids for ids in (gone, twice))
+    left = docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti")
+    repeated = left.join(twice, left["doc_id"] == twice["doc"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, left["doc_id"] == twice["doc"], "left_anti").unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

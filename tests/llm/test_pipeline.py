@@ -11,6 +11,7 @@ def test_stages(spark, tmp_path):
     clean = {i: f"{prose(i, 80)}.\n{prose(1000 + i, 60)}." for i in range(1, 41)}
     texts = clean | {101: clean[1], 102: " ".join(clean[2].replace("\n", " ").split()[:-2]), 103: f"{prose(103)}\n{item}\n{prose(104)}", 104: " ".join(f"{w}%%%" for w in prose(105, 150).split()), 105: "word " * 200, 106: None}
     rows = [(d, t, "en", f"s{d % 3}" if d != 7 else None, len(t or "")) for d, t in texts.items()]
+    rows.append(rows[4])  # a repeated row: it loses its lines to none, and stays once
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(1, 30)] + [(104, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -18,6 +19,7 @@ def test_stages(spark, tmp_path):
     columns = docs.columns
     for place, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = written(stage(spark, docs, str(tmp_path)), "stage")
+        assert place != 2 or docs.count() == docs.distinct().count()
         kept.append({r.doc_id: r.text for r in docs.collect()})
         if place < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
