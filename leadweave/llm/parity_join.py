@@ -42,7 +42,7 @@ from leadweave.llm.common import BROADCAST_ROWS, mixed, shingle_set, written
 PERCENT = 80
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 WIDE = 16  # words of the sketch that leftover pairs are compared by
-SHARED = (2, 4, 8)  # keys that linked sets share at least, for a small, middle and large radius
+SHARED = (2, 4, 8, 12)  # keys that linked sets share at least, by the level of the radius
 TOGETHER = 100_000  # shingles whose keys are made in one go
 SMALL_KEY = 32  # keys of more sets are refined by a second key; no pair depends on it
 
@@ -73,8 +73,8 @@ def shared_keys(r: int) -> int:
 
 
 def level(r):
-    """0, 1 or 2, of a radius or an array of them."""
-    return 1 * (r >= 4) + (r >= 32)
+    """0 to 3, of a radius or an array of them."""
+    return 1 * (r >= 4) + (r >= 32) + (r >= 64)
 
 
 def spare_blocks(r: int) -> int:
