@@ -1,10 +1,15 @@
-"""Benchmark decontamination: SimHash of item-sized windows, found by blocks of bits, verified by weighted shingles.
+"""Benchmark decontamination: item-sized windows, found by counts and rare shingles, decided by weighted shingles, with SimHash distances.
 
 An item's words (A-Z lowered, cut at white space) give its shingles; its fingerprint is the 64-bit SimHash of them, each weighed by how
-often it occurs. Windows of as many words as the item slide over a document word by word; a window that shares no shingle with
-an item of its length has similarity 0 to all of them and gets no fingerprint. Fingerprints are cut into ``RADIUS`` + 1 blocks
-of bits: two within ``RADIUS`` bits agree in one block at least, so the join on window length, block and bits finds all of them. The
-weighted Jaccard of the shingles, sum of smaller over sum of larger counts, decides.
+often it occurs. Windows of as many words as the item slide over a document word by word. The weighted Jaccard of the shingles, sum of smaller over
+sum of larger counts, decides, and nothing is dropped that could reach it:
+
+- A window of m shingles that is similar to an item of n holds at least ``percent`` * (m + n) / (100 + ``percent``) shingles of items
+  of its length. Only windows that do are formed, from the places of those shingles in the document.
+- As at least n shingles are in either of them, it lacks at most the share 100 - ``percent`` of the item's. So of one more than these, it
+  holds one: the join on window length and the item's rarest shingles, ``probes``, finds every pair.
+
+SimHash bounds no similarity, so the distance of the fingerprints is only reported.
 
 Items of fewer words than a shingle are one shingle of all their words. A document shorter than an item is one window, its whole text.
 
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leadweave.llm.common import BROADCAST_ROWS, SHINGLE, SPACES, ascii_lower, written
 
-RADIUS = 15
+RADIUS = 15  # of ``blocks``; no bound of ``matches``
 PERCENT = 80
 
 
@@ -75,13 +80,22 @@ def weighted_jaccard(a: str, b: str) -> Column:
     return F.struct(both.alias("smaller"), (F.size(a) + F.size(b) - both).alias("larger"))
 
 
-def benchmark_index(items: DataFrame, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item, width, length, hashes, fingerprint`` of the items that have words; a written table."""
+def benchmark_index(items: DataFrame, item_id: str = "item_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``item, width, length, hashes, entry, probes, fingerprint`` of the items that have words; a written table.
+
+    ``probes`` are the item's rarest shingles among items of its length, one more than a similar window can lack.
+    """
     named = items.select(F.col(f"`{item_id}`").alias("item"), words(F.col(f"`{text_col}`")).alias("tokens")).filter(F.size("tokens") > 0).distinct()
     widths = [named.filter(F.size("tokens") >= SHINGLE if w == SHINGLE else F.size("tokens") == w).select(
         "item", F.lit(w).alias("width"), F.size("tokens").alias("length"), shingles("tokens", w).alias("hashes")) for w in range(1, SHINGLE + 1)]
-    hashed = written(reduce(DataFrame.unionByName, widths), "items")
-    return written(hashed.withColumn("fingerprint", simhash("hashes", count_digits(hashed))), "item-index")
+    hashed = written(reduce(DataFrame.unionByName, widths).withColumn("entry", F.monotonically_increasing_id()), "items")
+    placed = hashed.select("entry", "width", "length", F.explode("hashes").alias("hash"))
+    holders = placed.groupBy("width", "length", "hash").agg(F.count_distinct("entry").alias("held"))
+    # counted with repeats, of which any may be the ones that are lacking
+    lacking = F.floor((100 - percent) * F.size("ranked") / 100).cast("int")
+    ranked = placed.join(holders, ["width", "length", "hash"]).groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("held", "hash"))).alias("ranked"))
+    probes = ranked.select("entry", F.array_distinct(F.slice("ranked", F.lit(1), lacking + 1)["hash"]).alias("probes"))
+    return written(hashed.join(probes, "entry").withColumn("fingerprint", simhash("hashes", count_digits(hashed))), "item-index")
 
 
 def count_digits(index: DataFrame) -> int:
@@ -89,21 +103,26 @@ def count_digits(index: DataFrame) -> int:
     return max(1, (index.agg(F.max(F.size("hashes"))).first()[0] or 0).bit_length())
 
 
-def touched_windows(docs: DataFrame, index: DataFrame, width: int) -> DataFrame:
-    """``doc, version, length, hits``: documents that share a shingle with items of that length, and where."""
+def touched_windows(docs: DataFrame, index: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+    """``doc, version, length, hits``: documents that share enough shingles with items of that length, and where, in order."""
     wanted = index.filter(F.col("width") == width).select(F.explode("hashes").alias("hash"), "length").distinct()
     hashed = docs.select("doc", "version", F.posexplode(shingles("tokens", width)).alias("pos", "hash"))
-    return hashed.join(wanted, "hash").groupBy("doc", "version", "length").agg(F.collect_set("pos").alias("hits"))
+    hits = hashed.join(wanted, "hash").groupBy("doc", "version", "length").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+    return hits.filter(100 * F.size("hits") >= percent * (F.col("length") - width + 1))
 
 
-def windows(docs: DataFrame, touched: DataFrame, width: int) -> DataFrame:
-    """``doc, version, length, start, hashes``: every window of the length that holds a hit."""
+def windows(docs: DataFrame, touched: DataFrame, width: int, percent: int = PERCENT) -> DataFrame:
+    """``doc, version, length, start, hashes``: every window of the length that holds enough hits to be similar to an item."""
+    held = F.least(F.col("length"), F.size("tokens")) - width + 1  # shingles of a window
     joined = docs.join(touched, docs["version"].eqNullSafe(touched["of_version"]) & docs["doc"].eqNullSafe(touched["of"])).select(
-        "doc", "version", "length", "hits", F.greatest(F.lit(0), F.size("tokens") - F.col("length")).alias("last"), shingles("tokens", width).alias("all"))
-    span = F.col("length") - width
-    starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(F.least("last", F.greatest(F.lit(0), p - span)), F.least("last", p)))))
-    placed = joined.select("doc", "version", "length", "all", F.explode(starts).alias("start"))
-    return placed.select("doc", "version", "length", "start", F.slice("all", F.col("start") + 1, span + 1).alias("hashes"))
+        "doc", "version", "length", "hits", F.greatest(F.lit(0), F.size("tokens") - F.col("length")).alias("last"), held.alias("held"),
+        F.ceil(percent * (F.col("length") - width + 1 + held) / (100 + percent)).cast("int").alias("need"), shingles("tokens", width).alias("all"))
+    # a window holds enough hits if it reaches from one of them to the one that is need - 1 further
+    until = lambda i: F.get("hits", i + F.col("need") - 1)
+    runs = F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("need")), lambda i: until(i) - F.get("hits", i) < F.col("held"))
+    starts = F.array_distinct(F.flatten(F.transform(runs, lambda i: F.sequence(F.greatest(F.lit(0), until(i) - F.col("held") + 1), F.least("last", F.get("hits", i))))))
+    placed = joined.filter(F.size("hits") >= F.col("need")).select("doc", "version", "length", "held", "all", F.explode(starts).alias("start"))
+    return placed.select("doc", "version", "length", "start", F.slice("all", F.col("start") + 1, F.col("held")).alias("hashes"))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
@@ -112,30 +131,28 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     ``start`` counts words from 0. ``version`` is the hash of the document's text.
     """
-    index = benchmark_index(items, item_id, item_text)
+    index = benchmark_index(items, item_id, item_text, percent)
     digits = count_digits(index)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("version"), words(F.coalesce(text, F.lit(""))).alias("tokens"))
-    keyed = index.select("item", "length", F.col("hashes").alias("item_hashes"), F.col("fingerprint").alias("item_print"), F.posexplode(blocks("fingerprint")).alias("block", "bits"))
+    keyed = index.select("item", "length", "width", "probes", F.col("hashes").alias("item_hashes"), F.col("fingerprint").alias("item_print"), F.explode("probes").alias("probe"))
     found = []
     for width in sorted(r.width for r in index.select("width").distinct().collect()):  # 1 to SHINGLE
-        touched = written(touched_windows(rows, index, width).withColumnsRenamed({"doc": "of", "version": "of_version"}), "touched")
+        touched = written(touched_windows(rows, index, width, percent).withColumnsRenamed({"doc": "of", "version": "of_version"}), "touched")
         if touched.count() <= BROADCAST_ROWS:
             touched = F.broadcast(touched)
-        # written with their fingerprints, which the optimizer would else work out anew for each of their blocks
-        printed = written(written(windows(rows, touched, width), "windows").withColumn("fingerprint", simhash("hashes", digits)), "fingerprints")
-        pieces = printed.select("doc", "version", "length", "start", "hashes", "fingerprint", F.posexplode(blocks("fingerprint")).alias("block", "bits"))
-        distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print")))
-        near = pieces.join(keyed.filter(F.col("length") >= width if width == SHINGLE else F.col("length") == width), ["length", "block", "bits"])
-        near = near.withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
-        # a pair met in several blocks is kept where it met first
-        agreeing = blocks("fingerprint"), blocks("item_print")
-        first_block = F.array_position(F.zip_with(*agreeing, lambda x, y: x == y), F.lit(True)) - 1
-        found.append(near.filter(F.col("block") == first_block).withColumn("j", weighted_jaccard("hashes", "item_hashes")))
+        full = written(windows(rows, touched, width, percent), "windows")
+        pieces = full.select("doc", "version", "length", "start", "hashes", F.explode(F.array_distinct("hashes")).alias("probe"))
+        near = pieces.join(keyed.filter(F.col("width") == width), ["length", "probe"])
+        # a pair met by several probes is kept where it met first
+        met_first = F.get(F.filter("probes", lambda p: F.array_contains("hashes", p)), F.lit(0))
+        found.append(near.filter(F.col("probe") == met_first).withColumn("j", weighted_jaccard("hashes", "item_hashes")))
     if not found:
         return rows.select("doc", "version", F.lit(None).cast(items.schema[item_id].dataType).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("length"),
                            F.lit(0.0).alias("similarity"), F.lit(0).alias("distance")).filter("false")
     similar = reduce(DataFrame.unionByName, found).filter(100 * F.col("j.smaller") >= percent * F.col("j.larger"))
+    distance = F.bit_count(simhash("hashes", digits).bitwiseXOR(F.col("item_print")))
+    similar = similar.withColumn("distance", distance)
     best = F.max(F.struct((F.col("j.smaller") / F.col("j.larger")).alias("similarity"), (-F.col("start")).alias("before"), "length", "distance")).alias("best")
     return similar.groupBy("doc", "version", "item").agg(best).select("doc", "version", "item", (-F.col("best.before")).alias("start"), "best.length", "best.similarity", "best.distance")
 

@@ -69,3 +69,24 @@ def test_simhash_counts_every_bit(spark):
     for r in got:
         bits = sum((2 * sum(h >> j & 1 for h in r.hashes) > len(r.hashes)) << j for j in range(64))
         assert r.print % (1 << 64) == bits
+
+
+def test_edited_windows_near_the_threshold(spark):
+    """Windows of similarity 0.80 to 0.85, of which fingerprints differ in up to 20 bits and more; none may be lost."""
+    rng = random.Random(12)
+    items, docs = [], []
+    for i in range(500):
+        n = rng.choice((32, 41, 42, 50, 59, 68, 77))
+        words = prose(20000 + i, n).split()
+        items.append((i, " ".join(words)))
+        lost = (n - 4) // 9  # shingles: as many as a similar window can lack
+        start = [f"new{i}x{k}" for k in range(lost)] + words[lost:]
+        at = rng.randrange(4, n - 4 - lost)
+        inner = words[:at] + [f"new{i}x{k}" for k in range(lost - 4)] + words[at + max(0, lost - 4):]
+        docs += [(2 * i + k, f"{prose(50000 + 2 * i + k, 30)} {' '.join(edited)} {prose(60000 + 2 * i + k, 30)}") for k, edited in enumerate((start, inner))]
+    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {}
+    for doc, text in docs:
+        want |= brute([(doc, text)], [items[doc // 2]])
+    assert len(want) == len(docs) and sum(similarity <= 0.85 for similarity, _ in want.values()) > 500
+    assert {(r.doc, r.item): (r.similarity, r.start) for r in got} == want
