@@ -6,7 +6,7 @@ returns a row for each copy that the mix takes, numbered by ``copy``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadweave.llm import decontaminate, line_dedup, mixing, parity_join, quality_rules
@@ -30,14 +30,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each group of linked ones; rows repeated in full stay once, documents without an id stay."""
+    """The smallest document of each group of linked ones, told apart by id and text; rows repeated in full stay once.
+
+    A document without an id is larger than any with one; without a word too, it stays.
+    """
     linked = parity_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = written(linked.filter("doc <> component").select("doc").distinct(), "near-copies")
-    twice = written(linked.filter("doc = component").groupBy("doc").count().filter("count > 1").select("doc"), "repeated-rows")
-    gone, twice = (F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids for ids in (gone, twice))
-    left = docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti")
-    repeated = left.join(twice, left["doc_id"] == twice["doc"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, left["doc_id"] == twice["doc"], "left_anti").unionByName(repeated)
+    gone = written(linked.filter("NOT chosen").select("doc", "version").distinct(), "near-copies")
+    again = linked.filter("chosen AND (n_shingles > 0 OR doc IS NOT NULL)").groupBy("doc", "version").count().filter("count > 1")
+    twice = written(again.select("doc", "version"), "repeated-rows")
+    gone, twice = (F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows for rows in (gone, twice))
+
+    def same(rows: DataFrame, listed: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(listed["doc"]) & (F.xxhash64(rows["text"]) == listed["version"])
+
+    left = docs.join(gone, same(docs, gone), "left_anti")
+    repeated = left.join(twice, same(left, twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same(left, twice), "left_anti").unionByName(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

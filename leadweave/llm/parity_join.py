@@ -267,7 +267,10 @@ def leftover_pairs(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, n_shingles, component``: for every row its set's size and the smallest id among all documents it is linked with."""
+    """``doc, n_shingles, component, version, chosen``: for every row its set's size and the smallest id among all documents it is linked with.
+
+    ``version`` is the hash of the row's text. ``chosen`` tells the linked rows' first by id and version, ids before none, and rows without a word.
+    """
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text"), F.xxhash64(text).alias("version"))
     members = written(rows.select("doc", "text", "version").mapInArrow(_nodes, f"doc {dict(docs.dtypes)[id_col]}, n long, node long, sketch array<long>, version long"), "members")
@@ -286,8 +289,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verified(rest, nodes, rows, "rest")
     if more.count():
         found = written(components(links.unionByName(more)), "found")
-    labelled = nodes.select("node", "doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("doc").alias("least"))
-    named = written(labelled.join(least, "component").select("node", "least"), "named")
-    joined = members.select("doc", "n", "node").join(named, "node", "left")
-    return joined.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component"))
+    labelled = nodes.select("node", "doc", "version").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version")).alias("least"))
+    named = written(labelled.join(least, "component").select("node", F.col("least.doc").alias("least"), F.col("least.version").alias("least_version")), "named")
+    joined = members.select("doc", "n", "node", "version").join(named, "node", "left")
+    chosen = (F.col("n") == 0) | (F.col("doc").eqNullSafe(F.col("least")) & F.col("version").eqNullSafe(F.col("least_version")))
+    return joined.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component"), "version", chosen.alias("chosen"))

@@ -30,3 +30,14 @@ def test_stages(spark, tmp_path):
     total, taken = sum(len(t.split()) for t in clean.values()), sum(len(r.text.split()) for r in docs.collect())
     assert abs(taken - 1.5 * total) < 300 and {r["copy"] for r in docs.collect()} <= {1, 2}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_copies_of_one_id_are_told_apart(spark):
+    """A clean text stays though a near copy has its id; of two linked texts of one id, or without an id, one stays."""
+    base = {n: prose(n, 80) for n in range(1, 6)}
+    copy = {n: f"{t} end" for n, t in base.items()}
+    rows = [(1, base[1]), (2, copy[1]), (2, base[2]), (3, base[3]), (3, copy[3]), (None, base[4]), (None, copy[4]), (None, copy[1]), (4, base[5]), (4, base[5]), (None, None), (None, None)]
+    kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sum(d == 3 for d, _ in kept) == 1 and sum(t in (base[4], copy[4]) for _, t in kept) == 1
+    assert sorted((d, t) for d, t in kept if d in (1, 2, 4)) == [(1, base[1]), (2, base[2]), (4, base[5])]
+    assert len(kept) == 7 and kept.count((None, None)) == 2
