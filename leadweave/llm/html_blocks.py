@@ -12,6 +12,11 @@ _NAME_PARTS = re.compile(r"[a-z]+")
 # Elements whose content is not text of the page, and those that do not break a block.
 UNREAD = frozenset("script style noscript template svg math iframe object canvas title textarea select option".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+# An option ends at the next tag, or at its own end tag if there are only inline ones before it.
+_TEXT = r"(?:[^<]|<(?![a-zA-Z/!?]))*"
+_OPTION = re.compile(rf"{_TEXT}(?:(?:</?(?:{'|'.join(sorted(INLINE))})(?=[\s/>])[^>]*>{_TEXT})*</option(?=[\s/>])[^>]*>?)?", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNQUOTED_END = re.compile(r"=\s*(?![\s\"'])\S*\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that an opening tag of the same group ends.
 CLOSED_BY_NEXT = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -25,6 +30,11 @@ class Block(NamedTuple):
     link_chars: int  # code points within links
 
 
+def _empty(attributes: str) -> bool:
+    """Whether a tag ends itself: with a slash that is not part of an unquoted value."""
+    return attributes.endswith("/") and not _UNQUOTED_END.search(_QUOTED.sub('""', attributes))
+
+
 def blocks(html: str | None) -> list[Block]:
     """Blocks that have text. An end tag closes up to the nearest element of its name; one without such an element is ignored."""
     html = html or ""
@@ -65,9 +75,18 @@ def blocks(html: str | None) -> list[Block]:
             elif name == "br":
                 parts.append(" ")
             continue
+        if name == "option":
+            at = _OPTION.match(html, at).end()
+            parts.append(" ")
+            continue
         if name in UNREAD:
+            foreign = name in ("svg", "math")
+            if foreign and _empty(token.group(3)):
+                parts.append(" ")
+                continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            # without an end tag, HTML leaves svg and math at the next element of the page
+            at = end.end() if end else at if foreign else len(html)
             parts.append(" ")
             continue
         if name in INLINE:

@@ -122,3 +122,9 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert sorted(map(key, back.collect())) == sorted(map(key, records.collect()))
     with pytest.raises(StopIteration):
         next(warc.parse_records(b"not a record"))
+
+
+def test_blocks_after_unread_elements_without_an_end_tag():
+    for tag in ("<svg/>", '<svg class="a=b/"/>', "<svg hidden/>", "<math />", "<svg>", "<datalist><option>one<option value=b>two</datalist>", "<datalist><option>one <b>two</b></option><option>x</datalist>"):
+        assert [b.text for b in blocks(f"<p>before</p>{tag}<p>The article.</p>")] == ["before", "The article."]
+    assert [b.text for b in blocks("<p>a</p><svg class=x/>no text</svg><p>b</p><script>c<p>d</p>")] == ["a", "b"]
