@@ -126,7 +126,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
     best = F.get("licenses", F.lit(0))
     return scanned.select("doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"), best["last_word"].alias("last_word"),
-                          F.array_sort(F.array_distinct(F.transform("licenses", lambda f: f["license"]))).alias("licenses"))
+                          F.array_sort(F.array_distinct(F.transform("licenses", lambda f: f["license"]))).alias("licenses"), F.col("licenses").alias("finds"))
 
 
 @query()

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 from leadweave.llm import html_extract, license_scan, warc
+from leadweave.llm.catalog import QUERIES
 from leadweave.llm.html_blocks import blocks
 from tests.llm.cases import odd_docs, prose, unchanged
 
@@ -128,3 +129,11 @@ def test_blocks_after_unread_elements_without_an_end_tag():
     for tag in ("<svg/>", '<svg class="a=b/"/>', "<svg hidden/>", "<math />", "<svg>", "<datalist><option>one<option value=b>two</datalist>", "<datalist><option>one <b>two</b></option><option>x</datalist>"):
         assert [b.text for b in blocks(f"<p>before</p>{tag}<p>The article.</p>")] == ["before", "The article."]
     assert [b.text for b in blocks("<p>a</p><svg class=x/>no text</svg><p>b</p><script>c<p>d</p>")] == ["a", "b"]
+
+
+def test_license_query_returns_every_find(spark, tmp_path):
+    text = f"Released under the MIT License. {prose(5, 300)} Licensed under CC BY-NC 4.0."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = QUERIES["op1_license_scan"](spark, str(tmp_path)).first()
+    assert {f.license for f in row.finds} == set(row.licenses) == {"MIT", "CC-BY-NC-4.0"}
+    assert sorted((f.first_word, f.last_word) for f in row.finds)[1][0] > 300 and all(f.coverage > 0 for f in row.finds)
