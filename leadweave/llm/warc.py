@@ -127,25 +127,34 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(member("type", "record_id", "date", "target_uri", "headers", "block").alias("member")).write.parquet(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple]:
-    """Records of an uncompressed WARC file. Stops at bytes that are not a record."""
+def parse_records(data: bytes, whole: bool = False) -> Iterator[tuple]:
+    """Records of an uncompressed WARC file. Stops at bytes that are no whole record; if the ``whole`` file has to be read, they are an error."""
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
+    while at < len(data):
+        if data[at] in b"\r\n":
+            at += 1
+            continue
+        end = data.find(b"\r\n\r\n", at)
+        if not data.startswith(b"WARC/", at) or end < 0:
+            if whole:
+                raise ValueError(f"no whole WARC record at byte {at} of {len(data)}")
+            return
         fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:] if ": " in line)
         size = int(fields.get("Content-Length", 0))
+        if whole and end + 4 + size > len(data):
+            raise ValueError(f"the WARC record at byte {at} is cut: {len(data) - end - 4} of {size} bytes")
         own = {k: v for k, v in fields.items() if k not in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI")}
         yield fields.get("WARC-Record-ID", ""), fields.get("WARC-Type", ""), fields.get("WARC-Date", ""), fields.get("WARC-Target-URI", ""), own, data[end + 4:end + 4 + size]
-        at = end + 4 + size + 4
+        at = end + 4 + size
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records of WARC files, compressed or not. A file is one task's work; crawls keep them near a gigabyte."""
+    """Records of WARC files, compressed or not. A file is one task's work; crawls keep them near a gigabyte. A damaged file is an error."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_py()
-                rows = list(parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
+                rows = list(parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, whole=True))
                 cols = list(zip(*rows)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([*[pa.array(cols[i], pa.string()) for i in range(4)], pa.array([list(h.items()) for h in cols[4]], _HEADER_TYPE),
                                                   pa.array(cols[5], pa.binary())], list(F_NAMES))

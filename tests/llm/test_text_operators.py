@@ -131,6 +131,17 @@ def test_blocks_after_unread_elements_without_an_end_tag():
     assert [b.text for b in blocks("<p>a</p><svg class=x/>no text</svg><p>b</p><script>c<p>d</p>")] == ["a", "b"]
 
 
+def test_damaged_warc_files_are_errors(spark, tmp_path):
+    one = warc.serialised("resource", "<a>", "d", "u", {}, b"body")
+    assert len(list(warc.parse_records(one + b"\r\n" + one[:-4], whole=True))) == 2
+    for place, damaged in enumerate((one + b"x" + one, one + one[:-6], one + one[:20], b"no record")):
+        with pytest.raises(ValueError, match="WARC record at byte"):
+            list(warc.parse_records(damaged, whole=True))
+        (tmp_path / f"{place}.warc").write_bytes(damaged)
+        with pytest.raises(Exception, match="WARC record at byte"):
+            warc.read_warc(spark, str(tmp_path / f"{place}.warc")).collect()
+
+
 def test_license_query_returns_every_find(spark, tmp_path):
     text = f"Released under the MIT License. {prose(5, 300)} Licensed under CC BY-NC 4.0."
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
