@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadweave.llm import (chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, parity_join, quality_rules,
-                           url_filter, warc)
+from leadweave.llm import (bpe, chat_format, decontaminate, html_extract, license_scan, line_dedup, mixing, parity_join, quality_rules,
+                           resample, url_filter, vector_codes, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,26 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
               "block_digest": "WARC-Block-Digest", "content_type": "Content-Type"}
     return records.select("page_id", "type", "record_id", *[F.element_at("headers", v).alias(k) for k, v in fields.items()], F.octet_length("block").cast("bigint").alias("content_length"),
                           F.sha2("block", 256).alias("block_sha256"))
+
+
+@query()
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the tokenizer files' own package; the file is a parameter of the operator
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), file), file)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_bytes("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select(F.col("doc").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query()
+def op13_vector_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), carry=("label",))
+    books = hashlib.sha256(",".join(map(str, made.codebooks.ravel().tolist())).encode()).hexdigest()
+    summed = vector_codes.with_group_error(made.rows, "label", "label_error")
+    return summed.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256"))
