@@ -29,17 +29,16 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
-
-from leadweave.llm.common import packed, unpacked
+from pyspark.sql.types import StructType
 
 LONG = 4096          # symbols; a longer word is merged on its own
-PIECE = 1 << 22      # characters whose words are looked up together
-MEMO_IDS = 1 << 22   # ids of known words a task keeps; beyond it, it starts anew
+PIECE = 1 << 20      # characters whose words are looked up together
+MEMO_IDS = 1 << 19   # ids of known words a task keeps; beyond it, it starts anew
 _NONE = np.iinfo(np.int32).max
 # fixed values: white space; lower cases of Unicode 16 and 17 that Python 3.13 does not know; letters and digits newer than Unicode 16
 SPACE = "9-d 20 85 a0 1680 2000-200a 2028 2029 202f 205f 3000"
@@ -272,30 +271,34 @@ def _pieces(texts: list[str | None]) -> Iterator[list[str | None]]:
     yield piece
 
 
-def ids_of(v: Vocabulary, spark) -> Column:
-    """Column function: text to ids. The vocabulary goes to each executor once."""
-    shared = spark.sparkContext.broadcast(v)
+def _with(rows: DataFrame, column: str, results: dict[str, str], make) -> DataFrame:
+    """The rows with result columns made from one column, a piece of a batch at a time; a result replaces a column of its name.
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value)
-        for texts in batches:
-            yield pd.Series(list(encoder.encode(texts.tolist())), dtype=object)
+    ``make`` is called once a task and gives a function from some values of the column to Arrow arrays.
+    """
+    kept = [c for c in rows.columns if c not in results]
+    read = rows.select(*[F.col(f"`{c}`") for c in kept], *([] if column in kept else [F.col(f"`{column}`")]))
+    at = kept.index(column) if column in kept else len(kept)
+    schema = StructType([*[rows.schema[c] for c in kept], *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in results.items()))])
 
-    return encode.asNondeterministic()  # else every use of the ids runs it again
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_values = make()
+        for batch in batches:
+            for first, last in _slices(batch.column(at)):
+                piece = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:len(kept)], *of_values(piece.column(at))], [*kept, *results])
 
+    return read.mapInArrow(each, schema)
 
-def text_of(v: Vocabulary, spark) -> Column:
-    """Column function: ids to the tokens' strings, joined by one blank."""
-    shared = spark.sparkContext.broadcast(v.tokens)
 
-    @F.pandas_udf(StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = np.array(shared.value, dtype=object)
-        for rows in batches:
-            yield pd.Series([_joined(tokens, ids) for ids in rows], dtype=object)
-
-    return decode.asNondeterministic()
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about ``PIECE`` bytes of text, or as many ids, together; a longer row is alone."""
+    lengths = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, first = np.cumsum(lengths.astype(np.int64)), 0
+    while first < len(total):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + PIECE, side="right")))
+        yield first, last
+        first = last
 
 
 def _joined(tokens: np.ndarray, ids) -> str:
@@ -306,19 +309,44 @@ def _joined(tokens: np.ndarray, ids) -> str:
     return " ".join(filter(None, tokens[ids[known].astype(np.int64)].tolist()))
 
 
-@F.pandas_udf(BinaryType())
-def id_bytes(rows: pd.Series) -> pd.Series:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([np.asarray(ids, dtype="<u4").tobytes() for ids in rows], dtype=object)
-
-
 def encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``ids`` of the whole text."""
-    made = ids_of(Vocabulary(tokenizer_file), docs.sparkSession)
-    return unpacked(packed(docs, text=text_col).withColumn("ids", made("text")), docs, ids=F.col("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_file))  # to each executor once
+
+    def make():
+        encoder = Encoder(shared.value)
+        return lambda texts: [_lists(list(encoder.encode(texts.to_pylist())))]
+
+    return _with(docs, text_col, {"ids": "array<int>"}, make)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))
 
 
 def decode(rows: DataFrame, tokenizer_file: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded``, the text that their ids stand for."""
-    made = text_of(Vocabulary(tokenizer_file), rows.sparkSession)
-    return unpacked(packed(rows, ids=ids_col).withColumn("decoded", made("ids")), rows, decoded=F.col("decoded"))
+    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_file).tokens)
+
+    def make():
+        tokens = np.array(shared.value, dtype=object)
+        return lambda lists: [pa.array([_joined(tokens, ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else None) for ids in lists], pa.string())]
+
+    return _with(rows, ids_col, {"decoded": "string"}, make)
+
+
+def encode_packed(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
+    """The rows with ``packed_ids``, the ids as little-endian unsigned 32-bit integers as training files hold them, and ``decoded``, the text
+    read back from those bytes; both by one pass of Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_file))
+
+    def make():
+        encoder, tokens = Encoder(shared.value), np.array(shared.value.tokens, dtype=object)
+
+        def of_texts(texts: pa.Array) -> list[pa.Array]:
+            packed = [ids.astype("<u4").tobytes() for ids in encoder.encode(texts.to_pylist())]
+            return [pa.array(packed, pa.binary()), pa.array((_joined(tokens, np.frombuffer(b, "<u4")) for b in packed), pa.string())]
+
+        return of_texts
+
+    return _with(docs, text_col, {"packed_ids": "binary", "decoded": "string"}, make)

@@ -150,8 +150,8 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers  # the tokenizer files' own package; the file is a parameter of the operator
 
     file = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), file), file)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_bytes("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.encode_packed(table(spark, sf_dir, "documents", "doc_id", "text"), file)
+    return coded.select("doc_id", (F.octet_length("packed_ids") / 4).cast("long").alias("n_tokens"), F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query()
