@@ -1,4 +1,8 @@
-"""Network metadata and manager records of directory pages (layouts A and B)."""
+"""Network metadata and manager records of directory pages (layouts A and B).
+
+Every step works inside the page's row: a page's tree comes from :mod:`leadweave.operators.page_tree`, and rows, terms, blocks and managers
+are arrays made from it. No page is moved, sorted or grouped.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,10 @@ from pyspark.sql import functions as F
 
 from leadweave import fixed
 from leadweave.functions.entities import decode_entities
-from leadweave.functions.lists import empty_list, let, literals, ordered_unique
+from leadweave.functions.lists import let, literals, ordered_unique
 from leadweave.functions.text import collapse_space, emails, skype_ids, telegram_handles, trim_space
-from leadweave.operators.tokens import attribute, attributes, page_tokens, tags, text_between, token_text, with_ends
+from leadweave.operators.page_tree import page_tree, token_codes
+from leadweave.operators.tokens import attribute, attributes, page_tokens, token_text
 
 _NAME_PLACES = (".name", ".manager-name", "strong", "b", "h3", "h4")
 _FIELDS = ("commission_type", "payment_frequency", "minimum_payout", "referral_rate")
@@ -57,63 +62,56 @@ def _places(raw: Column, tag: Column) -> Column:
     return F.filter(F.concat(F.coalesce(by_class, F.array().cast("array<bigint>")), F.array(by_tag)), lambda i: i > 0)
 
 
-def page_structure(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``page_id, layout, marks, raws, texts, carried``: the tags of a page in order with their element ends, its
-    tokens as written, and the text of each; of ``winners`` only, where given.
+_MARK = "array<struct<ord:int,tag:string,start:int,end:int,last:int,next:int,i:int>>"
+
 
-    ``pages`` has ``page_id, layout, html``. The page is the unit of the result and was one row to begin with. It is
-    moved once, before it is cut into tokens; every window and grouping after that uses the same placement. HTML without a row or
-    term is moved only if it has items or divs and its text names a manager. ``carry`` columns come out as the struct ``carried``.
+def page_structure(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (``page_id, layout`` if not given) with ``marks``, the elements of the page in tree order, ``raws``, its tokens as
+    written, and ``texts``, its texts in tree order; ``page_error`` says why a page has no tree.
+
+    ``pages`` has ``layout, html`` too. A mark holds the token ``ord`` of its tag (-1: implied), its range ``start`` to ``end`` of texts, the place ``last``
+    after its last descendant, its ``next`` sibling (-1: none) and its own place ``i``. Pages without a row or term get marks only if they
+    have items or divs and their text names a manager.
     """
-    carry = carry or []
-    # rows and terms are read in any page; items and divs only where the page's text speaks of a manager
-    labelled = F.col("html").rlike(r"(?i)<(?:tr|dt)[\s/>]")
+    labelled = F.col("html").rlike(r"(?i)<(?:table|t[rdh]|dt)[\s/>]")
     blocks = F.col("html").rlike(r"(?i)<(?:li|div)[\s/>]")
-    text = F.array_join(F.transform(page_tokens("html"), token_text), "")
-    worth = F.when(labelled, F.col("html")).when(blocks, F.when(_speaks(text, F.col("layout")), F.col("html")))
-    placed = pages.select("page_id", "layout", *carry, worth.alias("html")).repartition("page_id")
-    if winners is not None:  # on the same placement: only the ids move (a semi join would be pushed below it)
-        placed = placed.join(winners, "page_id")
-    ended = with_ends(tags(placed, ["page_id"], ["layout", *carry, "html"]))
-    mark = F.when(F.col("kind").isin("open", "close"), F.struct("ord", "kind", "tag", "end", "end_i", "level", "n_cells", "i"))
-    grouped = ended.groupBy("page_id").agg(F.sort_array(F.collect_list(mark)).alias("marks"), F.any_value("carried", F.lit(True)).alias("carried"))
-    cut = grouped.select("page_id", "marks", "carried", F.coalesce(page_tokens("carried.html"), empty_list()).alias("raws"))
-    return cut.select("page_id", F.col("carried.layout").alias("layout"), "marks", "raws", F.transform("raws", token_text).alias("texts"), "carried")
+    keep = keep or ["page_id", "layout"]
+    cut = pages.select(*keep, F.when(labelled | blocks, page_tokens("html")).alias("raws"), labelled.alias("labelled"))
+    read = cut.select("*", F.transform("raws", token_text).alias("spoken"))
+    worth = F.col("labelled") | _speaks(F.array_join("spoken", ""), F.col("layout"))
+    built = read.select(*keep, "raws", "spoken", page_tree()(F.when(worth, token_codes("raws"))).alias("tree"))
+    marks = F.arrays_zip(*[F.col(f"tree.{f}") for f in ("ord", "tag", "start", "end", "last", "next", "i")]).cast(_MARK)
+    return built.select(*keep, marks.alias("marks"), "raws", F.transform("tree.texts", lambda i: F.get("spoken", i)).alias("texts"), F.col("tree.error").alias("page_error"))
 
 
-def _opened(marks: Column, test) -> Column:
-    return F.filter(marks, lambda t: (t["kind"] == "open") & test(t))
+def _text_of(texts: Column, element: Column) -> Column:
+    """The texts an element holds, joined without separator."""
+    return F.array_join(F.slice(texts, element["start"] + 1, element["end"] - element["start"]), "")
 
 
-def _text_of(texts: Column, element: Column) -> Column:
-    return text_between(texts, element["ord"], F.coalesce(element["end"], F.size(texts)))
+def _within(marks: Column, element: Column) -> Column:
+    return F.slice(marks, element["i"] + 2, element["last"] - element["i"] - 1)
 
 
 def key_value_rows(marks: Column, texts: Column) -> Column:
     """First two cells of every table row that has two: ``array<struct<ord, label, value>>``."""
 
-    def rows(cells: Column) -> Column:
-        def pair(row: Column) -> Column:
-            first, second = F.get(cells, row["n_cells"]), F.get(cells, row["n_cells"] + 1)
-            both = F.struct(row["ord"].alias("ord"), _text_of(texts, first).alias("label"), _text_of(texts, second).alias("value"))
-            return F.when(second["ord"] < F.coalesce(row["end"], F.size(texts)), both)
-
-        table_rows = _opened(marks, lambda t: (t["tag"] == "tr") & (t["level"] > 0))
-        return F.filter(F.transform(table_rows, pair), lambda p: p.isNotNull())
+    def pair(row: Column) -> Column:
+        cells = F.slice(F.filter(_within(marks, row), lambda t: t["tag"].isin("td", "th")), 1, 2)
+        return let(cells, lambda c: F.when(F.size(c) == 2, F.struct(
+            row["i"].alias("ord"), _text_of(texts, F.get(c, F.lit(0))).alias("label"), _text_of(texts, F.get(c, F.lit(1))).alias("value"))))
 
-    return let(_opened(marks, lambda t: t["tag"].isin("td", "th")), rows)
+    return F.filter(F.transform(F.filter(marks, lambda t: t["tag"] == "tr"), pair), lambda p: p.isNotNull())
 
 
 def key_value_pairs(marks: Column, texts: Column) -> Column:
     """Every ``dt`` with the text of the element that follows it: ``array<struct<ord, label, value>>``."""
 
     def pair(term: Column) -> Column:
-        closing, after = F.get(marks, term["end_i"]), F.get(marks, term["end_i"] + 1)
-        sibling = F.when(closing["kind"] == "open", closing).when((closing["tag"] == "dt") & (after["kind"] == "open"), after)
-        return F.struct(term["ord"].alias("ord"), _text_of(texts, term).alias("label"),
-                        F.coalesce(let(sibling, lambda s: _text_of(texts, s)), F.lit("")).alias("value"))
+        value = F.when(term["next"] >= 0, _text_of(texts, F.get(marks, term["next"]))).otherwise("")
+        return F.struct(term["i"].alias("ord"), _text_of(texts, term).alias("label"), value.alias("value"))
 
-    return F.transform(_opened(marks, lambda t: t["tag"] == "dt"), pair)
+    return F.transform(F.filter(marks, lambda t: t["tag"] == "dt"), pair)
 
 
 def metadata(rows: Column, pairs: Column) -> Column:
@@ -146,8 +144,8 @@ def manager_blocks(marks: Column, texts: Column, layout: Column) -> Column:
     A block's text is part of the page's, so pages that nowhere hold one of the phrases are passed over.
     """
 
-    opened = _opened(marks, lambda t: ((t["tag"] == "tr") & (t["level"] > 0)) | t["tag"].isin("li", "div"))
-    spans = F.transform(opened, lambda b: F.struct(b["ord"].alias("ord"), b.alias("mark"), _text_of(texts, b).alias("text")))
+    opened = F.filter(marks, lambda t: t["tag"].isin("tr", "li", "div"))
+    spans = F.transform(opened, lambda b: F.struct(b["i"].alias("ord"), b.alias("mark"), _text_of(texts, b).alias("text")))
     found = F.transform(F.filter(spans, lambda b: _speaks(b["text"], layout)), lambda b: b.withField("text", collapse_space(b["text"])))
     return F.when(_speaks(F.array_join(texts, ""), layout), found)
 
@@ -156,10 +154,7 @@ def block_managers(marks: Column, raws: Column, texts: Column, layout: Column, b
     """Name and contacts of every block that gives a name: ``array<struct<ord, name, emails, skype, telegram>>``."""
 
     def manager(b: Column) -> Column:
-        mark = b["mark"]
-        count = F.greatest(F.coalesce(mark["end_i"], F.size(marks)) - mark["i"] - 1, F.lit(0))
-        within = F.filter(F.slice(marks, mark["i"] + 2, count), lambda t: t["kind"] == "open")
-        return let(F.transform(within, lambda t: F.struct(t.alias("mark"), F.get(raws, t["ord"]).alias("raw"))), lambda inner: record(b, inner))
+        return let(F.transform(_within(marks, b["mark"]), lambda t: F.struct(t.alias("mark"), F.get(raws, t["ord"]).alias("raw"))), lambda inner: record(b, inner))
 
     def record(b: Column, inner: Column) -> Column:
         # the first element of each selector, selectors in order; the first of those with any text gives the name
@@ -176,38 +171,29 @@ def block_managers(marks: Column, raws: Column, texts: Column, layout: Column, b
     return F.filter(F.transform(blocks, manager), lambda m: m["name"] != "")
 
 
-def _merged(lists: str) -> Column:
-    ordered = F.sort_array(F.collect_list(F.struct("m.ord", F.col(f"m.{lists}").alias("v"))))
-    return ordered_unique(F.flatten(ordered["v"])).alias(lists)
+def merged_managers(managers: Column) -> Column:
+    """Managers of one page with the same name ignoring case as one, in order of first appearance: the first spelling, lists united in
+    order; an empty list is filled from the name and the other lists."""
 
+    def united(same: Column) -> Column:
+        lists = {c: ordered_unique(F.flatten(F.transform(same, lambda m: m[c]))) for c in ("emails", "skype", "telegram")}
+        return F.struct(F.get(same, F.lit(0))["name"].alias("name"), *[v.alias(c) for c, v in lists.items()])
 
-def _refilled() -> list[Column]:
-    """An empty list is filled from the manager's name and other lists."""
-    line = F.concat_ws(" ", F.col("name"), *[F.array_join(c, " ") for c in ("emails", "skype", "telegram")])
-    return [F.when(F.size(name) == 0, found(line)).otherwise(F.col(name)).alias(name)
-            for name, found in (("emails", emails), ("skype", skype_ids), ("telegram", telegram_handles))]
+    def refilled(m: Column) -> Column:
+        line = F.concat_ws(" ", m["name"], *[F.array_join(m[c], " ") for c in ("emails", "skype", "telegram")])
+        filled = {c: F.when(F.size(m[c]) == 0, found(line)).otherwise(m[c]) for c, found in (("emails", emails), ("skype", skype_ids), ("telegram", telegram_handles))}
+        return F.struct(m["name"].alias("name"), *[v.alias(c) for c, v in filled.items()])
 
+    names = F.array_distinct(F.transform(managers, lambda m: F.lower(m["name"])))
+    return F.transform(F.transform(names, lambda n: let(F.filter(managers, lambda m: F.lower(m["name"]) == n), united)), refilled)
 
-def network_records(pages: DataFrame, winners: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``page_id, layout, carry..., network`` per page; ``network`` is NULL for the default layout.
 
-    Managers of one page with the same name ignoring case are merged; all groupings are by page, on the placement
-    that :func:`page_structure` set up.
-    """
-    carry = carry or []
+def network_records(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``page_id, layout, carry..., network, page_error`` per page (``page_id, layout, html``); ``network`` is NULL for the default layout."""
+    keep = ["page_id", "layout", *(carry or [])]
     marks, raws, texts, layout = (F.col(c) for c in ("marks", "raws", "texts", "layout"))
-    found = page_structure(pages, winners, carry).select(
-        "page_id", "layout", "carried", metadata(key_value_rows(marks, texts), key_value_pairs(marks, texts)).alias("meta"),
-        block_managers(marks, raws, texts, layout, manager_blocks(marks, texts, layout)).alias("managers"))
-    # what belongs to the page rides on its first manager, or on the one row a page without managers keeps
-    rows = found.select("page_id", "layout", "meta", "carried", F.posexplode_outer("managers").alias("i", "m"))
-    whole = F.when(F.coalesce("i", F.lit(0)) == 0, F.struct("layout", "meta", "carried"))
-    merged = rows.select("page_id", "m", whole.alias("whole")).groupBy("page_id", F.lower("m.name").alias("name_key")).agg(
-        F.any_value("whole", F.lit(True)).alias("whole"), F.min("m.ord").alias("ord"), F.min_by("m.name", "m.ord").alias("name"), *[_merged(c) for c in ("emails", "skype", "telegram")])
-    filled = merged.select("page_id", "whole", "ord", "name", *_refilled())
-    manager = F.when(F.col("name").isNotNull(), F.struct("ord", "name", "emails", "skype", "telegram"))
-    per_page = filled.groupBy("page_id").agg(F.any_value("whole", F.lit(True)).alias("whole"), F.sort_array(F.collect_list(manager)).alias("managers"))
-    listed = F.transform("managers", lambda m: F.struct(*[m[c].alias(c) for c in ("name", "emails", "skype", "telegram")]))
-    network = F.struct("whole.meta.*", listed.alias("managers"))
-    known = F.col("whole.layout").isin("A", "B")
-    return per_page.select("page_id", "whole.layout", *[F.col(f"whole.carried.{c}").alias(c) for c in carry], F.when(known, network).alias("network"))
+    read = page_structure(pages, keep).select(
+        *keep, "page_error", metadata(key_value_rows(marks, texts), key_value_pairs(marks, texts)).alias("meta"),
+        F.coalesce(block_managers(marks, raws, texts, layout, manager_blocks(marks, texts, layout)), F.array()).alias("found"))
+    network = F.struct("meta.*", merged_managers(F.col("found")).alias("managers"))
+    return read.select(*keep, F.when(layout.isin("A", "B"), network).alias("network"), "page_error")

@@ -1,18 +1,12 @@
-"""HTML pages as a table of tags and texts, with the end of every element.
-
-Tokens come from one pattern and keep their place in the page. Where an element ends is found with window
-sums: elements that close each other (cells and rows, list items, terms) end at the next mark of
-their group on the same table or list level; all others at the next tag of their own name on the same
-depth, so that unclosed tags of another name do not disturb them.
-"""
+"""HTML pages as tokens: one pattern cuts a page, and what a token adds to the page's text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadweave.functions.entities import decode_entities
-from leadweave.functions.lists import Col, col, let
+from leadweave.functions.lists import Col, col
 
 # quotes count inside a tag only after '='
 INSIDE = r"""(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+"""
@@ -27,7 +21,6 @@ TOKEN = (
 _HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|(script|style|textarea|xmp|iframe|noembed|noframes|noscript)(?=[\s/>]){INSIDE}>.*?(?:</\1\s*>|\z))"
 RAW_BODY = r"(?i)^<(?:script|style|xmp|iframe|noembed|noframes|noscript)[\s/>]"
 _ATTRIBUTE = r"""(?s)[^\s=/>"'][^\s=/>]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
-_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 def visible_markup(html: Col) -> Column:
@@ -53,14 +46,6 @@ def inner_text(html: Column, tag: str) -> Column:
     return decode_entities(F.regexp_replace(inner, rf"(?i)</?[a-z]{INSIDE}>", ""))
 
 
-def _kind(raw: Column) -> Column:
-    second, third = F.substring(raw, 2, 1), F.substring(raw, 3, 1)
-    return (
-        F.when(raw.isNull(), "skip").when(~raw.startswith("<") | (raw == "<"), "text")
-        .when(second.between("A", "z"), "open").when((second == "/") & third.between("A", "z"), "close").otherwise("skip")
-    )
-
-
 def page_tokens(html: Col) -> Column:
     """All tokens of a page as written; joined they give the page again."""
     return F.regexp_extract_all(col(html), F.lit(TOKEN), F.lit(0))
@@ -75,71 +60,3 @@ def token_text(raw: Column) -> Column:
         .when(raw.rlike(r"(?i)^<(?:title|textarea)[\s/>]"), decode_entities(body))
         .when(raw.rlike(RAW_BODY), body).otherwise("")
     )
-
-
-def tags(pages: DataFrame, keep: list[str], carry: list[str], html: str = "html") -> DataFrame:
-    """Opening and closing tags as rows: ``keep`` columns, ``ord`` (place among the page's tokens), ``kind``, ``tag``, ``carried``.
-
-    ``carry`` columns ride along as a struct on the row of the page's first token only, which is there for every page.
-    Texts stay out of the rows that get sorted.
-    """
-    rows = pages.select(*keep, *carry, F.posexplode_outer(page_tokens(html)).alias("ord", "raw"))
-    first = F.coalesce(F.col("ord"), F.lit(0)) == 0
-    kinds = rows.select(*keep, "ord", "raw", _kind(F.col("raw")).alias("kind"), F.when(first, F.struct(F.lit(True).alias("first"), *carry)).alias("carried"))
-    kept = kinds.filter(F.col("kind").isin("open", "close") | F.col("carried").isNotNull())
-    name = F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract("raw", r"^</?([a-zA-Z][^\s/>]*)", 1)))
-    return kept.select(*keep, "ord", "kind", F.coalesce(name, F.lit("")).alias("tag"), "carried")
-
-
-def with_ends(marks: DataFrame, page: str = "page_id") -> DataFrame:
-    """Add to every tag its number ``i`` in the page; where its element ends (``end`` in tokens, ``end_i`` in tags, both NULL
-    for the end of the page); ``level`` of table nesting; ``n_cells`` opened before it."""
-    tag, kind = F.col("tag"), F.col("kind")
-    is_open, is_close = kind == "open", kind == "close"
-
-    def step(hit: Column) -> Column:
-        return F.when(hit & is_open, 1).when(hit & is_close, -1).otherwise(0)
-
-    up_to_here = Window.partitionBy(page).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of_tag = Window.partitionBy(page, "tag").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_table, is_list, is_terms = tag == "table", tag.isin("ul", "ol", "menu", "dir"), tag == "dl"
-    is_cell = tag.isin("td", "th")
-    is_row = tag.isin("tr", "tbody", "thead", "tfoot") | (is_table & is_close)
-    cell_opens = F.when(is_cell & is_open, 1).otherwise(0)
-    counted = marks.select(
-        "*",
-        F.sum(step(is_table)).over(up_to_here).alias("level"),
-        F.sum(step(is_list)).over(up_to_here).alias("list_run"),
-        F.sum(step(is_terms)).over(up_to_here).alias("terms_run"),
-        (F.sum(cell_opens).over(up_to_here) - cell_opens).cast("int").alias("n_cells"),
-        (F.sum(F.when(is_open | is_close, 1).otherwise(0)).over(up_to_here) - 1).cast("int").alias("i"),
-        F.sum(step(F.lit(True))).over(of_tag).alias("tag_run"),
-    )
-    leaving = F.when(is_close, 1).otherwise(0)
-    in_table = is_cell | is_row
-    in_list = (tag == "li") | (is_list & is_close)
-    in_terms = tag.isin("dt", "dd") | (is_terms & is_close)
-    grouped = counted.select(
-        "*",
-        F.when(in_table, "table").when(in_list, "list").when(in_terms, "terms").otherwise(F.concat(F.lit("tag:"), tag)).alias("family"),
-        F.when(in_table, F.col("level") + F.when(is_table, leaving).otherwise(0))
-        .when(in_list, F.col("list_run") + F.when(is_list, leaving).otherwise(0))
-        .when(in_terms, F.col("terms_run") + F.when(is_terms, leaving).otherwise(0))
-        .otherwise(F.col("tag_run") + leaving).alias("depth"),
-        F.struct("ord", "i").alias("here"), is_row.alias("row_mark"),
-    )
-    # read backwards, so that the next mark of either sort is the last one met
-    onward = Window.partitionBy(page, "family", "depth").orderBy(F.desc("ord"))
-    next_row_mark = F.last(F.when(F.col("row_mark"), F.col("here")), ignorenulls=True).over(onward.rowsBetween(Window.unboundedPreceding, -1))
-    end = (
-        F.when(~is_open | tag.isin(*_VOID), F.col("here"))
-        .when(tag == "tr", next_row_mark)
-        .otherwise(F.lag("here").over(onward))
-    )
-    ended = grouped.select(*marks.columns, end.alias("stop"), "level", "n_cells", "i")
-    return ended.select(*marks.columns, "i", F.col("stop.ord").alias("end"), F.col("stop.i").alias("end_i"), "level", "n_cells")
-
-
-def text_between(texts: Column, ord_: Column, end: Column) -> Column:
-    """Texts strictly between two tokens, joined without separator as a page tree gives them."""
-    return let(F.greatest(end - ord_ - 1, F.lit(0)), lambda n: F.array_join(F.slice(texts, ord_ + 2, n), ""))
