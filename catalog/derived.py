@@ -31,6 +31,22 @@ SELECT s_suppkey AS page_id,
               CASE s_suppkey % 6 WHEN 0 THEN concat('<ul><li>Account Manager: Desk <a href="mailto:desk', s_suppkey % 4, '@x.example.com">m</a></li></ul>') ELSE '' END,
               '</body></html>') AS html
 FROM supplier""",
+    # directory pages as old hands wrote them: rows without tr, content between cells, tables in cells, elements left open
+    "old_pages": """
+SELECT 10000000 + s_suppkey AS page_id,
+       concat(CASE CAST(floor(s_suppkey / 6) AS BIGINT) % 2 WHEN 0 THEN 'https://www.dir-a.example/' ELSE 'https://dir-b.example/network/' END, 'o', s_suppkey) AS url,
+       concat('<title>Old ', s_suppkey, '</title>', CASE s_suppkey % 6
+         WHEN 0 THEN concat('<table><td>Minimum payout<td>$', s_suppkey, '</table><table><th>Payment Frequency<td>Net ', s_nationkey, '<tr><td>odd</table>')
+         WHEN 1 THEN concat('<div><table>Account Manager: <tr><td>Payment terms</td>stray ', s_suppkey, '<td>Weekly ', s_nationkey, '</td></tr></table></div></td>')
+         WHEN 2 THEN concat('<div><div>Affiliate  Manager: <b>Joe ', s_nationkey, '</b></div><table><tr><td><table><td>Commission Type<td>CPS ', s_nationkey, '</table></td><td>x</td></tr></table></div>')
+         WHEN 3 THEN concat('<ul><li>Network contact: <strong>Ann ', s_suppkey, '</strong> <a title="ann@x.example" href="skype:ann.', s_nationkey, '?chat">c</a><li>network  CONTACT <h3>ANN ', s_suppkey,
+                            '</h3><i data-tippy="bob@x.example"></i></ul><dl><dt>Payout model<dd>RevShare ', s_nationkey, '<dt>Referral<dt>Minimum payout<dd>', s_suppkey, ' USD</dl>')
+         WHEN 4 THEN concat('<ul><li>Account manager <b>Eve ', s_suppkey, '<li>Affiliate manager Zoe</ul>')
+         ELSE concat('<table><tr><td>Referral rate<td>5%<tr><td>referral<td>', s_nationkey, '%<tr><td>Minimum payout<td> </table>') END) AS html
+FROM supplier""",
+    "directory_pages": """
+SELECT page_id, url, html FROM profile_pages
+UNION ALL SELECT page_id, url, html FROM old_pages""",
     "routes": """
 SELECT host, min(layout) AS layout FROM (
   SELECT concat(CASE s_suppkey % 2 WHEN 0 THEN '' ELSE 'www.' END, CASE s_suppkey % 4 WHEN 0 THEN 'dir-a' WHEN 1 THEN 'dir-a' ELSE 'dir-b' END, '.example') AS host,

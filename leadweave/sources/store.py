@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from leadweave.functions.text import join_list, parse_statuses, split_list, status_text
 from leadweave.functions.urls import source_domain
+from leadweave.sources.versioned import VersionedTable
 
 LISTS = ("emails", "telegram_handles", "skype", "linkedin", "twitter")
 TEXTS = ("company_name", "emails", "telegram_handles", "tg_validation_status", "skype", "linkedin", "twitter", "cis_reason")
@@ -50,7 +51,8 @@ def fold_state(writes: DataFrame, key: str = "source_url", seq: str = "seq", wri
     the shuffle: a URL written over and over costs no more than any other.
     """
     have = writes.columns
-    order = F.struct(F.col(seq).alias("seq"), F.xxhash64(*sorted(have)).alias("tie")).alias("at")
+    writes = writes.withColumn("at", F.struct(F.col(seq).alias("seq"), F.xxhash64(*sorted(have)).alias("tie")))  # once, below the aggregate
+    order = F.col("at")
     first = F.struct(order, "id", *[c for c in ("source_domain",) if c in have], F.col(written_at).alias("time"))
     last = F.struct(order, *[c for c in FLAGS if c in have], F.col(written_at).alias("time"))
     texts = [F.max(F.when(F.col(c) != "", F.struct(order, F.col(c).alias("value")))).alias(f"text_{c}") for c in TEXTS if c in have]
@@ -96,6 +98,11 @@ def compact(spark: SparkSession, path: str, into: str, schema: T.StructType = WR
     return spark.read.schema(state.schema).parquet(into)
 
 
+def lead_table(spark: SparkSession, path: str, key: str = "source_url", buckets: int = 64) -> VersionedTable:
+    """The stored leads as a table that is read while it is written: commit ``fold_state`` of a batch, read with ``folded``."""
+    return VersionedTable(spark, path, key, lambda states: merge_states(states, key), buckets)
+
+
 def id_clashes(stored: DataFrame) -> DataFrame:
     """Ids that stand for more than one URL, against the table's key: ``id, n_urls``."""
     return stored.groupBy("id").agg(F.count_distinct("source_url").alias("n_urls")).filter("n_urls > 1")
