@@ -18,7 +18,8 @@ from leadweave.operators.lookups import check_domains, handle_results, lead_mx,
 from leadweave.operators.summary import column_widths, handle_report, run_summary, verdict_counts
 from leadweave.session import scratch_dir, spread, write_once
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, flatten_stored, nested_leads, write_leads
-from leadweave.sources.store import append_writes, compact, fold_state, folded, known_urls, merge_states, publish, read_published, read_writes, scan_leads, upsert_fold
+from leadweave.sources.store import append_writes, compact, fold_state, folded, known_urls, lead_table, merge_states, publish, read_published, read_writes, scan_leads, upsert_fold
+from leadweave.sources.versioned import VersionedTable
 from leadweave.streaming import jobs
 
 # --- dedup and discovery -------------------------------------------------------
@@ -252,6 +253,16 @@ def q_upsert_refold(spark, sf):
     return _shown(folded(merge_states(twice.unionByName(fold_state(writes.filter("seq % 3 = 2"))))))
 
 
+@query("q_versioned_upsert", _STORE + f"SELECT {', '.join(_COLUMNS)}, {_TIMES} FROM folded")
+def q_versioned_upsert(spark, sf):
+    """Batches of two writers committed one after another, one of them twice; the last version read."""
+    writes = _writes(spark, sf)
+    table = lead_table(spark, scratch_dir(spark, "table"))
+    for writer, batch_id, part in (("a", 0, 0), ("b", 0, 1), ("a", 1, 2), ("b", 0, 1)):
+        table.commit(fold_state(writes.filter(f"seq % 3 = {part}")), writer, batch_id)
+    return _shown(folded(table.read()))
+
+
 _SPLIT = "array_to_string(list_filter(string_split({c}, ','), lambda x: x <> ''), '|') AS {c}"
 
 
@@ -320,3 +331,22 @@ def q_stream_known_anti(spark, sf):
     return spark.read.option("basePath", out).parquet(f"{out}/writer=*/batch_id=*").select("cat_ord", "page_no", "pos", "link")
 
 
+@query("q_stream_first_seen_table", ctes("target_lines") + f" SELECT DISTINCT {_NORM} AS norm FROM target_lines WHERE {_NORM} <> ''")
+def q_stream_first_seen_table(spark, sf):
+    incoming, out = scratch_dir(spark, "incoming"), scratch_dir(spark, "seen")
+    lines = derived(spark, sf, "target_lines").select("line", "ord")
+    lines.repartition(3).write.parquet(incoming)
+    stream = jobs.stream_table(spark, incoming, lines.schema, 1)
+    _run(jobs.stream_first_seen_table(stream, "line", jobs.seen_keys(spark, scratch_dir(spark, "keys")), out, scratch_dir(spark, "state"), "lines"))
+    return spark.read.option("basePath", out).parquet(f"{out}/writer=*/batch_id=*").select("norm")
+
+
+@query("q_stream_unknown", ctes("listing_links") + f" SELECT cat_ord, page_no, pos, link FROM listing_links WHERE link NOT IN ({_KNOWN})")
+def q_stream_unknown(spark, sf):
+    incoming, out = scratch_dir(spark, "incoming"), scratch_dir(spark, "links")
+    links = derived(spark, sf, "listing_links")
+    links.repartition(2).write.parquet(incoming)
+    table = VersionedTable(spark, scratch_dir(spark, "table"), "source_url", lambda rows: rows.distinct())
+    table.commit(derived(spark, sf, "part").filter("p_size > 25").select(F.concat(F.lit("https://dir.example/n"), "p_partkey").alias("source_url")), "parts", 0)
+    _run(jobs.stream_unknown(jobs.stream_table(spark, incoming, links.schema, 1), table, out, scratch_dir(spark, "state"), "links"))
+    return spark.read.option("basePath", out).parquet(f"{out}/writer=*/batch_id=*").select("cat_ord", "page_no", "pos", "link")

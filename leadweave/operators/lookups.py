@@ -44,39 +44,45 @@ def verdict(username: Col, found: dict[str, Column] | None) -> Column:
 def check_handles(handles: DataFrame, snapshot: DataFrame | None, handle: str) -> DataFrame:
     """Add ``verdict`` to rows that carry a handle in any spelling.
 
+    A snapshot may have ``lookup_error``, why a handle could not be looked up at all; it comes out as a column of that name.
     Of a handle listed more than once the greatest entry holds, by account, flags and error in that order, so a found
     account wins over a missing one. A plain left join: Spark splits the tasks of a handle that very many rows carry.
     """
     named = handles.withColumn("__handle", normalize_handle(handle))
     if snapshot is None:
-        return named.withColumn("verdict", verdict("__handle", None)).drop("__handle")
+        return named.withColumn("verdict", verdict("__handle", None)).withColumn("lookup_error", F.lit(None).cast("string")).drop("__handle")
     names = ("user_id", "is_bot", "is_deleted", "was_verified", "error_code")
-    table = snapshot.groupBy(F.col("handle").alias("__handle")).agg(F.max(F.struct(*names)).alias("__found"))
+    # the greatest entry holds; an entry that was looked up is greater than one that was not
+    asked = snapshot if "lookup_error" in snapshot.columns else snapshot.withColumn("lookup_error", F.lit(None).cast("string"))
+    best = F.max(F.struct(F.col("lookup_error").isNull().alias("done"), *names, "lookup_error")).alias("__found")
+    table = asked.groupBy(F.col("handle").alias("__handle")).agg(best)
     joined = named.join(table, "__handle", "left")
-    return joined.withColumn("verdict", verdict("__handle", {n: F.col("__found").getField(n) for n in names})).drop("__found", "__handle")
+    return joined.withColumn("verdict", verdict("__handle", {n: F.col("__found").getField(n) for n in names})).withColumn("lookup_error", F.col("__found.lookup_error")).drop("__found", "__handle")
 
 
 def handle_results(leads: DataFrame, snapshot: DataFrame | None, key: str = "id", handles: Col = "contacts.telegram") -> DataFrame:
-    """``key, tg_results, usable``: all verdicts of a lead in handle order, and the handles that stay usable."""
+    """``key, tg_results, usable, lookup_error``: all verdicts of a lead in handle order, the handles that stay usable, and the first handle
+    that could not be looked up, with the reason."""
     rows = leads.select(key, F.posexplode(col(handles)).alias("pos", "handle"))
     checked = check_handles(rows, snapshot, "handle")
-    each = F.sort_array(F.collect_list(F.struct("pos", "handle", "verdict")))
+    each = F.sort_array(F.collect_list(F.struct("pos", "handle", "verdict", "lookup_error")))
     return checked.groupBy(key).agg(each.alias("each")).select(
         key,
         F.transform("each", lambda e: e["verdict"]).alias("tg_results"),
         F.transform(F.filter("each", lambda e: e["verdict"]["status"].isin(*fixed.USABLE_STATUSES)), lambda e: e["handle"]).alias("usable"),
+        F.get(F.transform(F.filter("each", lambda e: e["lookup_error"].isNotNull()), lambda e: F.concat(F.lit('handle "'), e["handle"], F.lit('": '), e["lookup_error"])), F.lit(0)).alias("lookup_error"),
     )
 
 
 def verify_handles(leads: DataFrame, snapshot: DataFrame | None = None, key: str = "id", checked_at: Column | None = None) -> DataFrame:
     """Add ``tg_results``, each with its time ``checked_at`` (now, if not given), and keep only usable handles in ``contacts.telegram``.
 
-    ``leads`` is read twice, for the handles and for the rows they go back to: pass a stored table, not a costly plan.
+    ``lookup_error`` says which handle could not be looked up, if the snapshot tells. ``leads`` is read twice, for the handles and for the rows they go back to: pass a stored table, not a costly plan.
     """
     now = F.current_timestamp() if checked_at is None else checked_at
     if snapshot is None:  # every handle is SKIPPED and stays: no join, no shuffle
         skipped = F.transform("contacts.telegram", lambda h: verdict(normalize_handle(h), None))
-        return leads.withColumn("tg_results", F.transform(skipped, lambda r: r.withField("checked_at", now)))
+        return leads.withColumn("tg_results", F.transform(skipped, lambda r: r.withField("checked_at", now))).withColumn("lookup_error", F.lit(None).cast("string"))
     results = handle_results(leads, snapshot, key).withColumn("tg_results", F.transform("tg_results", lambda r: r.withField("checked_at", now)))
     none = F.array().cast(results.schema["tg_results"].dataType)
     kept = F.coalesce("usable", F.array().cast("array<string>"))

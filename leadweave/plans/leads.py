@@ -105,13 +105,29 @@ def first_targets(pages: DataFrame) -> DataFrame:
 def leads_from_pages(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_ROUTES, winners: DataFrame | None = None) -> DataFrame:
     """One lead per page (``page_id, url, html``); with ``winners`` (``page_id``) only for those pages.
 
-    Pages are read once and moved once, by page. What can be found without nesting is taken out before the move, and the
-    page text goes along only for pages with a known layout. ``network`` is NULL for the default layout.
+    Pages that are no winner are left out before anything is extracted; everything after that happens inside the page's row. ``network`` is NULL
+    for the default layout; ``page_error`` says why a page could not be read.
     """
-    core = lead_core(with_layout(pages.filter(url_problem("url").isNull()), routes))
+    usable = pages.filter(url_problem("url").isNull())
+    if winners is not None:
+        usable = _only(usable, winners)
+    core = lead_core(with_layout(usable, routes)).withColumn("uncaptured", F.when(F.col("html").isNull(), F.lit(UNCAPTURED)))
     nested = core.withColumn("html", F.when(F.col("layout").isin("A", "B"), F.col("html")))
-    leads = network_records(nested, winners, ["id", "source_url", "company_name", "contacts"])
-    return leads.withColumn("raw_name", F.col("company_name"))
+    leads = network_records(nested, ["id", "source_url", "company_name", "contacts", "uncaptured"])
+    return leads.withColumn("raw_name", F.col("company_name")).withColumn("page_error", F.coalesce("uncaptured", "page_error")).drop("uncaptured")
+
+
+BROADCAST_ROWS = 1_000_000
+UNCAPTURED = "the page was not captured"
+
+
+def _only(pages: DataFrame, winners: DataFrame) -> DataFrame:
+    """Pages among the winners. Repeated targets are few as a rule: their ids, counted, are broadcast against pages that then stay where they
+    are; are there more, both sides are joined by id, which moves each page once."""
+    losers = write_once(pages.select("page_id").join(winners, "page_id", "left_anti"), "losers")
+    if losers.count() <= BROADCAST_ROWS:
+        return pages.join(F.broadcast(losers), "page_id", "left_anti")
+    return pages.join(winners, "page_id", "left_semi")
 
 
 class LeadRun(NamedTuple):
@@ -121,16 +137,27 @@ class LeadRun(NamedTuple):
 
 
 def rejects(pages: DataFrame, winners: DataFrame) -> DataFrame:
-    """``page_id, url, stage, reason`` of first-seen targets that cannot be used."""
+    """``page_id, url, stage, reason`` of first-seen targets whose URL cannot be used."""
     bad = pages.select("page_id", "url", url_problem("url").alias("reason")).filter(F.col("reason").isNotNull())
     return bad.join(winners, "page_id", "left_semi").select("page_id", "url", F.lit("route").alias("stage"), "reason")
 
 
+def _failure() -> Column:
+    """The first stage that failed on a lead, with the reason; NULL if none did. Reading ids that name two URLs is the caller's, see ``id_clashes``."""
+    stages = {"extract": F.col("page_error"), "lookup": F.col("lookup_error"), "write": F.when(F.col("id").isNull() | F.col("source_url").isNull(), F.lit("a lead without id or URL"))
+              .when(F.col("taken").isNotNull(), F.concat(F.lit("the id belongs to "), F.col("taken")))}
+    return F.coalesce(*[F.when(reason.isNotNull(), F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))) for stage, reason in stages.items()])
+
+
 def run_leads(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_ROUTES, *, mail: MailRules | None, names: NameRules | None,
               handle_snapshot: DataFrame | None = None, mx_snapshot: DataFrame | None = None,
-              created_at: Column | None = None) -> LeadRun:
+              created_at: Column | None = None, stored_leads: DataFrame | None = None) -> LeadRun:
     """The whole run: dedup targets, extract, classify, verify, summarise.
 
+    No target's failure stops the run. Each lead carries what failed on it, if anything, as value next to its other columns; at the end leads are split
+    into those without failure and ``rejects``: stage ``route`` (URL unusable), ``extract`` (page not captured or not readable), ``lookup`` (a handle could
+    not be looked up), ``write`` (its id belongs to another URL of ``stored_leads``, ``id, source_url``).
+
     Classification sees the handles that verification may drop later. Rule sets must be named by the caller. The extracted leads
     are written once to the shared scratch folder; lookups and summary read that compact table, so no page is read again.
     """
@@ -141,5 +168,15 @@ def run_leads(pages: DataFrame, routes: Mapping[str, str] | DataFrame = DEFAULT_
     found = leads_from_pages(pages, routes, winners)
     flagged = classify(found, mail, names).withColumn("created_at", F.current_timestamp() if created_at is None else created_at)
     stored = write_once(flagged, "leads")
-    leads = verify_domains(verify_handles(stored, handle_snapshot, "page_id"), mx_snapshot, "page_id")
-    return LeadRun(leads, rejects(pages, winners), run_summary(pages, leads))
+    checked = verify_domains(verify_handles(stored, handle_snapshot, "page_id"), mx_snapshot, "page_id")
+    if stored_leads is None:
+        checked = checked.withColumn("taken", F.lit(None).cast("string"))
+    else:
+        owners = stored_leads.groupBy("id").agg(F.min("source_url").alias("owner"))
+        checked = checked.join(owners, "id", "left").withColumn("taken", F.when(F.col("owner") != F.col("source_url"), F.col("owner"))).drop("owner")
+    judged = checked.withColumn("failure", _failure())
+    leads = judged.filter(F.col("failure").isNull()).drop("failure", "taken", "lookup_error", "page_error")
+    failed = judged.filter(F.col("failure").isNotNull()).select("page_id", F.col("source_url").alias("url"), "failure.stage", "failure.reason")
+    # a lead counts as extracted as soon as its page was read, whatever fails on it later
+    extracted = judged.filter("page_error IS NULL")
+    return LeadRun(leads, rejects(pages, winners).unionByName(failed), run_summary(pages, extracted))

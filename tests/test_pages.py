@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from leadweave.functions.rules import MailRules
+from leadweave.functions.urls import lead_id
+from leadweave.operators import page_tree
 from leadweave.operators.network import key_value_pairs, key_value_rows, manager_blocks, network_records, page_structure
 from leadweave.operators.tokens import page_tokens, visible_markup
 from leadweave.plans.leads import company_name, first_targets, leads_from_pages, page_title, run_leads
@@ -105,7 +108,7 @@ def test_run_goes_on_after_a_bad_target(spark):
         assert (s.targets, s.leads, s.handles_checked, s.skipped) == (7, 2, 2, 2)
 
 
-def test_plan_reads_and_moves_the_html_once(spark):
+def test_plan_reads_the_html_once_and_moves_none(spark):
     pages = spark.createDataFrame([(0, "https://a.example", "x")], "page_id long, url string, html string")
     path = scratch_dir(spark, "pages")
     pages.write.parquet(path)
@@ -113,10 +116,34 @@ def test_plan_reads_and_moves_the_html_once(spark):
     plan = leads_from_pages(pages, winners=first_targets(pages))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan" in line]
     assert sum("html" in s.split("Batched")[0] for s in scans) == 1
-    assert "Python" not in plan and "ArrowEval" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert plan.count("REPARTITION_BY_COL") == 1 and "REPARTITION_BY_NUM" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    # pages stay where they are: nothing but the few ids of repeated targets moves, and only tag codes go through Python
+    assert [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line] == []
+    assert "Sort" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+    assert "build(" in plan and not re.search(r"build\([^)]*html", plan)
     snapshot = spark.sql("SELECT 'h' AS handle, 1 AS user_id, false AS is_bot, false AS is_deleted, false AS was_verified, '' AS error_code")
     run = run_leads(pages, mail=MailRules(), names=None, handle_snapshot=snapshot, mx_snapshot=spark.sql("SELECT 'd' AS domain, 1 AS n_mx, 'ok' AS outcome"))
     for df in (run.leads, run.summary):
         assert "html" not in df._jdf.queryExecution().executedPlan().toString().replace("html5", "")
     assert run.leads.count() == 1
+
+
+def test_failures_of_every_stage_become_rows(spark, monkeypatch):
+    rows = [(0, "https://good.example/", "<title>Good</title>@fine_handle"), (1, "nowhere", "x"), (2, "https://gone.example/", None), (3, "https://busy.example/", "<title>B</title>@busy_handle @fine_handle"),
+            (4, "https://taken.example/", "<title>T</title>"), (5, "https://good.example/", "<title>Late</title>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    snapshot = spark.createDataFrame([("fine_handle", 5, None), ("busy_handle", None, "try later")], "handle string, user_id long, lookup_error string").selectExpr(
+        "*", "false AS is_bot", "false AS is_deleted", "false AS was_verified", "'' AS error_code")
+    stored = pages.filter("page_id IN (0, 4)").select(lead_id("url").alias("id"), F.when(F.col("page_id") == 4, "https://other.example/").otherwise(F.col("url")).alias("source_url"))
+    run = run_leads(pages, mail=MailRules(), names=None, handle_snapshot=snapshot, stored_leads=stored)
+    assert values(run.leads, "company_name") == ["Good"] and not {"failure", "taken", "lookup_error", "page_error"} & set(run.leads.columns)
+    assert sorted(values(run.rejects, "page_id", "stage", "reason")) == [
+        (1, "route", 'target URL "nowhere" must include a scheme and host'), (2, "extract", "the page was not captured"), (3, "lookup", 'handle "busy_handle": try later'),
+        (4, "write", "the id belongs to https://other.example/")]
+    s = run.summary.first()
+    assert (s.targets, s.leads, s.handles_checked) == (6, 3, 3)
+
+
+def test_a_page_that_cannot_be_read_is_one_error(monkeypatch):
+    monkeypatch.setattr(page_tree, "tree_of", lambda codes: 1 / 0 if codes == "bad" else {n: [] for n in page_tree.FIELDS})
+    assert [page_tree._tree_or_error(c)["error"] for c in ("bad", "#")] == ["ZeroDivisionError: division by zero", None]
