@@ -64,10 +64,10 @@ def features(page: list[Block]) -> list[np.ndarray]:
     out = []
     for i, b in enumerate(page):
         n, words = len(b.text), b.text.count(" ") + 1
-        found = {"any", f"tag {b.path[-1] if b.path else ''}", f"words {min(words.bit_length(), 6)}", f"links {4 * b.link_chars // max(n, 1)}",
+        found = {"any", f"tag {b.place.tag}", f"words {min(words.bit_length(), 6)}", f"links {4 * b.link_chars // max(n, 1)}",
                  f"stop {b.text[-1] in '.!?…'}", f"commas {min(b.text.count(','), 3)}", f"mark {b.text[0] if not b.text[0].isalnum() else ''}",
-                 f"place {4 * i // len(page) if len(page) > 3 else ''}", f"inner {len(b.path) > 3}"}
-        found |= {f"in {p}" for p in b.path} | {f"name {p}" for p in b.names}
+                 f"place {4 * i // len(page) if len(page) > 3 else ''}", f"inner {b.place.depth > 3}"}
+        found |= {f"in {p}" for p in b.place.tags} | {f"name {p}" for p in b.place.name_set}
         out.append(np.array([_place(f) for f in sorted(found)]))
     return out
 
@@ -183,8 +183,9 @@ def main_text(html: str | None, field: Field) -> str:
 
 
 def fit_field(pages: DataFrame, url_col: str = "url", html_col: str = "html", labelled: int = LABELLED) -> Field:
-    """A field fitted on at most ``labelled`` pages, those with the smallest hash of address and html."""
-    picked = pages.select(F.col(f"`{html_col}`").alias("html"), F.xxhash64(F.col(f"`{url_col}`"), F.xxhash64(F.col(f"`{html_col}`"))).alias("h"))
+    """A field fitted on at most ``labelled`` of the pages that mark a main part, those with the smallest hash of address and html."""
+    marking = F.col(f"`{html_col}`").rlike(rf"(?i)<(?:{'|'.join(MAIN_PARTS)})[\s/>]")
+    picked = pages.filter(marking).select(F.col(f"`{html_col}`").alias("html"), F.xxhash64(F.col(f"`{url_col}`"), F.xxhash64(F.col(f"`{html_col}`"))).alias("h"))
     least = picked.select("h").distinct().orderBy("h").limit(labelled)
     rows = picked.join(F.broadcast(least), "h").dropDuplicates(["h"]).orderBy("h").collect()
     return Field().fit(training_set([r.html for r in rows]))

@@ -5,6 +5,8 @@ import gzip
 import hashlib
 import itertools
 import random
+import time
+import re
 
 import duckdb
 import pytest
@@ -48,6 +50,74 @@ def test_blocks():
     assert len(blocks("<p>x" * 20000)) == 20000 and len(blocks("<div>" * 3000 + "deep")[0].path) == 3000
 
 
+def test_blocks_cost_the_length_of_the_page():
+    for html, n in (("<div>" * 100_000 + "x", 1), ("<div>x" * 100_000, 100_000), ("<svg>" * 100_000 + "<p>x", 1), ("<div>" * 50_000 + "</p>" * 50_000, 0), ("<p>x" * 50_000, 50_000),
+                    ("".join(f"<div class=c{i}>x" for i in range(20_000)), 20_000)):
+        started = time.process_time()
+        assert len(blocks(html)) == n and time.process_time() - started < 5, html[:20]
+    started = time.process_time()
+    assert len(html_extract.features(blocks("<div>x" * 50_000))) == 50_000 and time.process_time() - started < 10
+    shared = blocks("<div class='Main x'><p>a<div id=y>b</div>c</div>")
+    assert [(b.path, b.names) for b in shared] == [(("div", "p"), ("main", "x")), (("div", "div"), ("main", "x", "y")), (("div",), ("main", "x"))]
+
+
+# layouts of other builders than those the field is trained on; main text is what stands in the place of {main}
+FOREIGN = [
+    '<body><div id="top"><ul class="mainmenu"><li>Start</li><li>Archive</li><li>Contact</li></ul></div><div id="story">{main}</div><div class="promo related"><p>Ten ways to cook rice</p></div><div id="footer"><p>© The Paper</p></div></body>',
+    '<body><header><nav><a href=1>Start</a> <a href=2>Archive</a></nav></header><main>{main}</main><section id="comments"><p>Great read, thank you all.</p><p>I do not agree with this.</p></section><footer><p>All rights reserved.</p></footer></body>',
+    '<body><div role="navigation"><a href=1>Start</a></div><div class="cookie"><p>We use cookies, accept them.</p><button>OK</button></div><article><div><div>{main}</div></div></article><aside class="sidebar"><ul><li><a href=3>More news</a></li></ul></aside></body>',
+]
+
+
+def test_pages_of_other_layouts_and_without_marks():
+    rows = duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()
+    field = html_extract.Field().fit(html_extract.training_set([h for h, in rows[:80]]))
+    exact = 0
+    for i in range(24):
+        texts = [f"{prose(40 * i + k, 20 + 9 * k).capitalize()}, as before." for k in range(2 + i % 4)]
+        page = FOREIGN[i % 3].replace("{main}", "".join(f"<p>{t}</p>" for t in texts))
+        exact += html_extract.main_text(page, field) == "\n\n".join(texts)
+    assert exact >= 22
+    found = wanted = right = 0
+    for html, in rows[100:300]:
+        labels = [html_extract._kept(b) for b in blocks(html)]
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)\b", r"<\1div", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html))
+        got = field.decode(html_extract.features(blocks(bare)))
+        assert len(got) == len(labels)
+        found, wanted, right = found + sum(got), wanted + sum(labels), right + sum(bool(g) and k for g, k in zip(got, labels))
+    assert right >= 0.98 * wanted and right >= 0.98 * found
+
+
+def possible_totals(text, template):
+    """How many words a Patience alignment may match, by its definition: edges, then each of the longest increasing choices of words unique to both, then gaps."""
+    done = 0
+    while text and template and text[0] == template[0]:
+        text, template, done = text[1:], template[1:], done + 1
+    while text and template and text[-1] == template[-1]:
+        text, template, done = text[:-1], template[:-1], done + 1
+    unique = [(text.index(w), j) for j, w in enumerate(template) if template.count(w) == 1 and text.count(w) == 1]
+    chains = [c for n in range(len(unique), 0, -1) for c in itertools.combinations(unique, n) if all(x[0] < y[0] for x, y in itertools.pairwise(c))]
+    totals = set()
+    for chain in (c for c in chains if len(c) == len(chains[0])):
+        sums = {done + len(chain)}
+        for (i, j), (i2, j2) in itertools.pairwise([(-1, -1), *chain, (len(text), len(template))]):
+            sums = {x + y for x in sums for y in possible_totals(text[i + 1:i2], template[j + 1:j2])}
+        totals |= sums
+    return totals or {done}
+
+
+def test_alignment_against_its_definition():
+    rng = random.Random(6)
+    for _ in range(400):
+        template = [rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 12))]
+        text = [w for w in template if rng.random() > 0.2] + [rng.choice("abcxyz") for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.5:
+            rng.shuffle(text)
+        got = license_scan.align(text, template)
+        assert all(text[i] == template[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+        assert len(got) in possible_totals(text, template)
+
+
 def test_field_is_a_crf():
     """Marginals and Viterbi against all labellings of a short page."""
     import numpy as np
