@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from leadweave.llm import decontaminate as d
@@ -72,7 +73,7 @@ def test_simhash_counts_every_bit(spark):
 
 
 def test_edited_windows_near_the_threshold(spark):
-    """Windows of similarity 0.80 to 0.85, of which fingerprints differ in up to 20 bits and more; none may be lost."""
+    """Windows of similarity 0.80 to 0.85: the exact way loses none, fingerprints at most two of a hundred, and neither finds anything else."""
     rng = random.Random(12)
     items, docs = [], []
     for i in range(500):
@@ -84,9 +85,31 @@ def test_edited_windows_near_the_threshold(spark):
         at = rng.randrange(4, n - 4 - lost)
         inner = words[:at] + [f"new{i}x{k}" for k in range(lost - 4)] + words[at + max(0, lost - 4):]
         docs += [(2 * i + k, f"{prose(50000 + 2 * i + k, 30)} {' '.join(edited)} {prose(60000 + 2 * i + k, 30)}") for k, edited in enumerate((start, inner))]
-    got = d.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [{(r.doc, r.item): (r.similarity, r.start) for r in d.matches(*frames, exact=exact).collect()} for exact in (True, False)]
     want = {}
     for doc, text in docs:
         want |= brute([(doc, text)], [items[doc // 2]])
     assert len(want) == len(docs) and sum(similarity <= 0.85 for similarity, _ in want.values()) > 500
-    assert {(r.doc, r.item): (r.similarity, r.start) for r in got} == want
+    assert found[0] == want
+    # a lost best window may leave another similar one of the same document and item
+    assert len(found[1]) >= 0.98 * len(want) and sum(want[k] == v for k, v in found[1].items()) >= 0.98 * len(want)
+    assert all(0.8 <= similarity <= want[k][0] for k, (similarity, _) in found[1].items())
+
+
+def test_a_long_item_costs_seconds(spark):
+    """An item of 5,000 words in a document of 6,000; one that repeats itself, so that counts matter."""
+    long, twice = prose(1, 5000), f"{prose(2, 400)} {prose(2, 400)}"
+    docs = spark.createDataFrame([(1, f"{prose(3, 500)} {long} {prose(4, 500)}"), (2, f"{prose(5, 50)} {twice}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, twice)], "item_id long, text string")
+    started = time.time()
+    got = {(r.doc, r.item): (r.similarity, r.start, r.distance) for r in d.matches(docs, items).collect()}
+    assert got == {(1, 1): (1.0, 500, 0), (2, 2): (1.0, 50, 0)} and time.time() - started < 120
+
+
+def test_weighted_jaccard(spark):
+    rng = random.Random(4)
+    pairs = [([rng.randrange(7) for _ in range(rng.randint(1, 12))], [rng.randrange(7) for _ in range(rng.randint(1, 12))]) for _ in range(300)]
+    for r in spark.createDataFrame(pairs, "a array<long>, b array<long>").withColumn("j", d.weighted_jaccard("a", "b")).collect():
+        a, b = Counter(r.a), Counter(r.b)
+        assert (r.j.smaller, r.j.larger) == (sum((a & b).values()), sum((a | b).values()))
