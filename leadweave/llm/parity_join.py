@@ -9,11 +9,14 @@ band's radius r is the largest difference of any pair in it. The band's sketch i
 blocks make no key; a set with too many of them gets another deal of the blocks, and another, until at least ``SHARED`` of the equal
 blocks of any of its pairs hold shingles. Equal keys make candidates; a set with fewer shared keys has no link.
 
-*No pairs within hot keys.* A key's sets are first compared with its smallest and largest node only; sets found linked are one component, and
+*No pairs within keys.* A key's sets are first compared with its smallest and largest node only; sets found linked are one component, and
 keys within one component are done. Of the sets in other keys, shingles that none of the others holds can't be in an intersection:
-the number of held ones bounds every similarity, and most sets that share a passage or are edited too much drop out by it. What is
-left of a small key is compared across components where this bound and a wide sketch allow. Sets of a large key meet only in two large
-keys at once: large keys are dealt to one share fewer than a pair has keys, so that two of them are in one share.
+the number of held ones bounds every similarity, and most sets that share a passage or are edited too much drop out by it. Then come
+rounds of pivots: in each, ``PIVOTS`` sets of every open key are compared with its other sets of other components where this bound and a wide
+sketch allow, so a round costs a key's size. Links found contract components, keys within one component close, and pivots leave
+their keys, as they have met all. When a round finds no link, or after ``ROUNDS``, what is still open is paired: sets of keys with at most ``SMALL_KEY`` sets
+with each other, sets of larger ones where they meet in two large keys at once (large keys are dealt to one share fewer than a pair
+has keys, so that two of them are in one share).
 
 *Verify.* Narrow sketches of about one bit per shingle drop most candidates by Hamming distance; whole sets decide the rest.
 
@@ -45,6 +48,7 @@ WIDE = 16  # words of the sketch that leftover pairs are compared by
 SHARED = (2, 4, 8, 12)  # keys that linked sets share at least, by the level of the radius
 TOGETHER = 100_000  # shingles whose keys are made in one go
 SMALL_KEY = 32  # keys of more sets are refined by a second key; no pair depends on it
+PIVOTS, ROUNDS = 8, 8  # sets that a key's others are compared with in a round, and most rounds; no pair depends on them
 
 
 @cache
@@ -138,10 +142,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes[owners])], ["key", "node"])
 
     sets, held = [], 0
+    seen: set[int] = set()  # nodes this task has made keys for: of copies one will do
     for batch in batches:
         for text in batch.column(0):
-            sets.append(shingle_set(text.as_py()))
-            held += len(sets[-1])
+            shingles = shingle_set(text.as_py())
+            node = node_id(shingles)
+            if node in seen:
+                continue
+            seen.add(node)
+            sets.append(shingles)
+            held += len(shingles)
             if held >= TOGETHER:
                 yield made(sets)
                 sets, held = [], 0
@@ -177,14 +187,15 @@ def _whole_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, name: str)
     return written(rows.select("text").mapInArrow(_sets, "node long, shingles array<long>, wide array<long>").dropDuplicates(["node"]), f"sets-{name}")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The distinct ``a, b`` pairs of nodes that reach the similarity: by size, by sketch, then by whole sets."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, name: str, sets: DataFrame | None = None) -> DataFrame:
+    """The distinct ``a, b`` pairs of nodes that reach the similarity: by size, by sketch, then by whole sets, made anew where none are given."""
     sides = [nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
     near = pairs.distinct().join(sides[0], "a").join(sides[1], "b")
     near = near.filter((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
                        & ((100 + PERCENT) * _hamming("sketch_a", "sketch_b") <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))))
     near = written(near.select("a", "b"), f"near-{name}")
-    sets = _whole_sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, name)
+    if sets is None:
+        sets = _whole_sets(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, name)
     whole = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     sized = whole.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return written(sized.filter(100 * F.col("both") >= PERCENT * (F.col("sum") - F.col("both"))).select("a", "b"), f"links-{name}")
@@ -212,14 +223,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def contracted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after more links: only the components they join are worked on."""
+    ends = [found.select(F.col("node").alias(s), F.col("component").alias(f"component_{s}")) for s in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("component_a", "a").alias("a"), F.coalesce("component_b", "b").alias("b")).filter("a <> b")
+    moved = components(written(between.distinct(), "joined")).withColumnsRenamed({"node": "was", "component": "now"})
+    kept = found.join(moved, found["component"] == moved["was"], "left").select("node", F.coalesce("now", "component").alias("component"))
+    fresh = moved.join(found.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+    return written(kept.unionByName(fresh), "found")
+
+
+def _possible() -> Column:
+    """Whether rows a and b may reach the similarity by their held shingles and wide sketches."""
+    inner, sum_ = F.least("held_a", "held_b"), F.col("n_a") + F.col("n_b")
+    differing = reduce(Column.__add__, [F.bit_count(F.col(f"w{i}_a").bitwiseXOR(F.col(f"w{i}_b"))) for i in range(WIDE)])
+    return (100 * inner >= PERCENT * (sum_ - inner)) & ((100 + PERCENT) * differing <= (100 - PERCENT) * sum_)
+
+
+def _pivot_rows(keyed: DataFrame, step: int) -> DataFrame:
+    """The rows of up to ``PIVOTS`` nodes of every key, others in every round."""
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * step + i)).alias("h"), "node")).getField("node") for i in range(PIVOTS)]
+    chosen = keyed.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("nodes")).select("key", F.explode("nodes").alias("node"))
+    return keyed.join(chosen, ["key", "node"], "left_semi")
+
+
+def _with_pivots(keyed: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``a, b``: the pivots of a key and its rows of other components that may be linked with them."""
+    columns = ["node", "component", "n", "held", *[f"w{i}" for i in range(WIDE)]]
+    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s, rows in (("a", pivots), ("b", keyed)))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("component_a") != F.col("component_b")) & _possible())
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def _across(keyed: DataFrame) -> DataFrame:
     """``a, b`` of the rows with the same key but not the same component, where their held shingles and wide sketches allow the similarity."""
-    words = [f"w{i}" for i in range(WIDE)]
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "held", *words)]) for s in "ab")
-    inner, sum_ = F.least("held_a", "held_b"), F.col("n_a") + F.col("n_b")
-    differing = reduce(Column.__add__, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
-    possible = (100 * inner >= PERCENT * (sum_ - inner)) & ((100 + PERCENT) * differing <= (100 - PERCENT) * sum_)
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & possible)
+    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "held", *[f"w{i}" for i in range(WIDE)])]) for s in "ab")
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _possible())
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -241,22 +280,41 @@ def _enough_keys(shared: DataFrame) -> DataFrame:
     return dealt.join(enough, ["node", "deal"]).select("key", "node")
 
 
-def held_shingles(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, n, held, w0...`` of the wanted nodes: the size of the set, how many of its shingles another wanted node holds, the wide sketch."""
-    sets = _whole_sets(wanted, nodes, docs, "left")
+def held_shingles(sets: DataFrame) -> DataFrame:
+    """``node, n, held, w0...`` of whole sets: the size, how many of the shingles another of the sets holds, the wide sketch."""
     tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     known = tokens.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
     held = tokens.join(known, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("held"))
     return held.filter(100 * F.col("held") >= PERCENT * F.col("n")).join(sets.select("node", *[F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)]), "node")
 
 
-def leftover_pairs(shared: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def all_components(shared: DataFrame, found: DataFrame, tested: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, component`` over all links of sets that share keys, from the components ``found`` so far and the pairs ``tested`` for them."""
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    open_rows = written(_mixed_keys(labelled(shared.select("key", "node"))).select("key", "node"), "open-keys")
+    sets = _whole_sets(open_rows.select("node").distinct(), nodes, docs, "left")
+    bounded = written(held_shingles(sets), "held")
+    rows = _enough_keys(open_rows.join(bounded, "node", "left_semi")).join(bounded, "node")
+    for step in range(ROUNDS):
+        left = written(_mixed_keys(labelled(rows)), "mixed-keys")
+        if not left.count():
+            return found
+        pivots = written(_pivot_rows(left, step), "pivots")
+        met = written(_with_pivots(left, pivots).join(tested, ["a", "b"], "left_anti"), "met")
+        more = verified(met, nodes, docs, "pivots", sets)
+        tested, rows = tested.unionByName(met), left.join(pivots, ["key", "node"], "left_anti").select("key", "node", *bounded.columns[1:])
+        if not more.count():
+            break
+        found = contracted(found, more)
+    left = written(_mixed_keys(labelled(rows)), "mixed-keys")
+    more = verified(leftover_pairs(left, bounded).join(tested, ["a", "b"], "left_anti"), nodes, docs, "rest", sets) if left.count() else None
+    return contracted(found, more) if more is not None and more.count() else found
+
+
+def leftover_pairs(left: DataFrame, bounded: DataFrame) -> DataFrame:
     """Pairs that share a key and are not yet in one component, without forming the pairs of large keys."""
-    labelled = shared.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_rows = written(_mixed_keys(labelled).select("key", "node", "component"), "open-keys")
-    bounded = written(held_shingles(open_rows.select("node").distinct(), nodes, docs), "held")
-    kept = written(_enough_keys(open_rows.join(bounded, "node", "left_semi").select("key", "node")), "kept-keys")
-    left = written(_mixed_keys(kept.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).join(bounded, "node")), "mixed-keys")
     large = left.filter(F.col("rows_of_key") > SMALL_KEY)
     dealt = large.withColumn("deal", F.col("key").bitwiseAND(F.lit(0xFF)))
     lists = dealt.groupBy("node", "deal", F.pmod(F.xxhash64("key"), _needed("deal") - 1).alias("share")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
@@ -285,10 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = written(ends[0].unionByName(ends[1]).filter("a < b").distinct(), "stars")
     links = verified(stars, nodes, rows, "stars")
     found = written(components(links), "found")
-    rest = leftover_pairs(shared, found, nodes, rows).join(stars, ["a", "b"], "left_anti")
-    more = verified(rest, nodes, rows, "rest")
-    if more.count():
-        found = written(components(links.unionByName(more)), "found")
+    found = all_components(shared, found, stars, nodes, rows)
     labelled = nodes.select("node", "doc", "version").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "version")).alias("least"))
     named = written(labelled.join(least, "component").select("node", F.col("least.doc").alias("least"), F.col("least.version").alias("least_version")), "named")

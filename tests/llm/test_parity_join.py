@@ -83,3 +83,20 @@ def test_groups_chains_and_passages(spark):
 def test_odd_rows(spark):
     check(spark, [(r.doc_id, r.text) for r in odd_docs(spark, [(20, "a b"), (21, "A\x0bb"), (22, "b a")]).collect()])
     assert p.near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_family_in_several_components_and_many_copies(spark, monkeypatch):
+    """Near copies that mostly miss the similarity with each other, through rounds of pivots and through the pairs after them."""
+    rng, rows = random.Random(8), []
+    for family in range(3):
+        base = prose(900 + family, 900).split()
+        rows += [(1000 * family + i, " ".join(edited(base, rng.choice((4, 9, 14, 19)), rng))) for i in range(70)]
+    shared = prose(950, 500).split()
+    rows += [(5000 + i, " ".join(shared + prose(2000 + i, 120 + i).split())) for i in range(40)]  # one long passage, different ends
+    rng.shuffle(rows)
+    for pivots, rounds in ((4, 8), (1, 1)):
+        monkeypatch.setattr(p, "PIVOTS", pivots)
+        monkeypatch.setattr(p, "ROUNDS", rounds)
+        check(spark, rows)
+    copies = spark.range(10_000).selectExpr("id AS doc_id", f"CASE WHEN id % 5000 = 17 THEN concat('{rows[0][1]}', ' tail') ELSE '{rows[0][1]}' END AS text").repartition(5)
+    assert {(r.component, r["count"]) for r in p.near_duplicates(copies).groupBy("component").count().collect()} == {(0, 10_000)}
