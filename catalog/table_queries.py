@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalog import oracle_parts as o
@@ -10,15 +10,16 @@ from catalog.derived import ctes, derived
 from catalog.text_queries import query
 from leadweave import fixed
 from leadweave.functions.rules import MailRules, classify
-from leadweave.functions.text import as_utc, emails, extract_contacts, status_class, status_text, utc_text
+from leadweave.functions.text import as_utc, emails, extract_contacts, mail_domain, status_class, status_text, utc_text
 from leadweave.functions.urls import lead_id, source_domain
 from leadweave.operators.dedup import first_seen, shared_keys
 from leadweave.operators.discover import discover, pagination_stop, without_known
+from leadweave.operators.lookup_cache import ask_domains, cached_lookup, result_table
 from leadweave.operators.lookups import check_domains, handle_results, lead_mx, verify_domains, verify_handles
 from leadweave.operators.summary import column_widths, handle_report, run_summary, verdict_counts
 from leadweave.session import scratch_dir, spread, write_once
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, flatten_stored, nested_leads, write_leads
-from leadweave.sources.store import append_writes, compact, fold_state, folded, known_urls, lead_table, merge_states, publish, read_published, read_writes, scan_leads, upsert_fold
+from leadweave.sources.store import append_writes, compact, fold_state, folded, known_urls, lead_table, merge_states, publish, publish_ordered, read_published, read_writes, scan_leads, scan_page, upsert_fold
 from leadweave.sources.versioned import VersionedTable
 from leadweave.streaming import jobs
 
@@ -263,6 +264,33 @@ def q_versioned_upsert(spark, sf):
     return _shown(folded(table.read()))
 
 
+@query("q_leads_pages", _STORE + "SELECT row_number() OVER (ORDER BY created_at, id) - 1 AS place, id, source_url FROM folded ORDER BY created_at, id LIMIT 300")
+def q_leads_pages(spark, sf):
+    """Three pages of a hundred leads in the table's order, each asked for after the last key of the one before."""
+    table, pages, after = scratch_dir(spark, "ordered"), [], None
+    stored = upsert_fold(_writes(spark, sf))
+    publish_ordered(stored, table)
+    for number in range(3):
+        page = write_once(scan_page(spark, table, 100, after, stored.schema), "page")
+        last = page.orderBy(F.desc("created_at"), F.desc("id")).first()
+        after = (last.created_at, last.id) if last else after
+        place = F.row_number().over(Window.orderBy("created_at", "id")) - 1 + 100 * number  # one page
+        pages.append(page.select(place.cast("bigint").alias("place"), "id", "source_url"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+@query("q_cached_mx", ctes("raw_mails", "mx_snapshot") + rf""", domains AS (SELECT DISTINCT lower(regexp_extract({o.trim('email')}, '(?s)^[^@]*@(.+)\z', 1)) AS domain, id % 2 AS half FROM raw_mails),
+ known AS (SELECT domain, bool_or(half = 0) AS early FROM domains WHERE domain <> '' GROUP BY domain)
+ SELECT k.domain, coalesce(m.outcome = 'timeout' OR m.n_mx > 0, false) AS mx_ok, NOT early OR coalesce(m.outcome = 'timeout', false) AS asked_again FROM known k LEFT JOIN mx_snapshot m ON m.domain = k.domain""")
+def q_cached_mx(spark, sf):
+    """Domains of half of the mails looked up by one run, then those of all mails by a second one, which asks for new ones and for those that timed out."""
+    mails = derived(spark, sf, "raw_mails").select("id", mail_domain("email").alias("domain")).filter(F.col("domain") != "")
+    table, ask = result_table(spark, scratch_dir(spark, "results"), "domain"), ask_domains(derived(spark, sf, "mx_snapshot"))
+    cached_lookup(mails.filter("id % 2 = 0").select("domain"), table, ask, F.lit("2024-05-01").cast("timestamp"), "30 days")
+    second = cached_lookup(mails.select("domain"), table, ask, F.lit("2024-05-20").cast("timestamp"), "30 days")
+    return second.select("domain", F.col("value").alias("mx_ok"), F.col("asked").alias("asked_again"))
+
+
 _SPLIT = "array_to_string(list_filter(string_split({c}, ','), lambda x: x <> ''), '|') AS {c}"
 
 

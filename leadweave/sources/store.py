@@ -114,7 +114,9 @@ def publish(current: DataFrame, path: str) -> None:
     Ranges go down to the URL: a domain that holds a third of all leads is cut over several files.
     """
     order = ("is_cis", "source_domain", "source_url")
-    current.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("is_cis").parquet(path)
+    sorted_rows = current.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a Bloom filter of the URLs, so that single ones skip row groups
+    sorted_rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#source_url", "true").partitionBy("is_cis").parquet(path)
 
 
 def read_published(spark: SparkSession, path: str, schema: T.StructType = STORED) -> DataFrame:
@@ -122,6 +124,39 @@ def read_published(spark: SparkSession, path: str, schema: T.StructType = STORED
     return spark.read.schema(schema).parquet(path)
 
 
+def publish_ordered(current: DataFrame, path: str, files: int | None = None) -> None:
+    """Write the folded table by ranges of (``created_at``, ``id``), each range a sorted file, and next to it the borders of the files.
+
+    As many files as given, else as Spark finds fit.
+    """
+    order = ("created_at", "id")
+    current.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/rows")
+    written = current.sparkSession.read.schema(current.schema).parquet(f"{path}/rows")
+    borders = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last"), F.count(F.lit(1)).alias("n"))
+    borders.coalesce(1).write.mode("overwrite").parquet(f"{path}/borders")
+
+
+def scan_page(spark: SparkSession, path: str, limit: int, after: tuple | None = None, schema: T.StructType = STORED) -> DataFrame:
+    """The next ``limit`` leads after the key ``(created_at, id)`` in the table's order; from the start without a key.
+
+    The borders, one row a file, tell which files hold them, so a page reads the file it begins in and as many as it reaches into.
+    """
+    key = F.struct("created_at", "id")
+    files = spark.read.parquet(f"{path}/borders")
+    rows = None
+    if after is not None:
+        limit_key = F.struct(F.lit(after[0]).cast("timestamp").alias("created_at"), F.lit(after[1]).alias("id"))
+        files, rows = files.filter(F.col("last") > limit_key), key > limit_key
+    names, held = [], 0
+    for border in files.orderBy("first").select("file", "n").toLocalIterator():
+        if held >= limit:
+            break
+        held += border.n if names or after is None else 0  # the page may begin at the first file's end
+        names.append(border.file)
+    found = spark.read.schema(schema).parquet(*names) if names else spark.createDataFrame([], schema)
+    return (found if rows is None else found.filter(rows)).orderBy("created_at", "id").limit(limit)
+
+
 def scan_leads(stored: DataFrame, flagged_only: bool = False, ordered: bool = True) -> DataFrame:
     """Stored rows as leads: lists split back, optional flag predicate, ordered by ``created_at, id``."""
     rows = stored.filter("is_cis") if flagged_only else stored
