@@ -48,6 +48,7 @@ WIDE = 16  # words of the sketch that leftover pairs are compared by
 SHARED = (2, 4, 8, 12)  # keys that linked sets share at least, by the level of the radius
 TOGETHER = 100_000  # shingles whose keys are made in one go
 SMALL_KEY = 32  # keys of more sets are refined by a second key; no pair depends on it
+SMALL_TABLE = 50_000  # rows of 200 bytes that may be broadcast
 PIVOTS, ROUNDS = 8, 8  # sets that a key's others are compared with in a round, and most rounds; no pair depends on them
 
 
@@ -240,19 +241,24 @@ def _possible() -> Column:
     return (100 * inner >= PERCENT * (sum_ - inner)) & ((100 + PERCENT) * differing <= (100 - PERCENT) * sum_)
 
 
-def _pivot_rows(keyed: DataFrame, step: int) -> DataFrame:
-    """The rows of up to ``PIVOTS`` nodes of every key, others in every round."""
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(PIVOTS * step + i)).alias("h"), "node")).getField("node") for i in range(PIVOTS)]
-    chosen = keyed.groupBy("key").agg(F.array_distinct(F.array(*least)).alias("nodes")).select("key", F.explode("nodes").alias("node"))
-    return keyed.join(chosen, ["key", "node"], "left_semi")
+def _with_pivots_marked(keyed: DataFrame, step: int) -> DataFrame:
+    """The rows with ``pivot``, true for up to ``PIVOTS`` nodes of every key, others in every round."""
+    least = [F.min_by("node", F.xxhash64("node", F.lit(PIVOTS * step + i))) for i in range(PIVOTS)]
+    chosen = keyed.groupBy("key").agg(F.array(*least).alias("pivots"))
+    return keyed.join(chosen, "key").withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots")
 
 
-def _with_pivots(keyed: DataFrame, pivots: DataFrame) -> DataFrame:
-    """``a, b``: the pivots of a key and its rows of other components that may be linked with them."""
-    columns = ["node", "component", "n", "held", *[f"w{i}" for i in range(WIDE)]]
-    a, b = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s, rows in (("a", pivots), ("b", keyed)))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("component_a") != F.col("component_b")) & _possible())
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+def _pivot_pairs(marked: DataFrame, bounded: DataFrame) -> DataFrame:
+    """``a, b``: the pivots of a key and its rows of other components that may be linked with them. Narrow rows meet by key; sizes and
+    sketches join the distinct pairs."""
+    a = marked.filter("pivot").select("key", F.col("node").alias("node_a"), F.col("component").alias("component_a"))
+    b = marked.select("key", F.col("node").alias("node_b"), F.col("component").alias("component_b"), "pivot")
+    met = a.join(b, "key").filter((F.col("component_a") != F.col("component_b")) & (~F.col("pivot") | (F.col("node_a") < F.col("node_b"))))
+    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    for s in "ab":
+        side = bounded.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in bounded.columns[1:]])
+        pairs = pairs.join(F.broadcast(side) if bounded.count() <= SMALL_TABLE else side, s)
+    return pairs.filter(_possible()).select("a", "b")
 
 
 def _across(keyed: DataFrame) -> DataFrame:
@@ -296,19 +302,18 @@ def all_components(shared: DataFrame, found: DataFrame, tested: DataFrame, nodes
     open_rows = written(_mixed_keys(labelled(shared.select("key", "node"))).select("key", "node"), "open-keys")
     sets = _whole_sets(open_rows.select("node").distinct(), nodes, docs, "left")
     bounded = written(held_shingles(sets), "held")
-    rows = _enough_keys(open_rows.join(bounded, "node", "left_semi")).join(bounded, "node")
+    rows = _enough_keys(open_rows.join(bounded, "node", "left_semi"))
     for step in range(ROUNDS):
-        left = written(_mixed_keys(labelled(rows)), "mixed-keys")
+        left = written(_with_pivots_marked(_mixed_keys(labelled(rows)), step), "mixed-keys")
         if not left.count():
             return found
-        pivots = written(_pivot_rows(left, step), "pivots")
-        met = written(_with_pivots(left, pivots).join(tested, ["a", "b"], "left_anti"), "met")
+        met = written(_pivot_pairs(left, bounded).join(tested, ["a", "b"], "left_anti"), "met")
         more = verified(met, nodes, docs, "pivots", sets)
-        tested, rows = tested.unionByName(met), left.join(pivots, ["key", "node"], "left_anti").select("key", "node", *bounded.columns[1:])
+        tested, rows = tested.unionByName(met), left.filter("NOT pivot").select("key", "node")
         if not more.count():
             break
         found = contracted(found, more)
-    left = written(_mixed_keys(labelled(rows)), "mixed-keys")
+    left = written(_mixed_keys(labelled(rows)).join(bounded, "node"), "mixed-keys")
     more = verified(leftover_pairs(left, bounded).join(tested, ["a", "b"], "left_anti"), nodes, docs, "rest", sets) if left.count() else None
     return contracted(found, more) if more is not None and more.count() else found
 
