@@ -36,16 +36,6 @@ def unpacked(rows: DataFrame, row: DataFrame, **results: Column) -> DataFrame:
     return rows.select(*kept, *[c.alias(n) for n, c in results.items()])
 
 
-def of_keys(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Rows whose ``on`` is among the distinct ``keys``, which have to be a written table.
-
-    The keys are broadcast only if they are counted to be at most ``BROADCAST_ROWS``; else both sides shuffle.
-    """
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, on, how)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared scratch folder and go on from there."""
     return write_once(df, f"llm-{name}")
