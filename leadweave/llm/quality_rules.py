@@ -4,8 +4,9 @@ Texts are cut into runs of word characters and runs of marks; single tokens and
 multinomial is counted over the whole corpus, one over trusted documents. A document's score is the mean log ratio of its n-grams,
 so length does not matter. The threshold lies half way between the mean scores of labelled good and labelled bad documents.
 
-``LABELLED`` bounds the labelled rows that the trusted counts and the threshold are fitted on, per class (those with the smallest
-hash of their id); the corpus counts cover every document, and every document is scored against the same threshold.
+Every labelled document counts: the trusted counts and the threshold are fitted on all of them, the corpus counts on every document, and
+every document is scored against the same threshold. A caller may fit on fewer labelled rows (``labelled_rows`` per class, those with the
+smallest hash of their id). Up to ``BROADCAST_ROWS`` labelled ids are broadcast; more meet the documents by id.
 
 Defined cases: null text has no word. A text without any n-gram scores 0. Documents without an id are scored, but not trusted. A
 document labelled twice counts as bad or toxic if either label says so. Without trusted documents every score is 0; with no
@@ -25,11 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadweave.llm.common import window_hashes, word_hashes
+from leadweave.llm.common import BROADCAST_ROWS, window_hashes, word_hashes, written
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS  # bounds what the counts send to the driver and the weights sent to the tasks
-LABELLED = 20_000
 FALLBACK = -0.5
 MIN_WORDS = 50
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -66,17 +66,23 @@ def log_ratios(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     return np.log((trusted + 1) / (trusted.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def labelled_sample(labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """``labelled_id, good, trusted`` of at most ``most`` good and ``most`` bad documents."""
+def labelled_documents(labels: DataFrame) -> DataFrame:
+    """``labelled_id, good, trusted`` of every labelled document."""
     single = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("labelled_id")).agg(
         (F.min("quality") > 0).alias("good"), (F.max(F.coalesce("toxic", F.lit(0))) > 0).alias("toxic"))
-    sides = [single.filter(F.col("good") == side).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most) for side in (True, False)]
-    return sides[0].unionByName(sides[1]).select("labelled_id", "good", (F.col("good") & ~F.col("toxic")).alias("trusted"))
+    return single.select("labelled_id", "good", (F.col("good") & ~F.col("toxic")).alias("trusted"))
+
+
+def labelled_sample(labels: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` good and ``most`` bad ones of the labelled documents."""
+    known = labelled_documents(labels)
+    sides = [known.filter(F.col("good") == side).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(most) for side in (True, False)]
+    return sides[0].unionByName(sides[1])
 
 
 def fit_ratios(docs: DataFrame, labelled: DataFrame) -> np.ndarray:
     """Log ratios by bucket; ``docs`` is ``doc, text``, all of it is counted."""
-    marked = docs.join(F.broadcast(labelled.filter("trusted").select("labelled_id", "trusted")), F.col("doc") == F.col("labelled_id"), "left")
+    marked = docs.join(labelled.filter("trusted").select("labelled_id", "trusted"), F.col("doc") == F.col("labelled_id"), "left")
     counted = marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")).mapInArrow(_count, "bucket long, raw long, trusted long")
     raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toLocalIterator():
@@ -123,15 +129,17 @@ def base_failed(s: str) -> Column:
 
 def fit_threshold(docs: DataFrame, labelled: DataFrame, ratios: np.ndarray) -> float:
     """Half way between the mean scores of labelled good and bad documents that pass the counted rules."""
-    known = docs.join(F.broadcast(labelled), F.col("doc") == F.col("labelled_id")).select("good", text_stats(ratios)("text").alias("s"))
+    known = docs.join(labelled, F.col("doc") == F.col("labelled_id")).select("good", text_stats(ratios)("text").alias("s"))
     means = {r.good: r.mean for r in known.filter(~base_failed("s")).groupBy("good").agg(F.avg("s.score").alias("mean")).collect()}
     return (means[True] + means[False]) / 2 if len(means) == 2 else FALLBACK
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int = LABELLED) -> DataFrame:
-    """The rows of ``docs`` with the counts, ``score``, ``base_failed`` and ``kept``."""
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled_rows: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with the counts, ``score``, ``base_failed`` and ``kept``, fitted on every labelled row unless a number is given."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    labelled = labelled_sample(labels, labelled_rows)
+    labelled = written(labelled_documents(labels) if labelled_rows is None else labelled_sample(labels, labelled_rows), "labelled")
+    if labelled.count() <= BROADCAST_ROWS:
+        labelled = F.broadcast(labelled)
     ratios = fit_ratios(rows, labelled)
     threshold = fit_threshold(rows, labelled, ratios)
     judged = docs.select(F.struct("*").alias("row"), text_stats(ratios)(F.col(f"`{text_col}`")).alias("s"))

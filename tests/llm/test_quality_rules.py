@@ -64,3 +64,11 @@ def test_odd_rows(spark):
     got = q.judge_quality(docs, labels)
     unchanged(got, docs, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
     assert all(r.score == 0 for r in got.collect()) and q.judge_quality(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_document_counts(spark):
+    """All of 20,050 documents are trusted, so trusted and raw counts are the same and no word is better than another."""
+    docs = spark.range(20_050).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert q.labelled_documents(labels).count() == 20_050
+    assert q.judge_quality(docs, labels).filter("score <> 0").count() == 0
