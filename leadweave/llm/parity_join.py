@@ -48,7 +48,6 @@ WIDE = 16  # words of the sketch that leftover pairs are compared by
 SHARED = (2, 4, 8, 12)  # keys that linked sets share at least, by the level of the radius
 TOGETHER = 100_000  # shingles whose keys are made in one go
 SMALL_KEY = 32  # keys of more sets are refined by a second key; no pair depends on it
-SMALL_TABLE = 50_000  # rows of 200 bytes that may be broadcast
 PIVOTS, ROUNDS = 8, 8  # sets that a key's others are compared with in a round, and most rounds; no pair depends on them
 
 
@@ -248,22 +247,19 @@ def _with_pivots_marked(keyed: DataFrame, step: int) -> DataFrame:
     return keyed.join(chosen, "key").withColumn("pivot", F.array_contains("pivots", F.col("node"))).drop("pivots")
 
 
-def _pivot_pairs(marked: DataFrame, bounded: DataFrame) -> DataFrame:
-    """``a, b``: the pivots of a key and its rows of other components that may be linked with them. Narrow rows meet by key; sizes and
-    sketches join the distinct pairs."""
-    a = marked.filter("pivot").select("key", F.col("node").alias("node_a"), F.col("component").alias("component_a"))
-    b = marked.select("key", F.col("node").alias("node_b"), F.col("component").alias("component_b"), "pivot")
-    met = a.join(b, "key").filter((F.col("component_a") != F.col("component_b")) & (~F.col("pivot") | (F.col("node_a") < F.col("node_b"))))
-    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    for s in "ab":
-        side = bounded.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in bounded.columns[1:]])
-        pairs = pairs.join(F.broadcast(side) if bounded.count() <= SMALL_TABLE else side, s)
-    return pairs.filter(_possible()).select("a", "b")
+def _side(rows: DataFrame, s: str, *more: str) -> DataFrame:
+    return rows.select("key", *more, *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "held", *[f"w{i}" for i in range(WIDE)])])
+
+
+def _pivot_pairs(marked: DataFrame) -> DataFrame:
+    """``a, b``: the pivots of a key and its rows of other components that may be linked with them."""
+    met = _side(marked, "b", "pivot").join(_side(marked.filter("pivot"), "a"), "key").filter((F.col("component_a") != F.col("component_b")) & (~F.col("pivot") | (F.col("node_a") < F.col("node_b"))) & _possible())
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def _across(keyed: DataFrame) -> DataFrame:
     """``a, b`` of the rows with the same key but not the same component, where their held shingles and wide sketches allow the similarity."""
-    a, b = (keyed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "held", *[f"w{i}" for i in range(WIDE)])]) for s in "ab")
+    a, b = (_side(keyed, s) for s in "ab")
     met = a.join(b, (a["key"] == b["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _possible())
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
@@ -287,29 +283,33 @@ def _enough_keys(shared: DataFrame) -> DataFrame:
 
 
 def held_shingles(sets: DataFrame) -> DataFrame:
-    """``node, n, held, w0...`` of whole sets: the size, how many of the shingles another of the sets holds, the wide sketch."""
-    tokens = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    known = tokens.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1").select("shingle")
+    """``node, n, held, w0...`` of whole sets with ``component``: the size, how many of the shingles a set of another component holds, the wide sketch."""
+    tokens = sets.select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    known = tokens.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     held = tokens.join(known, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("held"))
     return held.filter(100 * F.col("held") >= PERCENT * F.col("n")).join(sets.select("node", *[F.get("wide", F.lit(i)).alias(f"w{i}") for i in range(WIDE)]), "node")
 
 
 def all_components(shared: DataFrame, found: DataFrame, tested: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``node, component`` over all links of sets that share keys, from the components ``found`` so far and the pairs ``tested`` for them."""
+    """``node, component`` over all links of sets that share keys, from the components ``found`` so far and the pairs ``tested`` for them.
+
+    ``shared`` is ``key, node, low, high``: the key's smallest and largest node have met all of it, so both leave it.
+    """
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    open_rows = written(_mixed_keys(labelled(shared.select("key", "node"))).select("key", "node"), "open-keys")
+    unmet = shared.filter("node <> low AND node <> high").select("key", "node")
+    open_rows = written(_enough_keys(_mixed_keys(labelled(unmet))), "open-keys")
     sets = _whole_sets(open_rows.select("node").distinct(), nodes, docs, "left")
-    bounded = written(held_shingles(sets), "held")
+    bounded = written(held_shingles(labelled(sets)), "held")
     rows = _enough_keys(open_rows.join(bounded, "node", "left_semi"))
     for step in range(ROUNDS):
-        left = written(_with_pivots_marked(_mixed_keys(labelled(rows)), step), "mixed-keys")
+        left = written(_with_pivots_marked(_mixed_keys(labelled(rows)), step).join(bounded, "node"), "mixed-keys")
         if not left.count():
             return found
-        met = written(_pivot_pairs(left, bounded).join(tested, ["a", "b"], "left_anti"), "met")
+        met = written(_pivot_pairs(left).join(tested, ["a", "b"], "left_anti"), "met")
         more = verified(met, nodes, docs, "pivots", sets)
-        tested, rows = tested.unionByName(met), left.filter("NOT pivot").select("key", "node")
+        tested, rows = tested.unionByName(met), _enough_keys(left.filter("NOT pivot"))
         if not more.count():
             break
         found = contracted(found, more)
@@ -325,7 +325,8 @@ def leftover_pairs(left: DataFrame, bounded: DataFrame) -> DataFrame:
     lists = dealt.groupBy("node", "deal", F.pmod(F.xxhash64("key"), _needed("deal") - 1).alias("share")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
     twos = F.flatten(F.transform("keys", lambda k, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda l: F.xxhash64(k, l))))
     known = left.select("node", "component", *bounded.columns[1:]).distinct()
-    doubled = _mixed_keys(written(lists.select("node", F.explode(twos).alias("key")), "double-keys").join(known, "node"))
+    double = written(_mixed_keys(lists.select("node", F.explode(twos).alias("key")).join(known.select("node", "component"), "node")), "double-keys")
+    doubled = double.join(known.drop("component"), "node")
     return _across(left.filter(F.col("rows_of_key") <= SMALL_KEY)).unionByName(_across(doubled))
 
 
