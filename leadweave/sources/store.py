@@ -15,6 +15,7 @@ from leadweave.functions.text import join_list, parse_statuses, split_list, stat
 from leadweave.functions.urls import source_domain
 from leadweave.sources.versioned import VersionedTable
 
+LOG_ROWS = 250_000  # rows of one file of the write log: a task that folds it sorts whole files
 LISTS = ("emails", "telegram_handles", "skype", "linkedin", "twitter")
 TEXTS = ("company_name", "emails", "telegram_handles", "tg_validation_status", "skype", "linkedin", "twitter", "cis_reason")
 FLAGS = ("is_cis", "mx_valid")
@@ -79,8 +80,11 @@ def upsert_fold(writes: DataFrame, key: str = "source_url", seq: str = "seq", wr
 
 
 def append_writes(rows: DataFrame, path: str, writer: str, batch_id: int) -> None:
-    """Add one batch of a writer to the write log; the same batch written again replaces itself, other writers' batches stay."""
-    rows.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}")
+    """Add one batch of a writer to the write log; the same batch written again replaces itself, other writers' batches stay.
+
+    Files are bounded in rows, so what a reading task holds depends on the session's split size and not on the size of a batch.
+    """
+    rows.write.mode("overwrite").option("maxRecordsPerFile", LOG_ROWS).parquet(f"{path}/writer={writer}/batch_id={batch_id}")
 
 
 def read_writes(spark: SparkSession, path: str, schema: T.StructType = WRITES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from leadweave.operators.lookups import verify_handles
 from leadweave.operators.summary import column_widths
 from leadweave.session import scratch_dir
+from leadweave.sources import store
 from leadweave.sources.export import CSV_OPTIONS, flatten_leads, write_leads
 from leadweave.sources.lists import clean_lines, list_items, read_lines, target_list
 from leadweave.sources.store import WRITES, append_writes, fold_state, folded, id_clashes, known_urls, merge_states, publish, read_published, read_writes, scan_leads, stored_rows, upsert_fold
@@ -110,3 +111,10 @@ def test_streams_equal_the_batch(spark):
     bounded = scratch_dir(spark, "out")
     jobs.stream_to_files(jobs.stream_first_seen(stamped, "v", event_time="at", forget_after="1 hour").drop("at"), bounded, scratch_dir(spark, "state")).awaitTermination()
     assert spark.read.parquet(bounded).count() == 25
+
+
+def test_files_of_the_log_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "LOG_ROWS", 10)
+    store.append_writes(spark.range(95).coalesce(1), str(tmp_path / "log"), "w", 0)
+    files = spark.read.parquet(str(tmp_path / "log")).groupBy(F.input_file_name()).count()
+    assert sorted(values(files, "count")) == [5] + [10] * 9
