@@ -10,8 +10,8 @@ blocks make no key; a set with too many of them gets another deal of the blocks,
 blocks of any of its pairs hold shingles. Equal keys make candidates; a set with fewer shared keys has no link.
 
 *No pairs within keys.* A key's sets are first compared with its smallest and largest node only; sets found linked are one component, and
-keys within one component are done. Of the sets in other keys, shingles that none of the others holds can't be in an intersection:
-the number of held ones bounds every similarity, and most sets that share a passage or are edited too much drop out by it. Then come
+keys within one component are done. Both nodes have met all of the key and leave it, so keys of three sets are done too. Of the sets in
+other keys, shingles that no set of another component holds can't be in an intersection that matters: the number of held ones bounds every similarity, and most sets that share a passage or are edited too much drop out by it. Then come
 rounds of pivots: in each, ``PIVOTS`` sets of every open key are compared with its other sets of other components where this bound and a wide
 sketch allow, so a round costs a key's size. Links found contract components, keys within one component close, and pivots leave
 their keys, as they have met all. When a round finds no link, or after ``ROUNDS``, what is still open is paired: sets of keys with at most ``SMALL_KEY`` sets
