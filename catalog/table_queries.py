@@ -318,6 +318,17 @@ def _run(stream) -> None:
     stream.awaitTermination()
 
 
+def _upsert_in_parts(spark, writes: DataFrame, parts: int, log: str, writer: str) -> None:
+    """Writes that arrive in parts, each a micro-batch of one stream, which stops after it and goes on from its checkpoint.
+
+    A part stays in as many files as the input has splits, so no task writes or reads a whole batch.
+    """
+    incoming, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "state")
+    for part in range(parts):
+        writes.filter(F.pmod(F.xxhash64("seq"), F.lit(parts)) == part).write.mode("append").parquet(incoming)
+        _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema), log, state, writer))
+
+
 @query("q_stream_first_seen", ctes("target_lines") + f" SELECT DISTINCT {_NORM} AS norm FROM target_lines WHERE {_NORM} <> ''")
 def q_stream_first_seen(spark, sf):
     pages = jobs.stream_table(spark, f"{sf}/page[s].parquet", jobs.PAGES)  # a pattern may also name a single file
@@ -331,10 +342,8 @@ def q_stream_first_seen(spark, sf):
 
 @query("q_stream_upsert", _STORE + f"SELECT {', '.join(_COLUMNS)}, {_TIMES} FROM folded")
 def q_stream_upsert(spark, sf):
-    incoming, log = scratch_dir(spark, "incoming"), scratch_dir(spark, "log")
-    writes = _writes(spark, sf)
-    writes.repartition(3).write.parquet(incoming)
-    _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema, 1), log, scratch_dir(spark, "state"), "orders"))
+    log, writes = scratch_dir(spark, "log"), _writes(spark, sf)
+    _upsert_in_parts(spark, writes, 3, log, "orders")
     return _shown(upsert_fold(read_writes(spark, log, writes.schema)))
 
 
@@ -343,9 +352,7 @@ def q_two_writers(spark, sf):
     """Two streams with checkpoints of their own on one log."""
     log, writes = scratch_dir(spark, "log"), _writes(spark, sf)
     for half in (0, 1):
-        incoming = scratch_dir(spark, "incoming")
-        writes.filter(f"seq % 2 = {half}").repartition(2).write.parquet(incoming)
-        _run(jobs.stream_upsert(jobs.stream_table(spark, incoming, writes.schema, 1), log, scratch_dir(spark, "state"), f"half{half}"))
+        _upsert_in_parts(spark, writes.filter(f"seq % 2 = {half}"), 2, log, f"half{half}")
     return _shown(upsert_fold(read_writes(spark, log, writes.schema)))
 
 

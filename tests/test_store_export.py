@@ -2,10 +2,12 @@ import csv
 import glob
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import table_queries
 from leadweave.operators.lookups import verify_handles
 from leadweave.operators.summary import column_widths
 from leadweave.session import scratch_dir
@@ -118,3 +120,13 @@ def test_files_of_the_log_are_bounded(spark, tmp_path, monkeypatch):
     store.append_writes(spark.range(95).coalesce(1), str(tmp_path / "log"), "w", 0)
     files = spark.read.parquet(str(tmp_path / "log")).groupBy(F.input_file_name()).count()
     assert sorted(values(files, "count")) == [5] + [10] * 9
+
+
+@pytest.mark.parametrize("name, batches", [("q_stream_upsert", 3), ("q_two_writers", 4)])
+def test_no_task_holds_a_whole_batch(spark, tmp_path, name, batches):
+    orders = spark.range(0, 4_000, 1, 8).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    got = getattr(table_queries, name)(spark, str(tmp_path))
+    files = Counter(f.rsplit("/", 1)[0] for f in got.inputFiles())
+    assert len(files) == batches and min(files.values()) > 1
+    assert sorted(got.collect()) == sorted(table_queries.q_lead_upsert(spark, str(tmp_path)).collect())
